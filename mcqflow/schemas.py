@@ -1,0 +1,39 @@
+"""Declared schemas of the tables this library reads and writes."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
+
+MCQ_RAW = StructType.fromDDL(
+    "item_id bigint, question string, choices array<string>, subject string, answer string"
+)
+SFT_TOKENS = StructType.fromDDL(
+    "item_id bigint, input_ids array<int>, attention_mask array<int>, labels array<int>"
+)
+SFT_TOKENS_EVAL = StructType.fromDDL(
+    "item_id bigint, input_ids array<int>, attention_mask array<int>, labels array<int>,"
+    " subject string"
+)
+EVAL_PROMPTS = StructType.fromDDL(
+    "item_id bigint, prompt_text string, gold string, subject string"
+)
+OUTPUTS = StructType.fromDDL("run string, item_id bigint, output_text string")
+MESSAGES = StructType.fromDDL("conv_id bigint, turn bigint, role string, text string")
+SCORES = StructType.fromDDL("item_id bigint, pos int, logits array<float>")
+STEP_LOG = StructType.fromDDL("run string, step bigint, rank int, micro int, loss double")
+EVAL_LOG = StructType.fromDDL(
+    "run string, step bigint, first_token_acc double, eval_samples bigint"
+)
+CHECKPOINTS = StructType.fromDDL("run string, path string")
+EVAL_RESULT = StructType.fromDDL(
+    "metric string, overall_acc double, n bigint, per_subject map<string,double>"
+)
+TRAIN_RESULT = StructType.fromDDL(
+    "run string, train_loss double, train_steps bigint, train_samples bigint"
+)
+
+
+def conform(df: DataFrame, schema: StructType) -> DataFrame:
+    """Project ``df`` onto ``schema``: declared columns only, cast to the declared types."""
+    return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema))
