@@ -124,7 +124,7 @@ tokens AS (
 """
 
 
-SHORT = 270
+SHORT = 300
 
 _PIECE = r"\p{L}+|\p{N}+|[^\s\x0b\p{Z}\p{L}\p{N}]"
 VOCABULARY = f"""
@@ -345,6 +345,7 @@ def all_sql() -> dict[str, str]:
             "SELECT item_id, ids[plen + 1]::BIGINT AS gold_token, ids[plen + 2]::BIGINT AS pred_token FROM tokens",
         ),
         "f1_supervised_rows": _with(_tokens(SHORT), "SELECT item_id FROM tokens WHERE plen < len(ids)"),
+        "f1_supervised_vectors": _with(_LABELS, "SELECT item_id, subject FROM flagged"),
         "f2_first_items": _with(QUESTIONS, "SELECT item_id, question FROM questions ORDER BY item_id LIMIT 1000"),
         "f3_due_steps": _with(_MANIFEST, "SELECT epoch, step, items FROM counted WHERE step % 10 = 0"),
         "f3_epoch_ends": _with(_MANIFEST, "SELECT epoch, step, items FROM counted WHERE ends_epoch"),

@@ -33,14 +33,14 @@ from mcqflow.plans.evaluate import (
 from mcqflow.plans.prepare import eval_prompts, prepare_sft, training_batches
 from mcqflow.sources.shared import shared_folder
 from mcqflow.sources.sinks import write_prepared, write_record, write_subjects
-from mcqflow.sources.splits import count_splits, first_items, read_split, read_splits
+from mcqflow.sources.splits import count_splits, first_items, read_split, read_splits, spread
 from mcqflow.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 BYTES = ByteCodec()
 VOCABULARY_SIZE = 5000
-SHORT = 270  # some prompts reach this many bytes, some do not
+SHORT = 300  # some prompts reach this many bytes, some do not
 
 _QUERIES: dict[str, Query] = {}
 
@@ -78,13 +78,20 @@ def tokens(spark: SparkSession, folder: str, max_seq_len: int = 1024, **options:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return fx.table(spark, folder, "documents").select(F.col("doc_id").alias("item_id"), "text", "source")
+    docs = fx.table(spark, folder, "documents")
+    return spread(docs.select(F.col("doc_id").alias("item_id"), "text", "source"), "item_id")
 
 
 def vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     return build_vocabulary(documents(spark, folder), "text", VOCABULARY_SIZE)
 
 
+def stored_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
+    """The vocabulary as users have it: built once, stored, loaded for every encoding."""
+    path = shared_folder(spark) + "/vocabulary"
+    return write_prepared(vocabulary(spark, folder), path, partition_by=())
+
+
 # --- sources and sinks -------------------------------------------------------
 
 
@@ -226,14 +233,14 @@ def p7_byte_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def p7v_vocabulary_ids(spark: SparkSession, folder: str) -> DataFrame:
-    codec = VocabularyCodec.load(vocabulary(spark, folder))
+    codec = VocabularyCodec.load(stored_vocabulary(spark, folder))
     docs = documents(spark, folder)
     return docs.select("item_id", codec.encode(F.col("text")).alias("ids")).select("item_id", *digest("ids"))
 
 
 @query
 def j2_vocabulary_join(spark: SparkSession, folder: str) -> DataFrame:
-    table = vocabulary(spark, folder)
+    table = stored_vocabulary(spark, folder)
     ids = encode_by_join(documents(spark, folder), table, "text", unk_id=VOCABULARY_SIZE, out="ids")
     return ids.select("item_id", *digest("ids"))
 
@@ -317,14 +324,14 @@ def p15_decode_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def p15_decode_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
-    codec = VocabularyCodec.load(vocabulary(spark, folder))
+    codec = VocabularyCodec.load(stored_vocabulary(spark, folder))
     text = codec.decode(codec.encode(F.col("text")))
     return documents(spark, folder).select("item_id", F.md5(text).alias("text_md5"))
 
 
 @query
 def p15_decode_by_join(spark: SparkSession, folder: str) -> DataFrame:
-    table = vocabulary(spark, folder)
+    table = stored_vocabulary(spark, folder)
     codec = VocabularyCodec.load(table)
     ids = documents(spark, folder).select("item_id", codec.encode(F.col("text")).alias("input_ids"))
     return decode_by_join(ids, table).select("item_id", F.md5("text").alias("text_md5"))
@@ -369,7 +376,12 @@ def p20_first_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def f1_supervised_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return accuracy.supervised_rows(tokens(spark, folder, SHORT)).select("item_id")
+    return tokens(spark, folder, SHORT, supervised_only=True).select("item_id")
+
+
+@query
+def f1_supervised_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return accuracy.supervised_rows(fx.vector_labels(spark, folder)).select("item_id", "subject")
 
 
 @query

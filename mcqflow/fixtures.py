@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mcqflow.operators.numbering import row_index
+from mcqflow.sources.splits import spread
 
 RUNS = ("base", "tuned")
 
@@ -26,7 +27,7 @@ def as_questions(part: DataFrame) -> DataFrame:
     digit, a letter or a padded letter, and every fiftieth subject is null."""
     key = F.col("p_partkey")
     slot = (key % 4).cast("int")
-    brand = F.regexp_extract("p_brand", r"#(\d+)", 1).cast("int")
+    brand = F.substring_index("p_brand", "#", -1).cast("int")
     options = [
         F.concat(F.lit("Brand#"), (F.pmod(brand - 1 + (i - slot) * 7, F.lit(25)) + 1).cast("string"))
         for i in range(4)
@@ -44,7 +45,7 @@ def as_questions(part: DataFrame) -> DataFrame:
 
 
 def questions(spark: SparkSession, folder: str) -> DataFrame:
-    return as_questions(table(spark, folder, "part"))
+    return as_questions(spread(table(spark, folder, "part"), "p_partkey"))
 
 
 def answer_texts(items: DataFrame, runs: Sequence[str] = RUNS) -> DataFrame:
@@ -70,7 +71,8 @@ def answer_texts(items: DataFrame, runs: Sequence[str] = RUNS) -> DataFrame:
 
 
 def outputs(spark: SparkSession, folder: str, run: str | None = None) -> DataFrame:
-    rows = answer_texts(table(spark, folder, "part"), RUNS if run is None else (run,))
+    items = table(spark, folder, "part").select("p_partkey")
+    rows = answer_texts(items, RUNS if run is None else (run,))
     return rows if run is None else rows.drop("run")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BooleanType
 
@@ -24,17 +27,29 @@ def with_contract_columns(df: DataFrame) -> DataFrame:
     return df
 
 
+def _options() -> list[Column]:
+    return [F.get(F.col("choices"), F.lit(i)) for i in range(len(LETTERS))]
+
+
+def is_valid() -> Column:
+    """Whether a row keeps the contract, in few and cheap terms."""
+    letter = answer_letter(F.col("answer"), "null")
+    terms = [F.col("question"), *_options(), letter]
+    return reduce(and_, (t.isNotNull() for t in terms))
+
+
 def invalid_reason() -> Column:
     """Why a row breaks the contract, or null."""
     choices = F.col("choices")
-    needed = F.slice(choices, 1, len(LETTERS))
+    empty = reduce(or_, (c.isNull() for c in _options()))
     return (
-        F.when(F.col("question").isNull(), "missing question")
+        F.when(is_valid(), F.lit(None).cast("string"))
+        .when(F.col("question").isNull(), "missing question")
         .when(choices.isNull(), "missing choices")
         .when(F.size(choices) < len(LETTERS), "fewer than four choices")
-        .when(F.exists(needed, lambda c: c.isNull()), "null choice")
+        .when(empty, "null choice")
         .when(F.col("answer").isNull(), "missing answer")
-        .when(answer_letter(F.col("answer"), "null").isNull(), "invalid answer")
+        .otherwise("invalid answer")
     )
 
 
@@ -45,9 +60,7 @@ def check_mcq(df: DataFrame) -> DataFrame:
 
 def split_mcq(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid rows, rows in quarantine with their reason), both lazy."""
-    checked = check_mcq(df)
-    valid = checked.where(F.col("invalid_reason").isNull()).drop("invalid_reason")
-    return valid, checked.where(F.col("invalid_reason").isNotNull())
+    return with_contract_columns(df).where(is_valid()), check_mcq(df).where(~is_valid())
 
 
 def enforce_mcq(df: DataFrame, on_invalid: str = "raise") -> DataFrame:
@@ -64,7 +77,5 @@ def enforce_mcq(df: DataFrame, on_invalid: str = "raise") -> DataFrame:
         return with_contract_columns(df)
     if on_invalid == "quarantine":
         return split_mcq(df)[0]
-    checked = with_contract_columns(df)
-    reason = invalid_reason()
-    fail = F.raise_error(F.concat(F.lit("invalid row: "), reason)).cast("boolean")
-    return checked.where(F.when(reason.isNull(), F.lit(True)).otherwise(fail))
+    fail = F.raise_error(F.concat(F.lit("invalid row: "), invalid_reason())).cast("boolean")
+    return with_contract_columns(df).where(F.when(is_valid(), F.lit(True)).otherwise(fail))

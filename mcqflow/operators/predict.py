@@ -13,6 +13,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DataType, IntegerType, StructType
@@ -48,7 +49,10 @@ class PluginCodec:
             for texts in batches:
                 yield pd.Series(tokenize(texts.tolist()), index=texts.index, dtype=object)
 
-        return truncate(F.pandas_udf(run, ArrayType(IntegerType()))(text), max_len)
+        # Declared non-deterministic so that the optimizer neither repeats it nor
+        # pushes a filter on its result below it.
+        tokenized = F.pandas_udf(run, ArrayType(IntegerType())).asNondeterministic()
+        return truncate(tokenized(text), max_len)
 
     def count(self, text: Column, max_len: int | None = None) -> Column:
         return F.size(self.encode(text, max_len))
@@ -107,60 +111,72 @@ def first_token_predictor(
     pad_id: int,
     batch_size: int = 8,
 ) -> DataFrame:
-    """Add ``pred_token`` to rows with ``input_ids``, ``attention_mask`` and ``pos``.
+    """Add ``pred_token`` to rows with ``input_ids`` and ``pos``; the ids themselves go,
+    and so do rows without a position, which the model never sees.
 
     The model gets right-padded 2-D id and mask arrays of at most ``batch_size``
     rows and returns ids ``[rows, width]`` or scores ``[rows, width, tokens]``.
-    Only the position asked for is reduced and leaves the task.
+    Only the position asked for is reduced and leaves the task. The id lists are
+    read as one flat array per chunk and laid out by offsets, never row by row.
     """
-    schema = StructType([*df.schema.fields]).add("pred_token", IntegerType())
+    kept = [f for f in df.schema.fields if f.name != "input_ids"]
+    schema = StructType([*kept]).add("pred_token", IntegerType())
+    picked = _picker()
 
-    def rectangle(lists: list[np.ndarray], fill: int) -> np.ndarray:
-        out = np.full((len(lists), max(map(len, lists))), fill, dtype=np.int64)
-        for row, values in zip(out, lists):
-            row[: len(values)] = values
-        return out
-
-    def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
         for chunk in chunks:
+            chunk = chunk.filter(chunk.column("pos").is_valid())
+            lists = chunk.column("input_ids")
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            pos = chunk.column("pos").to_numpy(zero_copy_only=False)
             made: list[Any] = []
-            for start in range(0, len(chunk), batch_size):
-                part = chunk.iloc[start : start + batch_size]
-                made.extend(
-                    _picked(
-                        model(
-                            rectangle(list(part["input_ids"]), pad_id),
-                            rectangle(list(part["attention_mask"]), 0),
-                        ),
-                        part["pos"].to_numpy(),
-                    )
-                )
-            yield chunk.assign(pred_token=pd.Series(made, index=chunk.index, dtype="Int32"))
-
-    _picked = _picker()
-    return df.mapInPandas(run, schema)
+            for start in range(0, len(pos), batch_size):
+                stop = min(start + batch_size, len(pos))
+                sizes = np.diff(bounds[start : stop + 1])
+                mask = np.arange(sizes.max()) < sizes[:, None]
+                ids = np.full(mask.shape, pad_id, dtype=np.int64)
+                ids[mask] = flat[bounds[start] : bounds[stop]]
+                made.extend(picked(model(ids, mask.astype(np.int64)), pos[start:stop]))
+            rest = chunk.drop_columns(["input_ids"])
+            columns = [*rest.columns, pa.array(made, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, [*rest.schema.names, "pred_token"])
+
+    return df.mapInArrow(run, schema)
 
 
 def first_token_batch_predictor(
-    batches: DataFrame, load: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]]
+    batches: DataFrame,
+    load: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]],
+    carried: Sequence[str] = ("item_id", "pos"),
 ) -> DataFrame:
-    """As ``first_token_predictor`` over collated batches, one row per batch with
-    ``item_id`` and ``pos`` arrays; gives ``(item_id, pred_token)``."""
-    _picked = _picker()
+    """As ``first_token_predictor`` over collated batches, one row per batch: gives a row
+    per item with the ``carried`` columns and ``pred_token``."""
+    kept = [f for f in batches.schema.fields if f.name in carried]
+    schema = StructType([*kept]).add("pred_token", ArrayType(IntegerType()))
+    picked = _picker()
 
-    def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def grid(rows: pa.ListScalar) -> np.ndarray:
+        flat = rows.values.flatten().to_numpy(zero_copy_only=False)
+        return flat.reshape(len(rows.values), -1).astype(np.int64)
+
+    def run(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
         for chunk in chunks:
-            for items, ids, mask, pos in zip(
-                chunk["item_id"], chunk["input_ids"], chunk["attention_mask"], chunk["pos"]
-            ):
-                out = model(np.stack(list(ids)).astype(np.int64), np.stack(list(mask)).astype(np.int64))
-                picked = _picked(out, np.asarray(pos))
-                yield pd.DataFrame({"item_id": items, "pred_token": pd.array(picked, dtype="Int32")})
-
-    needed = batches.select("item_id", "input_ids", "attention_mask", "pos")
-    return needed.mapInPandas(run, "item_id bigint, pred_token int")
+            made = []
+            for i in range(chunk.num_rows):
+                ids, mask = (grid(chunk.column(c)[i]) for c in ("input_ids", "attention_mask"))
+                at = np.array([-1 if p is None else p for p in chunk.column("pos")[i].as_py()])
+                made.append(picked(model(ids, mask), at))
+            columns = [chunk.column(f.name) for f in kept]
+            columns.append(pa.array(made, pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in kept), "pred_token"])
+
+    needed = batches.select(*(f.name for f in kept), "input_ids", "attention_mask")
+    answered = needed.mapInArrow(run, schema)
+    items = answered.select(F.explode(F.arrays_zip(*schema.names)).alias("r")).select("r.*")
+    return items.where(F.col("pos").isNotNull())
 
 
 def _picker() -> Callable[[np.ndarray, np.ndarray], list[Any]]:

@@ -11,12 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from mcqflow.functions.answers import is_correct
 from mcqflow.functions.labels import first_supervised, token_at
 from mcqflow.functions.tokens import cut_prompt
-from mcqflow.operators.accuracy import (
-    result_record,
-    score_letters,
-    subject_accuracy,
-    supervised_rows,
-)
+from mcqflow.operators.accuracy import result_record, score_letters, subject_accuracy
 from mcqflow.operators.alignment import align_outputs
 from mcqflow.operators.batching import collate_batches, consecutive_batches
 from mcqflow.operators.predict import (
@@ -92,13 +87,29 @@ def evaluate_generated(
 
 
 def first_token_rows(
-    df: DataFrame, codec: Any, max_seq_len: int = MAX_SEQ_LEN, shift: int = 0, **options: Any
+    df: DataFrame,
+    codec: Any,
+    max_seq_len: int = MAX_SEQ_LEN,
+    shift: int = 0,
+    keep: Sequence[str] = ("item_id",),
+    **options: Any,
 ) -> DataFrame:
-    """Token rows that have a supervised label, with ``pos`` to score and ``gold_token``."""
-    rows = prepare_sft(df, codec, max_seq_len, keep_subject=True, **options)
-    at = first_supervised(F.col("labels"))
-    return supervised_rows(rows).withColumns(
-        {"pos": at - shift, "gold_token": token_at(F.col("labels"), at)}
+    """Token rows with ``pos`` to score and ``gold_token``, both null where no label is
+    supervised.
+
+    Those rows are left for the predictor to drop: a filter here would be pushed
+    below the encoding and encode every text again to decide.
+    """
+    rows = prepare_sft(df, codec, max_seq_len, keep=keep, keep_subject=True, **options)
+    placed = rows.withColumn("_at", first_supervised(F.col("labels")))
+    at = F.col("_at")
+    return placed.withColumns({"pos": at - shift, "gold_token": token_at(F.col("labels"), at)}).drop("_at")
+
+
+def _first_token_evaluation(predicted: DataFrame) -> Evaluation:
+    flag = is_correct(F.col("pred_token"), F.col("gold_token")).alias("correct")
+    return _evaluation(
+        "first_token", predicted.select("item_id", "subject", "gold_token", "pred_token", flag)
     )
 
 
@@ -114,15 +125,8 @@ def evaluate_first_token(
     """First-token accuracy. Batches are cut and padded inside each task: which rows
     share a batch does not change a prediction, so rows are neither numbered nor moved."""
     rows = first_token_rows(df, codec, max_seq_len, shift, **options)
-    asked = rows.select("item_id", "subject", "gold_token", "pos", "input_ids", "attention_mask")
-    scored = first_token_predictor(asked, load, codec.pad_id, batch_size).select(
-        "item_id",
-        "subject",
-        "gold_token",
-        "pred_token",
-        is_correct(F.col("pred_token"), F.col("gold_token")).alias("correct"),
-    )
-    return _evaluation("first_token", scored)
+    asked = rows.select("item_id", "subject", "gold_token", "pos", "input_ids")
+    return _first_token_evaluation(first_token_predictor(asked, load, codec.pad_id, batch_size))
 
 
 def evaluate_first_token_batched(
@@ -135,23 +139,14 @@ def evaluate_first_token_batched(
     **options: Any,
 ) -> Evaluation:
     """As ``evaluate_first_token`` for a model that needs the exact consecutive batches:
-    rows are numbered in item order, collated to one row per batch, predicted, joined back."""
+    the source rows are numbered in item order and moved to their batch, then encoded
+    and collated there."""
     numbered = consecutive_batches(df, batch_size).repartition("batch_id")
-    rows = prepare_sft(
-        numbered, codec, max_seq_len, keep=("item_id", "batch_id", "slot"), keep_subject=True, **options
-    )
-    at = first_supervised(F.col("labels"))
-    placed = rows.withColumns({"pos": at - shift, "gold_token": token_at(F.col("labels"), at)})
-    fed = placed.withColumn("pos", F.coalesce("pos", F.lit(-1)))
-    batches = collate_batches(fed, codec.pad_id, keep=("item_id", "pos"))
-    predicted = first_token_batch_predictor(batches, load)
-    scored = (
-        supervised_rows(placed)
-        .select("item_id", "subject", "gold_token")
-        .join(predicted, "item_id", "left")
-        .withColumn("correct", is_correct(F.col("pred_token"), F.col("gold_token")))
-    )
-    return _evaluation("first_token", scored)
+    keep = ("item_id", "batch_id", "slot")
+    rows = first_token_rows(numbered, codec, max_seq_len, shift, keep, **options)
+    carried = ("item_id", "subject", "gold_token", "pos")
+    batches = collate_batches(rows, codec.pad_id, keep=carried)
+    return _first_token_evaluation(first_token_batch_predictor(batches, load, carried))
 
 
 def evaluate(metric: str, df: DataFrame, load: Callable[[], Any], codec: Any = None, **options: Any) -> Evaluation:

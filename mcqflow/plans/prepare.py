@@ -56,6 +56,7 @@ def prepare_sft(
     keep: Sequence[str] = ("item_id",),
     keep_subject: bool = False,
     flag_mismatch: bool = False,
+    supervised_only: bool = False,
     **options: Any,
 ) -> DataFrame:
     """``input_ids, attention_mask, labels`` per question: one projection over the scan.
@@ -63,9 +64,13 @@ def prepare_sft(
     Prompt and full text are encoded separately and the prompt is masked by its
     count of ids. ``flag_mismatch`` adds whether the prompt's ids are not the
     first ids of the full text, where that count would mask the wrong ones.
+    ``supervised_only`` leaves out rows whose prompt takes the whole length; it
+    compares counts, where a filter on the labels would encode the text again.
     """
     texts = exam_texts(df, **options)
     prompt, full = F.col("prompt_text"), F.col("full_text")
+    if supervised_only:
+        texts = texts.where(codec.count(prompt, max_seq_len) < codec.count(full, max_seq_len))
     encoded = texts.withColumns(
         {
             "input_ids": codec.encode(full, max_seq_len),

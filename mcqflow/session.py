@@ -14,6 +14,8 @@ def local_session(cpus: int | str = 8, app: str = "mcqflow", memory: str = "12g"
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
+        # Recording the call site of every column slows the building of wide plans.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -49,3 +49,13 @@ def count_splits(df: DataFrame) -> DataFrame:
 def first_items(df: DataFrame, n: int | None, by: str | Column = "item_id") -> DataFrame:
     """The first ``n`` rows in ``by`` order, or all of them: a trial evaluation."""
     return df if n is None else df.orderBy(by).limit(n)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores when the scan yields fewer partitions than there are cores.
+
+    For small files before heavy expressions. A table with enough splits, as any
+    large one has, is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
