@@ -134,14 +134,15 @@ def due_steps(steps: DataFrame, every: int | None = None) -> DataFrame:
     return steps.where(F.col("step") % every == 0)
 
 
-def _pad(values: Column, fill: int, width: Column, side: str) -> Column:
-    filler = F.array_repeat(F.lit(fill), (width - F.size(values)).cast("int"))
-    return F.concat(values, filler) if side == "right" else F.concat(filler, values)
+def _fills(pad_id: int) -> dict[str, int]:
+    return {"input_ids": pad_id, "attention_mask": 0, "labels": IGNORE}
 
 
-def _check_side(side: str) -> None:
+def _pad(values: Column, fill: int, width: Column, side: str) -> Column:
     if side not in ("right", "left"):
         raise ValueError(f"side must be 'right' or 'left', got {side!r}")
+    filler = F.array_repeat(F.lit(fill), (width - F.size(values)).cast("int"))
+    return F.concat(values, filler) if side == "right" else F.concat(filler, values)
 
 
 def pad_batches(
@@ -151,14 +152,9 @@ def pad_batches(
 
     A batch never exceeds its fixed size, so neither does a window partition.
     """
-    _check_side(side)
     width = F.max(F.size("input_ids")).over(W.partitionBy(*batch))
-    fills = {"input_ids": pad_id, "attention_mask": 0, "labels": IGNORE}
-    return (
-        df.withColumn("_width", width)
-        .withColumns({c: _pad(F.col(c), fill, F.col("_width"), side) for c, fill in fills.items()})
-        .drop("_width")
-    )
+    padded = {c: _pad(F.col(c), fill, F.col("_width"), side) for c, fill in _fills(pad_id).items()}
+    return df.withColumn("_width", width).withColumns(padded).drop("_width")
 
 
 def collate_batches(
@@ -167,28 +163,26 @@ def collate_batches(
     batch: Sequence[str] = ("batch_id",),
     order: str = "slot",
     keep: Sequence[str] = ("item_id",),
+    arrays: Sequence[str] = ("input_ids", "attention_mask", "labels"),
     side: str = "right",
 ) -> DataFrame:
     """One row per batch holding rectangular ``array<array<int>>`` columns.
 
-    Bounded by the batch size; ``keep`` columns become arrays in row order.
+    Bounded by the batch size; ``keep`` columns become arrays in row order, and
+    ``arrays`` names the id arrays wanted.
     """
-    _check_side(side)
-    fills = {"input_ids": pad_id, "attention_mask": 0, "labels": IGNORE}
-    row = F.struct(order, *keep, *fills)
     grouped = df.groupBy(*batch).agg(
-        F.array_sort(F.collect_list(row)).alias("_rows"),
-        F.max(F.size("input_ids")).alias("width"),
+        F.array_sort(F.collect_list(F.struct(order, *keep, *arrays))).alias("_rows"),
+        F.max(F.size(arrays[0])).alias("width"),
     )
 
-    def padded(name: str, fill: int) -> Column:
-        return F.transform(
-            F.col("_rows"), lambda r: _pad(r[name], fill, F.col("width"), side)
-        ).alias(name)
+    def padded(name: str) -> Column:
+        fill = _fills(pad_id)[name]
+        return F.transform(F.col(f"_rows.{name}"), lambda r: _pad(r, fill, F.col("width"), side))
 
     return grouped.select(
         *batch,
         "width",
         *(F.col(f"_rows.{c}").alias(c) for c in keep),
-        *(padded(c, fill) for c, fill in fills.items()),
+        *(padded(c).alias(c) for c in arrays),
     )

@@ -65,10 +65,11 @@ def quantile_buckets(df: DataFrame, key: str, out: str, buckets: int) -> DataFra
     )
     inner = sorted(set(cuts))
     if not inner:
-        return df.withColumn(out, F.lit(0.0))
+        return df.withColumn(out, F.lit(0))
     keyed = df.withColumn("_key", F.col(key).cast("double"))
     splits = [float("-inf"), *inner, float("inf")]
-    return Bucketizer(splits=splits, inputCol="_key", outputCol=out).transform(keyed).drop("_key")
+    placed = Bucketizer(splits=splits, inputCol="_key", outputCol=out).transform(keyed)
+    return placed.withColumn(out, F.col(out).cast("int")).drop("_key")
 
 
 def row_index(

@@ -145,7 +145,8 @@ def evaluate_first_token_batched(
     keep = ("item_id", "batch_id", "slot")
     rows = first_token_rows(numbered, codec, max_seq_len, shift, keep, **options)
     carried = ("item_id", "subject", "gold_token", "pos")
-    batches = collate_batches(rows, codec.pad_id, keep=carried)
+    fed = ("input_ids", "attention_mask")
+    batches = collate_batches(rows, codec.pad_id, keep=carried, arrays=fed)
     return _first_token_evaluation(first_token_batch_predictor(batches, load, carried))
 
 
