@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mcqflow.operators.numbering import row_index
@@ -154,11 +155,11 @@ def id_model(eos_id: int) -> Callable[..., Any]:
     """The same over ids: returns the prompt, the answer's bytes and an end id."""
 
     def load() -> Any:
-        def answer(prompts: list[list[int]], max_new_tokens: int, **_: Any) -> list[list[int]]:
+        def answer(prompts: list[Any], max_new_tokens: int, **_: Any) -> list[Any]:
             made = []
             for ids in prompts:
                 text = f"({'ABCD'[len(ids) % 4]})".encode()
-                made.append([*ids, *text[: max_new_tokens - 1], eos_id])
+                made.append(np.concatenate([ids, [*text[: max_new_tokens - 1], eos_id]]))
             return made
 
         return answer

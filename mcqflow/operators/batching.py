@@ -25,7 +25,7 @@ def shuffle_key(seed: int, epoch: Column, item: Column) -> Column:
 
 
 def shuffle_rows(
-    df: DataFrame, seed: int = SEED, epochs: int = 1, item: str = "item_id", hex_digits: int = 3
+    df: DataFrame, seed: int = SEED, epochs: int = 1, item: str = "item_id", hex_digits: int = 4
 ) -> DataFrame:
     """Every row once per epoch with its ``position`` in that epoch's random order."""
     runs = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))

@@ -2,7 +2,9 @@
 
 A conversation is rendered in parts of ``turns_per_part`` turn numbers, keyed
 ``(conv_id, part)``. An ordinary conversation has one part; a huge one is spread
-over many tasks, and its parts in order are the whole of it.
+over many tasks, and its parts in order are the whole of it. ``(conv_id, turn)``
+must be unique, which also bounds a part; where turns may be repeated, fold them
+first with ``unique_outputs(messages, ("conv_id", "turn"))``.
 """
 
 from __future__ import annotations

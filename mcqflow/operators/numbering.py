@@ -97,11 +97,12 @@ def hashed_index(
     out: str = "row_index",
     within: Sequence[str] = (),
     groups: int | None = None,
-    hex_digits: int = 3,
+    hex_digits: int = 4,
 ) -> DataFrame:
     """As ``row_index`` for a key that is a hex digest: its leading digits are the bucket.
 
-    Three digits make 4,096 even buckets; four suit more than some ten billion rows.
+    Four digits make 65,536 even buckets, so a bucket of a hundred billion rows is
+    some 1.5 million.
     """
     if not 1 <= hex_digits <= 4:
         raise ValueError("hex_digits must be 1 to 4")

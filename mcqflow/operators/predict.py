@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DataType, IntegerType, StructType
 
 from mcqflow.functions.tokens import drop_special, truncate
@@ -80,28 +81,45 @@ def run_predictor(
     batch_size: int = 4,
     **options: Any,
 ) -> DataFrame:
-    """Add ``output``, made by the user's model from ``inputs`` (texts or id lists).
+    """Add ``output``, made by the user's model from ``inputs`` (texts, or ids as arrays).
 
     The model is called as ``model(list_of_inputs, **options)`` on at most
-    ``batch_size`` rows and returns one value per input. The other columns ride
-    along, so gold and subject need no join afterwards.
+    ``batch_size`` rows and returns one value per input: texts, numbers, or id
+    lists as arrays. The other columns ride along untouched, so gold and subject
+    need no join afterwards.
     """
-    kind = output_type if isinstance(output_type, DataType) else _parse_type(df, output_type)
+    kind = output_type if isinstance(output_type, DataType) else _parse_type(output_type)
     schema = StructType([*df.schema.fields]).add(output, kind)
+    item = to_arrow_type(kind.elementType) if isinstance(kind, ArrayType) else to_arrow_type(kind)
+    listed = isinstance(kind, ArrayType)
+
+    def unpack(column: pa.Array) -> list[Any]:
+        if not isinstance(column, pa.ListArray):
+            return column.to_pylist()
+        bounds = column.offsets.to_numpy() - column.offsets[0].as_py()
+        return np.split(column.flatten().to_numpy(zero_copy_only=False), bounds[1:-1])
+
+    def pack(made: list[Any]) -> pa.Array:
+        if not listed:
+            return pa.array(made, item)
+        bounds = np.cumsum([0, *map(len, made)]).astype(np.int32)
+        flat = np.concatenate(made) if made else np.array([], dtype=np.int64)
+        return pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat).cast(item))
 
-    def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
         for chunk in chunks:
-            values = [v.tolist() if isinstance(v, np.ndarray) else v for v in chunk[inputs]]
+            values = unpack(chunk.column(inputs))
             made: list[Any] = []
-            for start in range(0, len(values), batch_size):
+            for start in range(0, chunk.num_rows, batch_size):
                 made.extend(model(values[start : start + batch_size], **options))
-            yield chunk.assign(**{output: pd.Series(made, index=chunk.index, dtype=object)})
+            columns = [*chunk.columns, pack(made)]
+            yield pa.RecordBatch.from_arrays(columns, [*chunk.schema.names, output])
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
-def _parse_type(df: DataFrame, text: str) -> DataType:
+def _parse_type(text: str) -> DataType:
     return StructType.fromDDL(f"c {text}")["c"].dataType
 
 

@@ -8,10 +8,15 @@ from typing import Any
 
 from pyspark.sql import DataFrame, functions as F
 
-from mcqflow.functions.answers import is_correct
-from mcqflow.functions.labels import first_supervised, token_at
-from mcqflow.functions.tokens import cut_prompt
-from mcqflow.operators.accuracy import result_record, score_letters, subject_accuracy
+from mcqflow.functions.answers import is_correct, parse_letter
+from mcqflow.functions.labels import token_at
+from mcqflow.functions.tokens import attention_mask, cut_prompt
+from mcqflow.operators.accuracy import (
+    result_record,
+    score_letters,
+    subject_accuracy,
+    subject_or_blank,
+)
 from mcqflow.operators.alignment import align_outputs
 from mcqflow.operators.batching import collate_batches, consecutive_batches
 from mcqflow.operators.predict import (
@@ -19,7 +24,7 @@ from mcqflow.operators.predict import (
     first_token_predictor,
     run_predictor,
 )
-from mcqflow.plans.prepare import MAX_SEQ_LEN, eval_prompts, prepare_sft
+from mcqflow.plans.prepare import MAX_SEQ_LEN, encode_exam, eval_prompts
 from mcqflow.sources.sinks import write_prepared
 
 PROMPT_MAX_LENGTH = 2048
@@ -47,9 +52,18 @@ def _evaluation(metric: str, scored: DataFrame) -> Evaluation:
 def evaluate_outputs(
     df: DataFrame, outputs: DataFrame, on_duplicate: str = "raise", **options: Any
 ) -> Evaluation:
-    """Score a table of outputs ``(item_id, output_text)`` made elsewhere."""
+    """Score a table of outputs ``(item_id, output_text)`` made elsewhere.
+
+    The letter is parsed where the output is read and travels as its character
+    code: a number folds in a hash aggregate, and no text is exchanged or sorted.
+    Of repeated outputs ``on_duplicate="least"`` keeps the first letter found in
+    the alphabet.
+    """
     gold = eval_prompts(df, **options).drop("prompt_text")
-    return _evaluation("generate", score_letters(align_outputs(gold, outputs, on_duplicate=on_duplicate)))
+    code = F.ascii(parse_letter(F.col("output_text"))).alias("code")
+    aligned = align_outputs(gold, outputs.select("item_id", code), on_duplicate=on_duplicate)
+    scored = aligned.withColumn("pred", F.char("code")).drop("code")
+    return _evaluation("generate", scored.withColumn("correct", is_correct(F.col("pred"), F.col("gold"))))
 
 
 def evaluate_generated(
@@ -97,13 +111,19 @@ def first_token_rows(
     """Token rows with ``pos`` to score and ``gold_token``, both null where no label is
     supervised.
 
-    Those rows are left for the predictor to drop: a filter here would be pushed
-    below the encoding and encode every text again to decide.
+    The first supervised position of a question is its prompt's length, so no
+    labels are made. Rows without one are left for the predictor to drop: a
+    filter here would be pushed below the encoding and encode the text again.
     """
-    rows = prepare_sft(df, codec, max_seq_len, keep=keep, keep_subject=True, **options)
-    placed = rows.withColumn("_at", first_supervised(F.col("labels")))
-    at = F.col("_at")
-    return placed.withColumns({"pos": at - shift, "gold_token": token_at(F.col("labels"), at)}).drop("_at")
+    rows = encode_exam(df, codec, max_seq_len, **options)
+    ids, prompt_len = F.col("input_ids"), F.col("prompt_len")
+    return rows.select(
+        *keep,
+        subject_or_blank(F.col("subject")).alias("subject"),
+        F.when(prompt_len < F.size(ids), prompt_len - shift).alias("pos"),
+        token_at(ids, prompt_len).alias("gold_token"),
+        ids,
+    )
 
 
 def _first_token_evaluation(predicted: DataFrame) -> Evaluation:
@@ -145,8 +165,9 @@ def evaluate_first_token_batched(
     keep = ("item_id", "batch_id", "slot")
     rows = first_token_rows(numbered, codec, max_seq_len, shift, keep, **options)
     carried = ("item_id", "subject", "gold_token", "pos")
+    masked = rows.withColumn("attention_mask", attention_mask(F.col("input_ids")))
     fed = ("input_ids", "attention_mask")
-    batches = collate_batches(rows, codec.pad_id, keep=carried, arrays=fed)
+    batches = collate_batches(masked, codec.pad_id, keep=carried, arrays=fed)
     return _first_token_evaluation(first_token_batch_predictor(batches, load, carried))
 
 

@@ -49,21 +49,16 @@ def eval_prompts(df: DataFrame, keep: Sequence[str] = ("item_id",), **options: A
     )
 
 
-def prepare_sft(
+def encode_exam(
     df: DataFrame,
     codec: Any,
     max_seq_len: int = MAX_SEQ_LEN,
-    keep: Sequence[str] = ("item_id",),
-    keep_subject: bool = False,
-    flag_mismatch: bool = False,
     supervised_only: bool = False,
     **options: Any,
 ) -> DataFrame:
-    """``input_ids, attention_mask, labels`` per question: one projection over the scan.
+    """Question rows with ``input_ids`` of the full text and the prompt's ``prompt_len``.
 
-    Prompt and full text are encoded separately and the prompt is masked by its
-    count of ids. ``flag_mismatch`` adds whether the prompt's ids are not the
-    first ids of the full text, where that count would mask the wrong ones.
+    Prompt and full text are measured separately, both cut to ``max_seq_len``.
     ``supervised_only`` leaves out rows whose prompt takes the whole length; it
     compares counts, where a filter on the labels would encode the text again.
     """
@@ -71,24 +66,43 @@ def prepare_sft(
     prompt, full = F.col("prompt_text"), F.col("full_text")
     if supervised_only:
         texts = texts.where(codec.count(prompt, max_seq_len) < codec.count(full, max_seq_len))
-    encoded = texts.withColumns(
+    return texts.withColumns(
         {
             "input_ids": codec.encode(full, max_seq_len),
-            "_prompt_len": codec.count(prompt, max_seq_len),
+            "prompt_len": codec.count(prompt, max_seq_len),
         }
     )
-    ids = F.col("input_ids")
+
+
+def prepare_sft(
+    df: DataFrame,
+    codec: Any,
+    max_seq_len: int = MAX_SEQ_LEN,
+    keep: Sequence[str] = ("item_id",),
+    keep_subject: bool = False,
+    flag_mismatch: bool = False,
+    **options: Any,
+) -> DataFrame:
+    """``input_ids, attention_mask, labels`` per question: one projection over the scan.
+
+    The prompt is masked by its count of ids. ``flag_mismatch`` adds whether the
+    prompt's ids are not the first ids of the full text, where that count would
+    mask the wrong ones.
+    """
+    encoded = encode_exam(df, codec, max_seq_len, **options)
+    ids, prompt_len = F.col("input_ids"), F.col("prompt_len")
     out = [
         *keep,
         ids,
         attention_mask(ids).alias("attention_mask"),
-        mask_prompt(ids, F.col("_prompt_len")).alias("labels"),
+        mask_prompt(ids, prompt_len).alias("labels"),
     ]
     if keep_subject:
         out.append(subject_or_blank(F.col("subject")).alias("subject"))
     if flag_mismatch:
-        head = F.slice(ids, 1, F.col("_prompt_len"))
-        out.append((head != codec.encode(prompt, max_seq_len)).alias("prefix_mismatch"))
+        head = F.slice(ids, 1, prompt_len)
+        same = head == codec.encode(F.col("prompt_text"), max_seq_len)
+        out.append((~same).alias("prefix_mismatch"))
     return encoded.select(*out)
 
 
