@@ -335,6 +335,7 @@ def all_sql() -> dict[str, str]:
             OUTPUTS, f"SELECT run, item_id, {_parsed('output_text')} AS pred FROM outputs"
         ),
         "p17_correct": _with(SCORED, "SELECT run, item_id, pred, correct FROM scored"),
+        "p17_scored_runs": _with(SCORED, "SELECT run, item_id, pred, correct FROM scored"),
         "p18_first_supervised": _with(
             _tokens(SHORT), "SELECT item_id, CASE WHEN plen < len(ids) THEN plen::BIGINT END AS pos FROM tokens"
         ),

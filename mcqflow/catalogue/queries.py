@@ -29,6 +29,7 @@ from mcqflow.plans.evaluate import (
     evaluate_first_token_batched,
     evaluate_generated,
     evaluate_outputs,
+    score_runs,
 )
 from mcqflow.plans.prepare import eval_prompts, prepare_sft, training_batches
 from mcqflow.sources.shared import shared_folder
@@ -67,10 +68,7 @@ def digest(ids: str | Column, name: str = "ids") -> list[Column]:
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     """Both runs' outputs aligned with gold and flagged."""
-    gold = eval_prompts(fx.questions(spark, folder)).drop("prompt_text")
-    both = alignment.for_runs(gold, fx.RUNS)
-    aligned = alignment.align_outputs(both, fx.outputs(spark, folder), ("run", "item_id"))
-    return accuracy.score_letters(aligned)
+    return score_runs(fx.questions(spark, folder), fx.outputs(spark, folder), fx.RUNS)
 
 
 def tokens(spark: SparkSession, folder: str, max_seq_len: int = 1024, **options: object) -> DataFrame:
@@ -344,6 +342,14 @@ def p16_parse_letter(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def p17_correct(spark: SparkSession, folder: str) -> DataFrame:
+    gold = eval_prompts(fx.questions(spark, folder)).drop("prompt_text")
+    both = alignment.for_runs(gold, fx.RUNS)
+    aligned = alignment.align_outputs(both, fx.outputs(spark, folder), ("run", "item_id"))
+    return accuracy.score_letters(aligned).select("run", "item_id", "pred", "correct")
+
+
+@query
+def p17_scored_runs(spark: SparkSession, folder: str) -> DataFrame:
     return scored(spark, folder).select("run", "item_id", "pred", "correct")
 
 

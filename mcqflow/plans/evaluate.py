@@ -17,7 +17,7 @@ from mcqflow.operators.accuracy import (
     subject_accuracy,
     subject_or_blank,
 )
-from mcqflow.operators.alignment import align_outputs
+from mcqflow.operators.alignment import align_outputs, for_runs
 from mcqflow.operators.batching import collate_batches, consecutive_batches
 from mcqflow.operators.predict import (
     first_token_batch_predictor,
@@ -49,21 +49,40 @@ def _evaluation(metric: str, scored: DataFrame) -> Evaluation:
     return Evaluation(metric, scored, subject_accuracy(scored))
 
 
-def evaluate_outputs(
-    df: DataFrame, outputs: DataFrame, on_duplicate: str = "raise", **options: Any
-) -> Evaluation:
-    """Score a table of outputs ``(item_id, output_text)`` made elsewhere.
+def _with_letters(
+    gold: DataFrame, outputs: DataFrame, keys: Sequence[str], on_duplicate: str
+) -> DataFrame:
+    """Gold rows with the letter of their output and whether it is right.
 
     The letter is parsed where the output is read and travels as its character
     code: a number folds in a hash aggregate, and no text is exchanged or sorted.
-    Of repeated outputs ``on_duplicate="least"`` keeps the first letter found in
-    the alphabet.
     """
-    gold = eval_prompts(df, **options).drop("prompt_text")
     code = F.ascii(parse_letter(F.col("output_text"))).alias("code")
-    aligned = align_outputs(gold, outputs.select("item_id", code), on_duplicate=on_duplicate)
+    aligned = align_outputs(gold, outputs.select(*keys, code), keys, on_duplicate)
     scored = aligned.withColumn("pred", F.char("code")).drop("code")
-    return _evaluation("generate", scored.withColumn("correct", is_correct(F.col("pred"), F.col("gold"))))
+    return scored.withColumn("correct", is_correct(F.col("pred"), F.col("gold")))
+
+
+def evaluate_outputs(
+    df: DataFrame, outputs: DataFrame, on_duplicate: str = "raise", **options: Any
+) -> Evaluation:
+    """Score a table of outputs ``(item_id, output_text)`` made elsewhere. Of repeated
+    outputs ``on_duplicate="least"`` keeps the first letter in the alphabet."""
+    gold = eval_prompts(df, **options).drop("prompt_text")
+    return _evaluation("generate", _with_letters(gold, outputs, ("item_id",), on_duplicate))
+
+
+def score_runs(
+    df: DataFrame,
+    outputs: DataFrame,
+    runs: Sequence[str],
+    on_duplicate: str = "raise",
+    **options: Any,
+) -> DataFrame:
+    """Scored rows of several runs from one table ``(run, item_id, output_text)``; an item
+    a run never answered counts as wrong."""
+    gold = for_runs(eval_prompts(df, **options).drop("prompt_text"), runs)
+    return _with_letters(gold, outputs, ("run", "item_id"), on_duplicate)
 
 
 def evaluate_generated(
