@@ -56,6 +56,24 @@ def test_running_accuracy_and_repeats(spark):
     assert sum(r.total for r in settle(jobs.running_accuracy(once)).collect()) == 20
 
 
+def test_copies_fold_to_the_latest_before_the_exchange(spark):
+    hot = spark.range(0, 3000, 1, 2).select(
+        F.when(F.col("id") % 3 > 0, F.col("id")).otherwise(0).alias("item_id"),
+        F.timestamp_seconds(F.col("id")).alias("ts"),
+        F.lit("s").alias("subject"),
+        F.lit(True).alias("correct"),
+    )
+    out = shared_folder(spark)
+    once = jobs.drop_repeats(as_stream(spark, hot), "1 day")
+    jobs.append_to(once, out + "/rows", out + "/state").awaitTermination()
+    got = rows(spark.read.parquet(out + "/rows").select("item_id"), "item_id")
+    assert got == rows(hot.select("item_id").distinct(), "item_id")
+    folded = jobs.fold_repeats(hot.coalesce(1))
+    assert folded.count() == len(got)
+    kept = folded.where("item_id = 0").first()
+    assert kept.ts == hot.where("item_id = 0").agg(F.max("ts")).first()[0]
+
+
 def test_closed_intervals_are_appended(spark):
     steps = spark.range(100).select(
         F.lit("r").alias("run"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), F.col("id").cast("double").alias("loss")
