@@ -145,16 +145,25 @@ def _pad(values: Column, fill: int, width: Column, side: str) -> Column:
     return F.concat(values, filler) if side == "right" else F.concat(filler, values)
 
 
-def pad_batches(
-    df: DataFrame, pad_id: int, batch: Sequence[str] = ("batch_id",), side: str = "right"
-) -> DataFrame:
-    """Pad ids, mask and labels of each row to the longest row of its batch.
+def with_width(df: DataFrame, batch: Sequence[str] = ("batch_id",)) -> DataFrame:
+    """Add ``width``, the length of the longest ids in the row's batch.
 
     A batch never exceeds its fixed size, so neither does a window partition.
     """
-    width = F.max(F.size("input_ids")).over(W.partitionBy(*batch))
-    padded = {c: _pad(F.col(c), fill, F.col("_width"), side) for c, fill in _fills(pad_id).items()}
-    return df.withColumn("_width", width).withColumns(padded).drop("_width")
+    return df.withColumn("width", F.max(F.size("input_ids")).over(W.partitionBy(*batch)))
+
+
+def pad_to_width(df: DataFrame, pad_id: int, side: str = "right") -> DataFrame:
+    """Fill ids, mask and labels up to ``width``, which goes."""
+    padded = {c: _pad(F.col(c), fill, F.col("width"), side) for c, fill in _fills(pad_id).items()}
+    return df.withColumns(padded).drop("width")
+
+
+def pad_batches(
+    df: DataFrame, pad_id: int, batch: Sequence[str] = ("batch_id",), side: str = "right"
+) -> DataFrame:
+    """Pad ids, mask and labels of each row to the longest row of its batch."""
+    return pad_to_width(with_width(df, batch), pad_id, side)
 
 
 def collate_batches(

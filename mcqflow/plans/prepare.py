@@ -13,7 +13,7 @@ from mcqflow.functions.labels import mask_prompt
 from mcqflow.functions.prompts import build_prompt
 from mcqflow.functions.tokens import attention_mask
 from mcqflow.operators.accuracy import subject_or_blank
-from mcqflow.operators.batching import SEED, pad_batches, shuffle_rows, with_batch
+from mcqflow.operators.batching import SEED, pad_to_width, shuffle_rows, with_batch, with_width
 from mcqflow.operators.contract import enforce_mcq
 
 MAX_SEQ_LEN = 1024
@@ -118,9 +118,18 @@ def training_batches(
     """Shuffled, batched and padded training rows: ``epoch, batch_id, slot, item_id`` and arrays.
 
     The source rows are numbered and moved to their batch first; they are encoded
-    there, so no id array ever crosses an exchange.
+    there, so no id array ever crosses an exchange. Mask and labels are made
+    after the width is known: the sort by batch carries the ids alone.
     """
     shuffled = with_batch(shuffle_rows(df, seed, epochs), "position", batch_size)
     placed = shuffled.repartition("epoch", "batch_id")
-    rows = prepare_sft(placed, codec, keep=("epoch", "batch_id", "slot", "item_id"), **options)
-    return pad_batches(rows, codec.pad_id, ("epoch", "batch_id"), side)
+    columns = ("epoch", "batch_id", "slot", "item_id", "input_ids", "prompt_len")
+    encoded = encode_exam(placed, codec, **options).select(*columns)
+    ids = F.col("input_ids")
+    rows = with_width(encoded, ("epoch", "batch_id")).withColumns(
+        {
+            "attention_mask": attention_mask(ids),
+            "labels": mask_prompt(ids, F.col("prompt_len")),
+        }
+    )
+    return pad_to_width(rows.drop("prompt_len"), codec.pad_id, side)
