@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mcqflow.llm import licenses, quality
+from mcqflow.llm import fingerprints, licenses, mixing, packing, quality, warc
 from mcqflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,3 +31,23 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_license_scans(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
+
+
+@query
+def op2_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.taken_words(*mixing.mix(mixing.sized(table(spark, folder, "documents"))))
+
+
+@query
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
+@query
+def op7_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, folder, "documents"))
+
+
+@query
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
