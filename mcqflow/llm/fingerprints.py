@@ -173,26 +173,26 @@ def with_next(docs: DataFrame, payload: list[str], key: str = "doc_id", tie: str
     Rows go to buckets of the key, one window each. The first row of a bucket is also put
     behind the last one of the bucket above it, so no window has to look beyond its bucket.
     """
-    ranked = docs.withColumn("_key", F.coalesce(F.col(key), F.lit(-(2**63))))
-    dealt = quantile_buckets(ranked, "_key", "_bucket", default_buckets(docs))
+    ranked = docs.withColumn("_place", F.coalesce(F.col(key), F.lit(-(2**63))))
+    dealt = quantile_buckets(ranked, "_place", "_bucket", default_buckets(docs))
     # One row for each bucket, and there are at most 65,536 of those.
-    tops = sorted(tuple(r) for r in dealt.groupBy("_bucket").agg(F.max("_key")).collect())
+    tops = sorted(tuple(r) for r in dealt.groupBy("_bucket").agg(F.max("_place")).collect())
     if not tops:
         return docs.withColumn("next", F.struct(*payload))
     after = [(top, tops[(i + 1) % len(tops)][0]) for i, (_, top) in enumerate(tops)]
     lookup = docs.sparkSession.createDataFrame(after, "_key bigint, _to int")
     heads = (
-        ranked.join(F.broadcast(lookup), "_key")
+        ranked.join(F.broadcast(lookup), "_place")
         .groupBy("_to")
-        .agg(F.min_by(F.struct(*docs.columns, "_key"), F.col(tie)).alias("h"))
+        .agg(F.min_by(F.struct(*docs.columns, "_place"), F.col(tie)).alias("h"))
         .select("h.*", F.col("_to").alias("_bucket"), F.lit(1).alias("_copy"))
     )
-    both = dealt.select(*docs.columns, "_key", "_bucket", F.lit(0).alias("_copy")).unionByName(heads)
-    order = W.partitionBy("_bucket").orderBy("_copy", F.desc("_key"), tie)
+    both = dealt.select(*docs.columns, "_place", "_bucket", F.lit(0).alias("_copy")).unionByName(heads)
+    order = W.partitionBy("_bucket").orderBy("_copy", F.desc("_place"), tie)
     return (
         both.withColumn("next", F.lead(F.struct(*payload)).over(order))
         .where("_copy = 0")
-        .drop("_copy", "_bucket", "_key")
+        .drop("_copy", "_bucket", "_place")
     )
 
 
