@@ -180,7 +180,7 @@ def with_next(docs: DataFrame, payload: list[str], key: str = "doc_id", tie: str
     if not tops:
         return docs.withColumn("next", F.struct(*payload))
     after = [(top, tops[(i + 1) % len(tops)][0]) for i, (_, top) in enumerate(tops)]
-    lookup = docs.sparkSession.createDataFrame(after, "_key bigint, _to int")
+    lookup = docs.sparkSession.createDataFrame(after, "_place bigint, _to int")
     heads = (
         ranked.join(F.broadcast(lookup), "_place")
         .groupBy("_to")

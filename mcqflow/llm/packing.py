@@ -15,6 +15,9 @@ extra columns are ignored, an empty table gives no pieces.
 from __future__ import annotations
 
 import functools
+import json
+import os
+import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -22,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -29,8 +33,8 @@ from mcqflow.llm.common import text_of
 
 WINDOW = 2048
 END_ID = 1
-CACHED_WORDS = 400_000
-LONG_WORD = 64
+KNOWN_WORDS = 1_000_000
+TEXTS = 200  # encoded at a time
 
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint,"
@@ -44,42 +48,63 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# How the tokenizer cuts a lower-case text into words, and texts for which that
+# isn't surely the same here: special tokens, controls, and letters with irregular lower case.
+_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_UNSURE = regex.compile("<\\||[\u03a3\u0130\\x00-\\x08\\x0b-\\x1f\\x7f-\\x9f\u180e\u200b-\u200f\u2028\u2029\ufeff]")
+
+
 class WordIds:
     """Ids of texts as little-endian 32-bit bytes, by the ids of their words.
 
-    Right for tokenizers that never join what a blank or line break separates; the ids of
-    frequent words are kept.
+    For lower-casing BPE with an end mark on the last token of each word. Words are encoded
+    once and kept; a text in which words might be found otherwise is encoded as a whole.
     """
 
     def __init__(self, path: str) -> None:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def encode(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def texts(self, texts: list[str]) -> Iterator[bytes]:
-        known = self.known
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            try:
-                yield b"".join(map(known.__getitem__, words))
-                continue
-            except KeyError:
-                pass
-            missing = list({w for w in words if w not in known})
-            ids = dict(zip(missing, self.encode(missing), strict=True))
-            if len(known) > CACHED_WORDS:
-                known.clear()
-                known[""] = b""
-            known.update((w, i) for w, i in ids.items() if len(w) <= LONG_WORD)
-            yield b"".join([ids[w] if w in ids else known[w] if w in known else self.encode([w])[0] for w in words])
+        model = json.loads(self.tokenizer.to_str())["model"]
+        self.mark = model.get("end_of_word_suffix")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = bool(self.mark) and token.endswith(self.mark)
+        self.known: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of single words, many at a time."""
+        out: dict[str, bytes] = {}
+        groups = [words[i : i + 1000] for i in range(0, len(words), 1000)]
+        for group, ids in zip(groups, self.encode([" ".join(g) for g in groups]), strict=True):
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            raw = ids.tobytes()
+            if len(stops) == len(group):
+                out.update((w, raw[a:b]) for w, a, b in zip(group, [0, *stops.tolist()], stops.tolist(), strict=False))
+            else:
+                out.update((w, i.tobytes()) for w, i in zip(group, self.encode(group), strict=True))
+        return out
+
+    def words(self, text: str) -> list[str] | None:
+        if not self.mark or _UNSURE.search(text):
+            return None
+        return _WORD.findall((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        cut = [self.words(t) for t in texts]
+        whole = [i for i, words in enumerate(cut) if words is None]
+        out = dict(zip(whole, (e.tobytes() for e in self.encode([texts[i] for i in whole])), strict=True))
+        missing = {w for words in cut if words for w in words} - self.known.keys()
+        if len(self.known) + len(missing) > KNOWN_WORDS:
+            missing |= {w for words in cut if words for w in words}
+            self.known = {}
+        self.known.update(self.learn(list(missing)))
+        get = self.known.__getitem__
+        return [out[i] if words is None else b"".join(map(get, words)) for i, words in enumerate(cut)]
 
 
 @dataclass
@@ -192,15 +217,13 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, window: int, with_ids: b
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     for b in batches:
-        found: list[tuple] = []
-        texts = (t.as_py() for t in b.column("text"))
-        for doc, ids in zip(b.column("doc_id").to_pylist(), words.texts(texts), strict=True):
-            ids += end
-            found.extend(rows(packer.add(Piece(doc, 0, ids, len(ids) // 4))))
-            if len(found) >= 20_000:
-                yield batch(found)
-                found = []
-        yield batch(found)
+        for at in range(0, b.num_rows, TEXTS):
+            few = b.slice(at, TEXTS)
+            found: list[tuple] = []
+            for doc, ids in zip(few.column("doc_id").to_pylist(), words.texts(few.column("text").to_pylist()), strict=True):
+                ids += end
+                found.extend(rows(packer.add(Piece(doc, 0, ids, len(ids) // 4))))
+            yield batch(found)
     yield batch(list(rows(packer.finish())))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mcqflow.llm import fingerprints, licenses, mixing, packing, quality, warc
+from mcqflow.llm import fingerprints, html, jaccard, licenses, mixing, packing, quality, substrings, suffix, warc
 from mcqflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,3 +51,23 @@ def op7_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
+
+
+@query
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, folder, "documents"))
+
+
+@query
+def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(table(spark, folder, "pages"))
+
+
+@query
+def op9_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, folder, "documents"))
+
+
+@query
+def op3_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.link_components(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")

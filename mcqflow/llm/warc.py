@@ -33,6 +33,7 @@ from mcqflow.llm.common import checkpointed, text_of
 
 FILE_BYTES = 256 << 20
 CHUNK = 1 << 18
+BROADCAST_DECISIONS = 100_000  # of some 90 bytes
 LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -178,24 +179,29 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str, payloads: bool) -> Ite
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     """Write the archives; a row with the path of each file."""
+    key = F.concat_ws(".", F.col("page_id").cast("string"), "digest").alias("key")
     rows = pages.select("page_id", "url", text_of("html").alias("html")).withColumn("digest", F.sha1("html"))
-    ids = rows.where(F.octet_length("html") >= min_bytes).select("page_id", "digest")
-    counted = ids.groupBy("page_id", "digest").agg(F.count(F.lit(1)).alias("n"))
-    first = counted.groupBy("digest").agg(
-        F.min("page_id").alias("first"), F.count(F.lit(1)).alias("pages"), F.sum("n").alias("n")
+    ids = rows.where(F.octet_length("html") >= min_bytes).select("page_id", "digest", key)
+    counted = ids.groupBy("key", "page_id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    first = counted.groupBy("digest").agg(F.min("page_id").alias("first"), F.sum("n").alias("all"))
+    # Only what isn't alone needs a decision. Few decisions are sent to all tasks; with many,
+    # pages and decisions are exchanged by key.
+    again = checkpointed(
+        counted.join(first.where("all > 1").drop("all"), "digest").select(
+            "key", "n", "first", F.col("page_id").eqNullSafe(F.col("first")).alias("is_first")
+        )
     )
-    # Only what isn't alone needs a decision.
-    again = counted.drop("n").join(first.where("n > 1").drop("pages", "n"), "digest").withColumnsRenamed(
-        {"page_id": "_page", "digest": "_digest"}
+    decisions, repeated = again.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
+    joined = rows.select("page_id", "url", "html", key).join(
+        F.broadcast(again) if decisions <= BROADCAST_DECISIONS else again, "key", "left"
     )
-    same = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest"))
-    nth = F.row_number().over(W.partitionBy("page_id", "digest").orderBy("url"))
-    decided = rows.join(again, same, "left").withColumn("nth", nth).select(
-        "page_id",
-        "url",
-        "html",
-        F.col("first").alias("refers_to"),
-        (F.col("_digest").isNotNull() & ~(F.col("page_id").eqNullSafe(F.col("first")) & (F.col("nth") == 1))).alias("revisit"),
+    if repeated > 1:  # rows that share id and payload are told apart
+        joined = joined.withColumn("nth", F.row_number().over(W.partitionBy("key").orderBy("url")))
+    else:
+        joined = joined.withColumn("nth", F.lit(1))
+    decided = joined.select(
+        "page_id", "url", "html", F.col("first").alias("refers_to"),
+        (F.col("n").isNotNull() & ~(F.col("is_first") & (F.col("nth") == 1))).alias("revisit"),
     )
     store, root = pafs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
