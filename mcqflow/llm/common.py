@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -49,14 +50,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder, so that a lost executor costs no earlier step.
-
-    The cluster names the folder in ``spark.checkpoint.dir``. Only where that is unset,
-    as in tests, a folder in the warehouse is used.
-    """
-    context = df.sparkSession.sparkContext
+def checkpoint_root(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; only where that is unset,
+    as in tests, one in the warehouse."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        warehouse = df.sparkSession.conf.get("spark.sql.warehouse.dir")
-        context.setCheckpointDir(f"{warehouse.rstrip('/')}/checkpoints")
+        context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The name of a new folder under the shared one."""
+    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder, so that a lost executor costs no earlier step."""
+    checkpoint_root(df.sparkSession)
     return df.checkpoint()

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from mcqflow.llm.common import checkpointed, text_of
+from mcqflow.llm.common import checkpointed, fresh, text_of
 from mcqflow.llm.components import components
 from mcqflow.llm.repeats import mix, packed, unpacked
 from mcqflow.llm.substrings import WordNames, joined
@@ -405,7 +405,7 @@ def _verified(pairs: DataFrame, active: DataFrame, percent: int) -> DataFrame:
 
 
 def link_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """doc_id, hash, n_shingles, set_id and component_id of each document."""
+    """doc_id, hash, n_shingles, component and component_id of each document."""
     spark = docs.sparkSession
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select("doc_id", text_of("text").alias("text")).withColumn("hash", F.xxhash64("text"))
@@ -438,23 +438,25 @@ def link_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
             comps = checkpointed(comps.join(merged, "comp").select("set_id", F.col("new").alias("comp")))
 
     # A class that isn't active is a component of its own; an empty set is no class.
-    named = sets.where("n_shingles > 0").join(comps, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
-    smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    linked = named.join(smallest, "comp").select("doc_id", "hash", "n_shingles", "set_id", "component_id")
-    alone = sets.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
-    return linked.unionByName(alone.select("doc_id", "hash", "n_shingles", "set_id", "component_id"))
+    named = sets.where("n_shingles > 0").join(comps, "set_id", "left").withColumn("component", F.coalesce("comp", "set_id"))
+    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    columns = ["doc_id", "hash", "n_shingles", "component", "component_id"]
+    linked = named.join(smallest, "component").select(columns)
+    alone = sets.where("n_shingles = 0").withColumn("component", F.lit(None).cast("binary"))
+    return linked.unionByName(alone.withColumn("component_id", F.col("doc_id")).select(columns))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, that of the smallest id, with all its columns."""
-    found = link_components(docs, percent).where("n_shingles > 0")
-    # Equal texts have one hash; of rows with the component's id the first by hash stays.
-    best = found.groupBy("component_id").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("hash"))).alias("_h"))
-    best = best.withColumnRenamed("component_id", "_id")
-    rows = docs.withColumn("_hash", F.xxhash64(text_of("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h"))
-    kept = rows.join(best, same).drop("_id", "_h")
-    nth = F.row_number().over(W.partitionBy("doc_id", "_hash").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")]))
-    kept = kept.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
-    empty = rows.where(~text_of("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
-    return kept.unionByName(empty)
+    """One document of each component, that of the smallest id, with all its columns; of rows
+    that share that id and text one stays. Documents without words stay."""
+    columns = docs.columns
+    h, i, o, nth = (fresh(columns, x) for x in ("_hash", "_id", "_of", "_nth"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("x")
+    best = link_components(docs, percent).where("n_shingles > 0").groupBy("component").agg(first)
+    best = best.select(F.col("x.doc_id").alias(i), F.col("x.hash").alias(o)).distinct()
+    rows = docs.withColumn(h, F.xxhash64(text_of("text")))
+    kept = rows.join(best, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(h) == F.col(o)))
+    order = [c for c in columns if c not in ("doc_id", "text")] or [h]
+    kept = kept.withColumn(nth, F.row_number().over(W.partitionBy("doc_id", h).orderBy(*order))).where(F.col(nth) == 1)
+    empty = docs.where(~text_of("text").rlike(r"[^\x20\x09-\x0D]"))
+    return kept.select(columns).unionByName(empty)

@@ -17,7 +17,7 @@ ids come after all others.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from typing import Any, Protocol
 
 import numpy as np
@@ -37,9 +37,10 @@ def groups_for(df: DataFrame) -> int:
     return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def dealt(docs: DataFrame, groups: int) -> DataFrame:
-    """doc_id, text, its hash and the group of each row."""
-    read = docs.select("doc_id", text_of("text").alias("text")).withColumn("hash", F.xxhash64("text"))
+def dealt(docs: DataFrame, groups: int, carried: Sequence[str] = ()) -> DataFrame:
+    """doc_id, text, its hash, the group of each row, and the carried columns as c0, c1, ..."""
+    more = [F.col(c).alias(f"c{i}") for i, c in enumerate(carried)]
+    read = docs.select("doc_id", text_of("text").alias("text"), *more).withColumn("hash", F.xxhash64("text"))
     return read.withColumn("grp", F.pmod(F.xxhash64("doc_id", "hash"), F.lit(groups)).cast("int"))
 
 
@@ -223,13 +224,18 @@ def _results(texts: pa.Table, answers: pa.Table, finder: Finder, schema: pa.Sche
         for i, n in enumerate(group.number)
     ]
     columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
-    return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    arrays = [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)]
+    carried = [c for c in texts.column_names if c[0] == "c"]
+    return pa.table([*arrays, *(texts.column(c) for c in carried)], names=[*schema.names, *carried])
 
 
-def find_repeats(docs: DataFrame, finder: Finder, ddl: str, schema: pa.Schema, groups: int | None = None) -> DataFrame:
-    """``finder.result`` of every row of ``docs``."""
+def find_repeats(
+    docs: DataFrame, finder: Finder, ddl: str, schema: pa.Schema, groups: int | None = None, carried: Sequence[str] = ()
+) -> DataFrame:
+    """``finder.result`` of every row of ``docs``, and its carried columns as c0, c1, ..."""
     n = groups or groups_for(docs)
-    texts = dealt(docs, n)
+    texts = dealt(docs, n, carried)
+    ddl = ", ".join([ddl, *(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carried))])
 
     by_group = texts.groupBy("grp")
     asked = by_group.applyInArrow(lambda t: _ask_names(t, finder, n), ASK)

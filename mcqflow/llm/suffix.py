@@ -29,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from mcqflow.llm.repeats import ANSWERED, ASKED, find_repeats, merged, mix
 
@@ -171,11 +171,14 @@ class ByteStrings:
                 owner = lo >> 40
                 yield grp, (owner.astype(np.int32), lo & mask, hi - (owner << 40))
 
-    def result(self, doc_id: int | None, text: bytes, start: np.ndarray, stop: np.ndarray, rows: int) -> tuple:
+    def removed(self, text: bytes, start: np.ndarray, stop: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
         if rows > 1 and len(text) >= self.length:
-            start, stop = np.array([0]), np.array([len(text)])
+            return np.array([0]), np.array([len(text)])
+        return merged(start, stop)
+
+    def result(self, doc_id: int | None, text: bytes, start: np.ndarray, stop: np.ndarray, rows: int) -> tuple:
         digest, at, gone = hashlib.sha256(), 0, 0
-        spans = list(zip(*(x.tolist() for x in merged(start, stop)), strict=True))
+        spans = list(zip(*(x.tolist() for x in self.removed(text, start, stop, rows)), strict=True))
         for a, b in spans:
             digest.update(text[at:a])
             at, gone = b, gone + b - a
@@ -271,3 +274,25 @@ def repeated_strings(
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Counts and digest of what is left of each document."""
     return find_repeats(docs, ByteStrings(length), DDL, SCHEMA)
+
+
+class KeptText(ByteStrings):
+    """What is left of a text. A character that loses one of its bytes goes as a whole."""
+
+    def result(self, doc_id: int | None, text: bytes, start: np.ndarray, stop: np.ndarray, rows: int) -> tuple:
+        start, stop = self.removed(text, start, stop, rows)
+        at, kept = 0, []
+        for a, b in zip(start.tolist(), stop.tolist(), strict=True):
+            kept.append(text[at:a])
+            at = b
+        left = b"".join(k.decode("utf-8", "ignore").encode() for k in [*kept, text[at:]]).decode()
+        return doc_id, left, len(left)
+
+
+def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The documents without their repeated strings; ``n_chars`` is that of the new text."""
+    kept = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_chars", pa.int64())])
+    found = find_repeats(docs, KeptText(length), "doc_id bigint, text string, n_chars bigint", schema, carried=kept)
+    names = {c: f"c{i}" for i, c in enumerate(kept)}
+    return found.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])

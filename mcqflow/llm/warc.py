@@ -27,9 +27,9 @@ from urllib.parse import quote
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from mcqflow.llm.common import checkpointed, text_of
+from mcqflow.llm.common import checkpointed, new_folder, text_of
 
 FILE_BYTES = 256 << 20
 CHUNK = 1 << 18
@@ -215,19 +215,9 @@ def read_archives(files: DataFrame, folder: str, payloads: bool = False) -> Data
     return files.mapInArrow(work, schema)
 
 
-def archive_folder(spark: SparkSession) -> str:
-    """A new folder under the shared one."""
-    root = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if root.isEmpty():
-        root = spark.conf.get("spark.sql.warehouse.dir")
-    else:
-        root = root.get()
-    return f"{root.rstrip('/')}/archives-{uuid.uuid4().hex}"
-
-
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write every page and read the archives back."""
-    folder = archive_folder(pages.sparkSession)
+    folder = new_folder(pages.sparkSession, "archives")
     return read_archives(write_archives(pages, folder), folder).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"
     )
