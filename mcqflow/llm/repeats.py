@@ -122,6 +122,32 @@ class Finder(Protocol):
         """The output row of a text, given what repeats and how many rows hold this id and text."""
 
 
+def short(names: np.ndarray) -> np.ndarray:
+    """Five bytes of each name; with the part, which the rest of it chose, that tells names apart.
+    Names taken for one by mistake only make a question more."""
+    return np.ascontiguousarray(np.ascontiguousarray(names).view(np.uint8).reshape(-1, 8)[:, :5])
+
+
+def long(names: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(names), 8), dtype=np.uint8)
+    out[:, :5] = names
+    return out.view(np.uint64).ravel()
+
+
+def numbered(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers, and the index among them of each; a short form of the array."""
+    used, local = np.unique(numbers, return_inverse=True)
+    return used, local.astype(np.uint16 if len(used) < 2**16 else np.uint32)
+
+
+def spans_of(number: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number, start and stop of the runs that stretches of a length make in each document."""
+    far = number.astype(np.int64) << 40
+    low, high = merged(far + start, far + start + length)
+    owner = low >> 40
+    return owner.astype(np.int32), low - (owner << 40), high - (owner << 40)
+
+
 def _parts(names: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the names by part, and where each part starts."""
     part = (mix(names) % np.uint64(parts)).astype(np.int64)
@@ -142,12 +168,12 @@ def _ask_names(table: pa.Table, finder: Finder, parts: int) -> pa.Table:
         twice = count > 1
         known = twice[inverse]
         if known.any():
-            rows.append((grp % parts, grp, ANSWERED, (owner[known], found.name[known])))
+            rows.append((grp % parts, grp, ANSWERED, (*numbered(owner[known]), short(found.name[known]))))
         order, cuts = _parts(name, parts)
         for p in range(parts):
             here = order[cuts[p] : cuts[p + 1]]
             if len(here):
-                rows.append((p, grp, ASKED, (owner[first[here]], name[here], twice[here])))
+                rows.append((p, grp, ASKED, (*numbered(owner[first[here]]), short(name[here]), np.packbits(twice[here]))))
     return packed(rows)
 
 
@@ -160,37 +186,37 @@ def _answer_names(table: pa.Table) -> pa.Table:
         else:
             asked.append((grp, data))
     if asked:
-        names = np.concatenate([d[1] for _, d in asked])
-        twice = np.concatenate([d[2] for _, d in asked])
+        names = long(np.concatenate([d[2] for _, d in asked]))
+        twice = np.concatenate([np.unpackbits(d[3], count=len(d[2])) for _, d in asked]).astype(bool)
         _, inverse, count = np.unique(names, return_inverse=True, return_counts=True)
         flagged = np.zeros(len(count), dtype=bool)
         flagged[inverse[twice]] = True
-        wanted = ((count > 1) | flagged)[inverse]
+        wanted = ((count > 1) | flagged)[inverse] & ~twice
         at = 0
-        for grp, (doc, name, own) in asked:
-            here = wanted[at : at + len(name)] & ~own
+        for grp, (numbers, local, name, _) in asked:
+            here = wanted[at : at + len(name)]
             at += len(name)
             if here.any():
-                rows.append((0, grp, ANSWERED, (doc[here], name[here])))
+                rows.append((0, grp, ANSWERED, (*numbered(numbers[local[here]]), name[here])))
     return packed(rows)
 
 
-def _by_doc(table: pa.Table, width: int) -> dict[int, tuple[np.ndarray, ...]]:
-    """The answers for each document, by its number."""
-    rows = [data for _, _, _, data in unpacked(table)]
-    if not rows:
-        return {}
-    doc, *values = (np.concatenate([r[i] for r in rows]) for i in range(width + 1))
+def _by_doc(doc: np.ndarray, *values: np.ndarray) -> dict[int, tuple[np.ndarray, ...]]:
+    """The values of each document, by its number."""
     order = np.argsort(doc, kind="stable")
     doc = doc[order]
-    cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True])
-    values = [v[order] for v in values]
+    cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True]) if len(doc) else np.zeros(1, dtype=np.int64)
+    values = tuple(v[order] for v in values)
     return {int(doc[a]): tuple(v[a:b] for v in values) for a, b in zip(cuts[:-1], cuts[1:], strict=True)}
 
 
 def _ask_strings(texts: pa.Table, names: pa.Table, finder: Finder, parts: int) -> pa.Table:
     rows, group = [], Group(texts)
-    wanted = {k: v[0] for k, v in _by_doc(names, 1).items()}
+    told = [data for *_, data in unpacked(names)]
+    if not told:
+        return packed(rows)
+    doc, name = np.concatenate([d[0][d[1]] for d in told]), long(np.concatenate([d[2] for d in told]))
+    wanted = {k: v[0] for k, v in _by_doc(doc, name).items()}
     golden = np.uint64(0x9E3779B97F4A7C15)
     for numbers, chunk in group.chunks(finder.chunk, sorted(wanted)):
         found = finder.anchors(chunk)
@@ -198,7 +224,7 @@ def _ask_strings(texts: pa.Table, names: pa.Table, finder: Finder, parts: int) -
         asked = [wanted[k] for k in numbers.tolist()]
         doc = np.repeat(np.arange(len(numbers)), [len(a) for a in asked]).astype(np.uint64)
         pairs = mix(np.concatenate(asked) + doc * golden)
-        here = mix(found.name + found.doc.astype(np.uint64) * golden)
+        here = mix(long(short(found.name)) + found.doc.astype(np.uint64) * golden)
         for part, kind, data in finder.questions(numbers, group.key[numbers], found, np.isin(here, pairs), parts):
             rows.append((part if kind == ASKED else group.grp % parts, group.grp, kind, data))
     return packed(rows)
@@ -216,8 +242,9 @@ def _answer_strings(table: pa.Table, finder: Finder) -> pa.Table:
 
 
 def _results(texts: pa.Table, answers: pa.Table, finder: Finder, schema: pa.Schema) -> pa.Table:
-    spans, group = _by_doc(answers, 2), Group(texts)
-    none = (np.zeros(0, dtype=np.int64),) * 2
+    group, none = Group(texts), (np.zeros(0, dtype=np.int64),) * 2
+    told = [data for *_, data in unpacked(answers)]
+    spans = _by_doc(*(np.concatenate([d[i] for d in told]) for i in range(3))) if told else {}
     times = np.bincount(group.number) if len(group.number) else []
     rows = [
         finder.result(group.ids[i], group.text(i), *spans.get(int(n), none), int(times[n]))

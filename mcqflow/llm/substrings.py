@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from mcqflow.llm.repeats import ANSWERED, ASKED, find_repeats, merged, mix
+from mcqflow.llm.repeats import ANSWERED, ASKED, find_repeats, merged, mix, numbered, spans_of
 
 WINDOW = 20
 ROUNDS = 7
@@ -152,6 +152,17 @@ def window_digests(words: np.ndarray, window: int, seed: int) -> np.ndarray:
         power = joined(power[: -(size // 2)], power[size // 2 :])
 
 
+def stretches(words: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A digest of words [low, high) for each pair: a polynomial modulo 2**64, by prefix sums."""
+    base = 0x9E3779B97F4A7C15
+    inverse = pow(base, -1, 2**64)
+    n = len(words) + 1
+    power = np.cumprod(np.r_[U(1), np.full(n - 1, base, dtype=U)])
+    back = np.cumprod(np.r_[U(1), np.full(n - 1, inverse, dtype=U)])
+    sums = np.r_[U(0), np.cumsum(mix(words + U(3)) * power[:-1])]
+    return mix((sums[high] - sums[low]) * back[low] + (high - low).astype(U))
+
+
 @dataclass
 class Found:
     """A chunk's words, windows and anchors."""
@@ -190,7 +201,14 @@ class WordWindows:
         new = np.r_[True, symbol[start[1:]] != symbol[start[:-1]]] if len(start) else np.zeros(0, dtype=bool)
         anchor = np.full(len(is_window), -1, dtype=np.int64)
         anchor[start] = np.cumsum(new) - 1
-        return Found(words, place, doc, anchor, name[start[new]], doc[start[new]])
+        first = start[new]
+        # A symbol is asked for with its whole context, which is in each of its windows.
+        context = np.array([symbol[first] % 16, symbol[first] // 16])
+        low, high = (np.zeros(len(first), dtype=np.int64) for _ in range(2))
+        for level in np.unique(context[0]).tolist():
+            mine = context[0] == level
+            low[mine], high[mine] = levels[level].low[context[1][mine]], levels[level].high[context[1][mine]]
+        return Found(words, place, doc, anchor, joined(name[first], stretches(words, low, high)), doc[first])
 
     def questions(
         self, numbers: np.ndarray, keys: np.ndarray, found: Found, wanted: np.ndarray, parts: int
@@ -208,7 +226,7 @@ class WordWindows:
         first = np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])]
         later = ~first
         if later.any():
-            yield 0, ANSWERED, (numbers[doc[later]], place[later], place[later] + self.window)
+            yield 0, ANSWERED, spans_of(numbers[doc[later]], place[later], self.window)
         high, low, doc, place = high[first], low[first], doc[first], place[first]
         part = (mix(high) % U(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
@@ -216,9 +234,8 @@ class WordWindows:
         for p in range(parts):
             here = order[cuts[p] : cuts[p + 1]]
             if len(here):
-                used, local = np.unique(doc[here], return_inverse=True)
-                known = (keys[used], numbers[used], local.astype(np.uint16 if len(used) < 2**16 else np.int32))
-                yield p, ASKED, (*known, high[here], low[here], place[here].astype(np.uint32))
+                used, local = numbered(doc[here])
+                yield p, ASKED, (keys[used], numbers[used], local, high[here], low[here], place[here].astype(np.uint32))
 
     def answer(self, asked: list[tuple]) -> Iterator[tuple]:
         if not asked:
@@ -234,8 +251,7 @@ class WordWindows:
             here = later[at : at + len(doc)]
             at += len(doc)
             if here.any():
-                begin = start[here].astype(np.int64)
-                yield grp, (numbers[doc[here]], begin, begin + self.window)
+                yield grp, spans_of(numbers[doc[here]], start[here].astype(np.int64), self.window)
 
     def result(self, doc_id: int | None, text: bytes, start: np.ndarray, stop: np.ndarray, rows: int) -> tuple:
         words = text.split()

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from mcqflow.llm.repeats import ANSWERED, ASKED, find_repeats, merged, mix
+from mcqflow.llm.repeats import ANSWERED, ASKED, find_repeats, merged, mix, spans_of
 
 LENGTH = 200
 GRAM = 32
@@ -164,12 +164,7 @@ class ByteStrings:
             at += len(doc)
             if b > a:
                 begin = first[mine] + place[a:b]
-                # Runs of places become spans; documents are kept apart.
-                far = doc[mine].astype(np.int64) << 40
-                lo, hi = merged(far + begin, far + begin + self.length)
-                mask = (1 << 40) - 1
-                owner = lo >> 40
-                yield grp, (owner.astype(np.int32), lo & mask, hi - (owner << 40))
+                yield grp, spans_of(doc[mine], begin, self.length)
 
     def removed(self, text: bytes, start: np.ndarray, stop: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
         if rows > 1 and len(text) >= self.length:
