@@ -8,6 +8,7 @@ from __future__ import annotations
 # --- shared pieces -----------------------------------------------------------
 
 _NL = "chr(10)"
+# The exam's wording and the chat strings.
 _EXAM = (
     f"'You are taking a multiple-choice exam.' || {_NL} || 'Choose the correct answer.' || {_NL}"
     f" || 'Respond with ONLY the letter: A, B, C, or D.' || {_NL}"
@@ -65,13 +66,14 @@ def _exam(subject: str) -> str:
     )
 
 
-PROMPTS = f"""{QUESTIONS},
+_RENDERED = f"""
 exam AS (SELECT *, {_exam("coalesce(subject, '')")} AS prompt FROM questions),
 prompts AS (
   SELECT *, {_user('prompt')} || {_GEN} || {_NO_THINK} AS prompt_text,
     {_user('prompt')} || {_GEN} || {_NO_THINK} || gold || {_END} AS full_text
   FROM exam)
 """
+PROMPTS = f"{QUESTIONS}, {_RENDERED}"
 
 _HEX = "(strpos('0123456789abcdef', substr(d, {n}, 1)) - 1)"
 OUTPUTS = f"""
@@ -143,6 +145,16 @@ encoded AS (
 
 _TURN = f"'<|im_start|>' || role || {_NL} || text || {_END}"
 
+_DIALOGUES = (
+    f"t AS (SELECT conv_id, turn, role,"
+    f" {_bytes(f'{chr(39)}<|im_start|>{chr(39)} || role || {_NL}')} AS head,"
+    f" {_bytes(f'text || {_END}')} AS body FROM conversations),"
+    f" l AS (SELECT *, list_concat({_repeat(-100, 'len(head)')}, CASE WHEN role = 'assistant' THEN body"
+    f" ELSE {_repeat(-100, 'len(body)')} END) AS turn_labels FROM t),"
+    f" g AS (SELECT conv_id, flatten(list(list_concat(head, body) ORDER BY turn)) AS ids,"
+    f" flatten(list(turn_labels ORDER BY turn)) AS labels FROM l GROUP BY conv_id)"
+)
+
 _MANIFEST = """
 epochs AS (SELECT doc_id AS item_id, epoch FROM documents, (VALUES (0), (1)) AS e(epoch)),
 shuffled AS (
@@ -196,9 +208,14 @@ flagged AS (
   FROM arrived a JOIN questions USING (item_id))
 """
 
+_EARLIEST = """
+earliest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY ts, pred NULLS LAST) AS k FROM flagged) WHERE k = 1)
+"""
+
 _BROKEN = f"""{QUESTIONS},
 broken AS (
-  SELECT item_id, gold,
+  SELECT item_id, gold, CASE WHEN item_id % 31 <> 0 THEN item_id END AS shown_id,
     item_id % 17 = 0 AS no_question,
     item_id % 13 <> 0 AND item_id % 19 <> 0 AND item_id % 29 = 0 AS no_choices,
     item_id % 13 = 0 AS few,
@@ -208,7 +225,7 @@ broken AS (
     item_id % 11 = 0 AS bad_answer
   FROM questions),
 reasons AS (
-  SELECT item_id, CASE WHEN no_question THEN 'missing question' WHEN no_choices THEN 'missing choices'
+  SELECT item_id, shown_id, CASE WHEN shown_id IS NULL THEN 'missing item_id' WHEN no_question THEN 'missing question' WHEN no_choices THEN 'missing choices'
     WHEN few THEN 'fewer than four choices' WHEN null_choice THEN 'null choice'
     WHEN no_answer THEN 'missing answer' WHEN bad_answer THEN 'invalid answer' END AS invalid_reason
   FROM broken)
@@ -257,7 +274,7 @@ def all_sql() -> dict[str, str]:
             "SELECT item_id, question, subject, answer, split FROM questions WHERE split = 'validation'",
         ),
         "s2_read_splits": _with(QUESTIONS, "SELECT item_id, split FROM questions"),
-        "s3_row_contract": _with(_BROKEN, "SELECT item_id, invalid_reason FROM reasons"),
+        "s3_row_contract": _with(_BROKEN, "SELECT shown_id AS item_id, invalid_reason FROM reasons"),
         "s3_quarantine": _with(
             _BROKEN,
             "SELECT coalesce(invalid_reason, 'valid') AS outcome, count(*)::BIGINT AS n FROM reasons GROUP BY 1",
@@ -273,7 +290,7 @@ def all_sql() -> dict[str, str]:
         "s6_count_splits": _with(QUESTIONS, "SELECT split, count(*)::BIGINT AS n FROM questions GROUP BY split"),
         "p1_answer_letter": _with(QUESTIONS, "SELECT item_id, gold FROM questions"),
         "p1_answer_or_null": _with(
-            _BROKEN, "SELECT item_id, CASE WHEN NOT no_answer AND NOT bad_answer THEN gold END AS gold FROM broken"
+            _BROKEN, "SELECT shown_id AS item_id, CASE WHEN NOT no_answer AND NOT bad_answer THEN gold END AS gold FROM broken"
         ),
         "p2_mcq_prompt": _with(PROMPTS, "SELECT item_id, prompt FROM prompts"),
         "p3_prompt_by_name": _with(QUESTIONS, f"SELECT item_id, {_exam(chr(39) * 2)} AS prompt FROM questions"),
@@ -286,10 +303,20 @@ def all_sql() -> dict[str, str]:
             QUESTIONS,
             f"SELECT item_id, {_user('question')} || {_GEN} || {_NO_THINK} || gold || {_END} AS dialogue FROM questions",
         ),
-        "p6_render_dialogues": f"SELECT conv_id, turn // 1024 AS part, count(*)::BIGINT AS turns,"
-        f" string_agg({_TURN}, '' ORDER BY turn) AS text FROM conversations GROUP BY 1, 2",
-        "p6_message_lists": f"SELECT conv_id, turn // 4 AS part, string_agg(role, ',' ORDER BY turn) AS roles,"
-        f" md5(string_agg({_TURN}, '' ORDER BY turn)) AS text_md5 FROM conversations GROUP BY 1, 2",
+        "p6_render_dialogues": "SELECT conv_id, count(*)::BIGINT AS turns,"
+        f" string_agg({_TURN}, '' ORDER BY turn) AS text FROM conversations GROUP BY 1",
+        "p6_shifted_turns": "SELECT conv_id, count(*)::BIGINT AS turns,"
+        f" string_agg({_TURN}, '' ORDER BY turn) || {_GEN} || {_NO_THINK} AS text FROM conversations GROUP BY 1",
+        "p6_turn_offsets": f"SELECT conv_id, turn, md5(t) AS text_md5, coalesce(sum(length(t)) OVER (PARTITION BY conv_id"
+        " ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset"
+        f" FROM (SELECT conv_id, turn, {_TURN} AS t FROM conversations)",
+        "p6_null_turns": "WITH m AS (SELECT conv_id, CASE WHEN (conv_id + turn) % 13 = 0 THEN 'missing role'"
+        " WHEN (conv_id + turn) % 11 = 0 THEN 'missing text' END AS reason FROM conversations),"
+        " c AS (SELECT conv_id, count(reason) AS bad, count(*) AS n FROM m GROUP BY conv_id)"
+        " SELECT conv_id, 'rendered' AS outcome, n::BIGINT AS n FROM c WHERE bad = 0 UNION ALL"
+        " SELECT conv_id, coalesce(reason, 'held'), count(*)::BIGINT FROM m JOIN c USING (conv_id) WHERE bad > 0 GROUP BY 1, 2",
+        "p6_message_lists": "SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles,"
+        f" md5(string_agg({_TURN}, '' ORDER BY turn)) AS text_md5 FROM conversations GROUP BY 1",
         "p7_byte_ids": f"SELECT item_id, {_digest('ids')} FROM"
         f" (SELECT doc_id AS item_id, {_bytes('text')} AS ids FROM documents)",
         "p7v_vocabulary_ids": vocabulary_ids,
@@ -303,23 +330,24 @@ def all_sql() -> dict[str, str]:
         "p8_truncate": f"SELECT item_id, {_digest('ids')}, true AS same FROM"
         f" (SELECT doc_id AS item_id, {_bytes('text')}[1:1024] AS ids FROM documents)",
         "p9_attention_mask": f"SELECT item_id, {_digest('mask', 'mask')} FROM (SELECT doc_id AS item_id,"
-        f" {_repeat(1, 'least(strlen(text), 1024)')} AS mask FROM documents)",
+        f" {_repeat(1, 'strlen(text)')} AS mask FROM documents)",
         "p10_prompt_mask": _with(
             f"{QUESTIONS}, b AS (SELECT item_id, {_bytes('question')} AS ids, item_id % 50 AS plen FROM questions),"
             f" l AS (SELECT item_id, list_concat({_repeat(-100, 'least(plen, len(ids))')}, ids[plen + 1:]) AS labels FROM b)",
             f"SELECT item_id, {_digest('labels', 'labels')} FROM l",
         ),
-        "p11_assistant_mask": _with(
-            f"t AS (SELECT conv_id, turn, turn // 1024 AS part, role,"
-            f" {_bytes(f'{chr(39)}<|im_start|>{chr(39)} || role || {_NL}')} AS head,"
-            f" {_bytes(f'text || {_END}')} AS body FROM conversations),"
-            f" l AS (SELECT *, list_concat({_repeat(-100, 'len(head)')}, CASE WHEN role = 'assistant' THEN body"
-            f" ELSE {_repeat(-100, 'len(body)')} END) AS turn_labels FROM t),"
-            f" g AS (SELECT conv_id, part, flatten(list(list_concat(head, body) ORDER BY turn)) AS ids,"
-            f" flatten(list(turn_labels ORDER BY turn)) AS labels FROM l GROUP BY conv_id, part)",
-            f"SELECT conv_id, part, {_digest('ids')}, {_digest('labels', 'labels')} FROM g",
+        "p11_assistant_mask": _with(_DIALOGUES, f"SELECT conv_id, {_digest('ids')}, {_digest('labels', 'labels')} FROM g"),
+        "p11_limited_mask": _with(
+            f"{_DIALOGUES}, h AS (SELECT conv_id, ids[1:{SHORT}] AS ids, labels[1:{SHORT}] AS labels FROM g)",
+            f"SELECT conv_id, {_digest('ids')}, {_digest('labels', 'labels')} FROM h",
         ),
         "p12_produced_columns": _with(_tokens(1024), "SELECT item_id, len(labels)::BIGINT AS length FROM tokens"),
+        "p13_null_mode": _with(
+            f"{_BROKEN}, {_RENDERED}",
+            "SELECT shown_id AS item_id, CASE WHEN NOT (no_question OR no_choices OR few OR null_choice) THEN md5(prompt_text) END"
+            " AS prompt_md5, CASE WHEN NOT no_answer AND NOT bad_answer THEN broken.gold END AS gold"
+            " FROM broken JOIN prompts USING (item_id)",
+        ),
         "p13_eval_prompts": _with(
             PROMPTS, "SELECT item_id, prompt_text, gold, coalesce(subject, '') AS subject FROM prompts"
         ),
@@ -337,7 +365,7 @@ def all_sql() -> dict[str, str]:
         "p17_correct": _with(SCORED, "SELECT run, item_id, pred, correct FROM scored"),
         "p17_scored_runs": _with(SCORED, "SELECT run, item_id, pred, correct FROM scored"),
         "p18_first_supervised": _with(
-            _tokens(SHORT), "SELECT item_id, CASE WHEN plen < len(ids) THEN plen::BIGINT END AS pos FROM tokens"
+            _LABELS, "SELECT item_id, CASE WHEN supervised THEN pos::BIGINT END AS pos FROM vectors"
         ),
         "p19_argmax": "SELECT vec_id AS item_id,"
         " (list_position(embedding, list_max(embedding)) - 1)::BIGINT AS best FROM embeddings",
@@ -365,6 +393,14 @@ def all_sql() -> dict[str, str]:
             f" list_concat(labels, {_repeat(-100, 'w - len(ids)')}) AS labels FROM wide)",
             f"SELECT batch_id, item_id, {_digest('ids')}, {_digest('mask', 'mask')}, {_digest('labels', 'labels')} FROM padded",
         ),
+        "b3_quarantine_batches": _with(
+            f"{_BROKEN}, placed AS (SELECT item_id, (row_number() OVER (ORDER BY md5('42:0:' || item_id)) - 1) // 8"
+            " AS batch_id FROM reasons WHERE invalid_reason IS NULL)",
+            "SELECT batch_id::BIGINT AS batch_id, count(*)::BIGINT AS n, min(item_id) AS least FROM placed GROUP BY 1",
+        ),
+        "b1_null_keys": "WITH k AS (SELECT CASE WHEN doc_id % 5 <> 0 THEN source END AS g FROM documents)"
+        " SELECT 'all' AS g, count(*)::BIGINT AS n, count(*)::BIGINT - 1 AS last FROM k UNION ALL"
+        " SELECT g, count(*)::BIGINT, count(*)::BIGINT - 1 FROM k GROUP BY g",
         "b3_collate": _with(
             f"{_tokens(1024)}, placed AS (SELECT *, (row_number() OVER (ORDER BY item_id) - 1) // 8 AS batch_id FROM tokens),"
             " wide AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS w FROM placed),"
@@ -377,6 +413,10 @@ def all_sql() -> dict[str, str]:
             f"SELECT batch_id, width, items, {_digest('ids')}, {_digest('labels', 'labels')} FROM g",
         ),
         "b4_manifest": _with(_MANIFEST, "SELECT epoch, step, rank, micro, batch_id, item_id FROM manifest"),
+        "b4_fractional_epochs": _with(
+            f"{_MANIFEST}, per AS (SELECT max(step) + 1 AS n FROM manifest)",
+            "SELECT epoch, step, rank, micro, batch_id, item_id FROM manifest, per WHERE epoch * n + step < floor(1.5 * n)",
+        ),
         "b5_step_totals": _with(
             "c AS (SELECT count(*)::BIGINT AS samples FROM documents),"
             " b AS (SELECT samples, ceil(samples / 2)::BIGINT AS batches FROM c),"
@@ -392,6 +432,13 @@ def all_sql() -> dict[str, str]:
             "SELECT run, item_id, gold, coalesce(subject, '') AS subject, output_text"
             " FROM questions JOIN outputs USING (item_id)",
         ),
+        "j1_missing_outputs": _with(
+            f"{QUESTIONS}, {OUTPUTS}, answered AS (SELECT run, item_id, {_parsed('output_text')} AS pred FROM outputs WHERE output_text <> ''),"
+            " flagged AS (SELECT r.run, coalesce(subject, '') AS subject, coalesce(pred = gold, false) AS correct"
+            " FROM questions q CROSS JOIN (VALUES ('base'), ('tuned')) AS r(run) LEFT JOIN answered a ON a.run = r.run AND a.item_id = q.item_id)",
+            f"SELECT run, subject, {_COUNTS} FROM flagged GROUP BY run, subject",
+        ),
+        "j2_salted_join": vocabulary_ids,
         "j3_compare_runs": compared,
         "j3_compare_results": compared,
         "a1_overall_accuracy": _with(SCORED, f"SELECT run, {_COUNTS} FROM scored GROUP BY run"),
@@ -402,9 +449,10 @@ def all_sql() -> dict[str, str]:
             f"SELECT coalesce(subject, '') AS subject, {_COUNTS} FROM flagged GROUP BY 1",
         ),
         "a3_first_token": _with(_LABELS, f"SELECT {_FIRST} FROM flagged"),
+        "a3_repeated_scores": _with(_LABELS, f"SELECT {_FIRST} FROM flagged"),
         "a4_first_token_subjects": _with(_LABELS, f"SELECT subject, {_FIRST} FROM flagged GROUP BY subject"),
-        "a5_merge_counts": _with(f"{SCORED}, {base}", per_subject),
-        "a5_distinct_items": _with(f"{SCORED}, {base}", f"SELECT {_COUNTS} FROM flagged"),
+        "a5_merge_counts": _with(SCORED, f"SELECT run, subject, {_COUNTS} FROM scored GROUP BY run, subject"),
+        "a5_distinct_items": _with(SCORED, f"SELECT run, {_COUNTS} FROM scored GROUP BY run"),
         "a6_result_record": _with(
             f"{SCORED}, {tuned}, {record.format(t='flagged')}",
             "SELECT 'generate' AS metric, overall.acc AS overall_acc, n, subject, per.acc FROM per, overall",
@@ -446,13 +494,18 @@ def all_sql() -> dict[str, str]:
         "t2_interval_accuracy": _with(
             _ARRIVED,
             "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, subject,"
-            f" {_COUNTS} FROM flagged GROUP BY 1, 2",
+            f" {_COUNTS} FROM flagged WHERE date_trunc('hour', ts) + INTERVAL 3 HOUR <= (SELECT max(ts) FROM flagged) GROUP BY 1, 2",
         ),
         "t2_first_arrivals": _with(
-            _ARRIVED, "SELECT subject, count(DISTINCT item_id)::BIGINT AS items FROM flagged GROUP BY subject"
+            f"{_ARRIVED}, {_EARLIEST}",
+            "SELECT item_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, pred, correct FROM earliest",
+        ),
+        "t2_deduplicated_accuracy": _with(
+            f"{_ARRIVED}, {_EARLIEST}", f"SELECT subject, {_COUNTS} FROM earliest GROUP BY subject"
         ),
         "t3_running_loss": "SELECT event_type AS run, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start,"
-        " round(avg(value), 9) AS loss, count(*)::BIGINT AS records FROM events GROUP BY 1, 2",
+        " round(avg(value), 9) AS loss, count(*)::BIGINT AS records FROM events"
+        " WHERE date_trunc('hour', ts) + INTERVAL 3 HOUR <= (SELECT max(ts) FROM events) GROUP BY 1, 2",
         "u1_tokenizer_plugin": f"SELECT item_id, {_digest('ids')}, text_md5 FROM"
         f" (SELECT doc_id AS item_id, {_bytes('text')} AS ids, md5(text) AS text_md5 FROM documents)",
         "u2_text_predictor": _with(PROMPTS, f"SELECT item_id, 'Answer: ' || {_PICK} AS output_text FROM prompts"),

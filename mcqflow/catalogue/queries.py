@@ -15,6 +15,7 @@ from mcqflow.functions.prompts import build_prompt, simple_exam
 from mcqflow.functions.tokens import ByteCodec, attention_mask, cut_prompt, truncate
 from mcqflow.operators import accuracy, alignment, batching, dialogue, runs
 from mcqflow.operators.contract import check_mcq, split_mcq
+from mcqflow.operators.numbering import row_index
 from mcqflow.operators.predict import PluginCodec, numeric_predictor, run_predictor
 from mcqflow.operators.vocabulary import (
     VocabularyCodec,
@@ -34,7 +35,7 @@ from mcqflow.plans.evaluate import (
 from mcqflow.plans.prepare import eval_prompts, prepare_sft, training_batches
 from mcqflow.sources.shared import shared_folder
 from mcqflow.sources.sinks import write_prepared, write_record, write_subjects
-from mcqflow.sources.splits import count_splits, first_items, read_split, read_splits, spread
+from mcqflow.sources.splits import count_splits, first_items, read_split, read_splits
 from mcqflow.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,7 +78,7 @@ def tokens(spark: SparkSession, folder: str, max_seq_len: int = 1024, **options:
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     docs = fx.table(spark, folder, "documents")
-    return spread(docs.select(F.col("doc_id").alias("item_id"), "text", "source"), "item_id")
+    return fx.spread(docs.select(F.col("doc_id").alias("item_id"), "text", "source"), "item_id")
 
 
 def vocabulary(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,10 +113,11 @@ def s2_read_splits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _broken(spark: SparkSession, folder: str) -> DataFrame:
-    """Questions of which some break the row contract in one of six ways."""
+    """Questions of which some break the row contract in one of seven ways."""
     key = F.col("item_id")
     return fx.questions(spark, folder).withColumns(
         {
+            "item_id": F.when(key % 31 != 0, key),
             "question": F.when(key % 17 != 0, F.col("question")),
             "answer": F.when(key % 11 == 0, "7").when(key % 23 != 0, F.col("answer")),
             "choices": F.when(key % 13 == 0, F.slice("choices", 1, 3))
@@ -209,15 +211,47 @@ def p5_chat_dialogue(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p6_render_dialogues(spark: SparkSession, folder: str) -> DataFrame:
     rows = dialogue.render_dialogues(fx.messages(spark, folder))
-    return rows.select("conv_id", "part", F.col("turns").cast("bigint").alias("turns"), "text")
+    return rows.select("conv_id", F.col("turns").cast("bigint").alias("turns"), "text")
+
+
+@query
+def p6_shifted_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """Turn numbers far apart change nothing but their order; the text ends for generation."""
+    far = fx.messages(spark, folder).withColumn("turn", F.col("turn") * 700 + 1023)
+    rows = dialogue.render_dialogues(far, generation=True)
+    return rows.select("conv_id", F.col("turns").cast("bigint").alias("turns"), "text")
+
+
+@query
+def p6_turn_offsets(spark: SparkSession, folder: str) -> DataFrame:
+    rows = dialogue.render_turns(fx.messages(spark, folder))
+    return rows.select("conv_id", "turn", F.md5("text").alias("text_md5"), "offset")
+
+
+def _broken_messages(spark: SparkSession, folder: str) -> DataFrame:
+    rows = fx.messages(spark, folder)
+    return rows.withColumns(
+        {
+            "text": F.when((F.col("conv_id") + F.col("turn")) % 11 != 0, F.col("text")),
+            "role": F.when((F.col("conv_id") + F.col("turn")) % 13 != 0, F.col("role")),
+        }
+    )
+
+
+@query
+def p6_null_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations with a turn that lacks its role or text go to quarantine as a whole."""
+    good, bad = dialogue.split_messages(_broken_messages(spark, folder))
+    kept = dialogue.render_dialogues(good).select("conv_id", F.lit("rendered").alias("outcome"), F.col("turns").cast("bigint").alias("n"))
+    held = bad.groupBy("conv_id", F.coalesce("invalid_reason", F.lit("held")).alias("outcome"))
+    return kept.unionByName(held.agg(F.count(F.lit(1)).alias("n")))
 
 
 @query
 def p6_message_lists(spark: SparkSession, folder: str) -> DataFrame:
-    rows = dialogue.assemble_messages(fx.messages(spark, folder), turns_per_part=4)
+    rows = dialogue.assemble_messages(fx.messages(spark, folder))
     return rows.select(
         "conv_id",
-        "part",
         F.array_join("messages.role", ",").alias("roles"),
         F.md5(CHATML.messages(F.col("messages"))).alias("text_md5"),
     )
@@ -263,7 +297,7 @@ def p8_truncate(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def p9_attention_mask(spark: SparkSession, folder: str) -> DataFrame:
-    ids = BYTES.encode(F.col("text"), 1024)
+    ids = BYTES.encode(F.col("text"))
     rows = documents(spark, folder).select("item_id", attention_mask(ids).alias("mask"))
     return rows.select("item_id", *digest("mask", "mask"))
 
@@ -278,7 +312,13 @@ def p10_prompt_mask(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p11_assistant_mask(spark: SparkSession, folder: str) -> DataFrame:
     rows = dialogue.supervise_dialogues(fx.messages(spark, folder), BYTES)
-    return rows.select("conv_id", "part", *digest("input_ids"), *digest("labels", "labels"))
+    return rows.select("conv_id", *digest("input_ids"), *digest("labels", "labels"))
+
+
+@query
+def p11_limited_mask(spark: SparkSession, folder: str) -> DataFrame:
+    rows = dialogue.supervise_dialogues(fx.messages(spark, folder), BYTES, max_seq_len=SHORT)
+    return rows.select("conv_id", *digest("input_ids"), *digest("labels", "labels"))
 
 
 @query
@@ -286,6 +326,13 @@ def p12_produced_columns(spark: SparkSession, folder: str) -> DataFrame:
     return tokens(spark, folder).select("item_id", F.size("labels").cast("bigint").alias("length"))
 
 
+@query
+def p13_null_mode(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row is kept; what can't be built is null."""
+    rows = eval_prompts(_broken(spark, folder), on_invalid="null")
+    return rows.select("item_id", F.md5("prompt_text").alias("prompt_md5"), "gold")
+
+
 @query
 def p13_eval_prompts(spark: SparkSession, folder: str) -> DataFrame:
     return eval_prompts(fx.questions(spark, folder))
@@ -355,7 +402,7 @@ def p17_scored_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def p18_first_supervised(spark: SparkSession, folder: str) -> DataFrame:
-    rows = tokens(spark, folder, SHORT)
+    rows = fx.vector_labels(spark, folder)
     return rows.select("item_id", first_supervised(F.col("labels")).cast("bigint").alias("pos"))
 
 
@@ -368,7 +415,7 @@ def p19_argmax(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p20_first_tokens(spark: SparkSession, folder: str) -> DataFrame:
     rows = tokens(spark, folder)
-    shifted = F.concat(F.slice("input_ids", 2, 100000), F.array(F.lit(0)))
+    shifted = F.concat(F.slice("input_ids", 2, F.size("input_ids")), F.array(F.lit(0)))
     at = first_supervised(F.col("labels"))
     return rows.select(
         "item_id",
@@ -438,6 +485,31 @@ def b3_pad(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def b3_quarantine_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Batches of the rows that keep the contract: all but the last are full."""
+    rows = training_batches(_broken(spark, folder), BYTES, batch_size=8, on_invalid="quarantine")
+    return rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.min("item_id").alias("least"))
+
+
+def _null_keys(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return docs.select(
+        F.when(F.col("item_id") % 97 != 0, F.col("item_id")).alias("item_id"),
+        F.when(F.col("item_id") % 5 != 0, F.col("source")).alias("g"),
+    )
+
+
+@query
+def b1_null_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows without a key or a group are numbered like others."""
+    shuffled = batching.shuffle_rows(_null_keys(spark, folder))
+    grouped = row_index(_null_keys(spark, folder), out="n", within=["g"])
+    a = shuffled.agg(F.count(F.lit(1)).alias("n"), F.max("position").cast("bigint").alias("last"))
+    per = grouped.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max("n").cast("bigint").alias("last"))
+    return a.select(F.lit("all").alias("g"), "n", "last").unionByName(per)
+
+
 @query
 def b3_collate(spark: SparkSession, folder: str) -> DataFrame:
     numbered = batching.consecutive_batches(fx.questions(spark, folder), 8)
@@ -460,6 +532,15 @@ def b4_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return manifest.select("epoch", "step", "rank", "micro", "batch_id", "item_id")
 
 
+@query
+def b4_fractional_epochs(spark: SparkSession, folder: str) -> DataFrame:
+    """An epoch and a half: the second one stops at the total number of steps."""
+    manifest = batching.training_manifest(
+        documents(spark, folder), batch_size=2, world=2, accumulation=4, epochs=1.5
+    )
+    return manifest.select("epoch", "step", "rank", "micro", "batch_id", "item_id")
+
+
 @query
 def b5_step_totals(spark: SparkSession, folder: str) -> DataFrame:
     return batching.step_totals(
@@ -482,6 +563,23 @@ def j1_align(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.align_outputs(both, fx.outputs(spark, folder), ("run", "item_id"))
 
 
+@query
+def j1_missing_outputs(spark: SparkSession, folder: str) -> DataFrame:
+    """Items without an output count as wrong."""
+    gold = alignment.for_runs(eval_prompts(fx.questions(spark, folder)).drop("prompt_text"), fx.RUNS)
+    answered = fx.outputs(spark, folder).where(F.col("output_text") != "")
+    aligned = alignment.align_outputs(gold, answered, ("run", "item_id"))
+    return accuracy.subject_accuracy(accuracy.score_letters(aligned), ["run"])
+
+
+@query
+def j2_salted_join(spark: SparkSession, folder: str) -> DataFrame:
+    """The vocabulary taken for one that is too large to broadcast."""
+    table = stored_vocabulary(spark, folder)
+    ids = encode_by_join(documents(spark, folder), table, "text", VOCABULARY_SIZE, out="ids", max_broadcast=0)
+    return ids.select("item_id", *digest("ids"))
+
+
 @query
 def j3_compare_runs(spark: SparkSession, folder: str) -> DataFrame:
     return accuracy.compare_runs(scored(spark, folder), "base", "tuned")
@@ -525,6 +623,15 @@ def a3_first_token(spark: SparkSession, folder: str) -> DataFrame:
     return accuracy.first_token_metric(_vectors(spark, folder))
 
 
+@query
+def a3_repeated_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores that come twice count once; ``shift`` reads the position before."""
+    scores = fx.vector_scores(spark, folder)
+    earlier = scores.withColumn("pos", F.col("pos") - 1)
+    repeated = earlier.unionByName(earlier).unionByName(scores.withColumn("pos", F.col("pos") + 7))
+    return accuracy.first_token_metric(accuracy.score_long_logits(fx.vector_labels(spark, folder), repeated, shift=1))
+
+
 @query
 def a4_first_token_subjects(spark: SparkSession, folder: str) -> DataFrame:
     return accuracy.first_token_metric(_vectors(spark, folder), ["subject"])
@@ -533,17 +640,16 @@ def a4_first_token_subjects(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def a5_merge_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of four workers, summed."""
-    rows = scored(spark, folder).where(F.col("run") == "base")
-    named = rows.withColumn("subject", accuracy.subject_or_blank(F.col("subject")))
-    shards = accuracy.count_correct(named.withColumn("rank", F.col("item_id") % 4), ["rank", "subject"])
-    return accuracy.with_accuracy(accuracy.merge_counts(shards, ["subject"]))
+    named = scored(spark, folder).withColumn("subject", accuracy.subject_or_blank(F.col("subject")))
+    shards = accuracy.count_correct(named.withColumn("rank", F.col("item_id") % 4), ["rank", "run", "subject"])
+    return accuracy.with_accuracy(accuracy.merge_counts(shards, ["run", "subject"]))
 
 
 @query
 def a5_distinct_items(spark: SparkSession, folder: str) -> DataFrame:
-    rows = scored(spark, folder).where(F.col("run") == "base")
+    rows = scored(spark, folder)
     repeated = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("item_id") % 3).cast("int"))))
-    return accuracy.overall_accuracy(accuracy.distinct_items(repeated))
+    return accuracy.overall_accuracy(accuracy.distinct_items(repeated, by=["run"]), ["run"])
 
 
 @query
@@ -633,7 +739,14 @@ def _arrived(spark: SparkSession, folder: str) -> DataFrame:
 def _snapshot(spark: SparkSession, stream: DataFrame) -> DataFrame:
     path = shared_folder(spark)
     jobs.snapshot_to(stream, path + "/result", path + "/state").awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path + "/result")
+    return jobs.read_snapshot(spark, path + "/result", stream.schema)
+
+
+def _closed(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """What a stream with a watermark appends by its end."""
+    path = shared_folder(spark)
+    jobs.append_to(stream, path + "/rows", path + "/state").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path + "/rows")
 
 
 @query
@@ -643,16 +756,22 @@ def t2_running_accuracy(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def t2_interval_accuracy(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _snapshot(spark, jobs.interval_accuracy(_arrived(spark, folder), "1 hour"))
+    """Intervals that are closed: no row for them can come within the delay."""
+    rows = _closed(spark, jobs.interval_accuracy(_arrived(spark, folder), "1 hour", "2 hours"))
     return rows.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query
 def t2_first_arrivals(spark: SparkSession, folder: str) -> DataFrame:
-    """Every item repeats; one arrival each is counted."""
-    first = jobs.drop_repeats(_arrived(spark, folder), "60 days")
-    counts = first.groupBy("subject").agg(F.count(F.lit(1)).alias("items"))
-    return _snapshot(spark, counts)
+    """Every item repeats; its first arrival is kept."""
+    first = _snapshot(spark, jobs.first_arrivals(_arrived(spark, folder)))
+    return first.select("item_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "pred", "correct")
+
+
+@query
+def t2_deduplicated_accuracy(spark: SparkSession, folder: str) -> DataFrame:
+    first = _snapshot(spark, jobs.first_arrivals(_arrived(spark, folder)))
+    return accuracy.subject_accuracy(first)
 
 
 @query
@@ -660,7 +779,7 @@ def t3_running_loss(spark: SparkSession, folder: str) -> DataFrame:
     steps = _stream(spark, folder, "events").select(
         F.col("event_type").alias("run"), F.col("value").alias("loss"), F.col("ts").cast("timestamp").alias("ts")
     )
-    rows = _snapshot(spark, jobs.running_loss(steps, "1 hour"))
+    rows = _closed(spark, jobs.running_loss(steps, "1 hour", "2 hours"))
     return rows.select(
         "run",
         F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"),

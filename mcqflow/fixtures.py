@@ -9,7 +9,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mcqflow.operators.numbering import row_index
-from mcqflow.sources.splits import spread
 
 RUNS = ("base", "tuned")
 
@@ -18,6 +17,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A small file's rows over all cores, before heavy expressions. For plain scans only:
+    asking for the partitions of a plan with an exchange would run it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def _digit(digest: Column, at: int) -> Column:
     """Value 0-15 of one hex digit of a digest."""
     return F.instr(F.lit("0123456789abcdef"), F.substring(digest, at, 1)) - 1

@@ -45,11 +45,12 @@ class ChatTemplate:
         """User turn and the assistant's complete answer turn."""
         return F.concat(self.prompt(user_text, enable_thinking), answer, F.lit(self.close))
 
-    def messages(self, messages: Column) -> Column:
-        """Render an ``array<struct<role,content>>`` in array order."""
-        return F.array_join(
-            F.transform(messages, lambda m: self.turn(m["role"], m["content"])), ""
-        )
+    def messages(self, messages: Column, generation: bool = False, enable_thinking: bool = False) -> Column:
+        """Render an ``array<struct<role,content>>`` in array order; ``generation`` ends it with
+        the head of the assistant's answer. A null role or content gives null."""
+        turns = F.transform(messages, lambda m: self.turn(m["role"], m["content"]))
+        text = F.when(~F.exists(turns, lambda t: t.isNull()), F.array_join(turns, ""))
+        return F.concat(text, F.lit(self.answer_head(enable_thinking))) if generation else text
 
 
 CHATML = ChatTemplate()

@@ -7,6 +7,7 @@ wide id arrays are made and padded where the batch already is.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -65,13 +66,20 @@ def training_manifest(
     batch_size: int = 1,
     world: int = 1,
     accumulation: int = 1,
-    epochs: int = 1,
+    epochs: float = 1,
     seed: int = SEED,
     item: str = "item_id",
 ) -> DataFrame:
-    """Where each item goes: ``epoch, step, rank, micro, batch_id, slot, item``."""
-    shuffled = shuffle_rows(df.select(item), seed, epochs, item)
+    """Where each item goes: ``epoch, step, rank, micro, batch_id, slot, item``.
+
+    With a fraction of an epoch the last one stops at the total number of steps; that is
+    counted when this is called.
+    """
+    shuffled = shuffle_rows(df.select(item), seed, math.ceil(epochs), item)
     placed = assign_steps(with_batch(shuffled, "position", batch_size), world, accumulation)
+    if epochs != int(epochs):
+        totals = step_totals(df.select(item), batch_size, accumulation, world, epochs).first()
+        placed = placed.where(F.col("epoch") * totals.steps_per_epoch + F.col("step") < totals.total_steps)
     return placed.select("epoch", "step", "rank", "micro", "batch_id", "slot", item)
 
 

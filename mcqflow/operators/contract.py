@@ -10,7 +10,7 @@ from pyspark.sql.types import BooleanType
 
 from mcqflow.functions.answers import LETTERS, answer_letter
 
-REQUIRED = ("question", "choices", "answer")
+REQUIRED = ("item_id", "question", "choices", "answer")
 MODES = ("raise", "null", "quarantine")
 
 
@@ -34,7 +34,7 @@ def _options() -> list[Column]:
 def is_valid() -> Column:
     """Whether a row keeps the contract, in few and cheap terms."""
     letter = answer_letter(F.col("answer"), "null")
-    terms = [F.col("question"), *_options(), letter]
+    terms = [F.col("item_id"), F.col("question"), *_options(), letter]
     return reduce(and_, (t.isNotNull() for t in terms))
 
 
@@ -44,6 +44,7 @@ def invalid_reason() -> Column:
     empty = reduce(or_, (c.isNull() for c in _options()))
     return (
         F.when(is_valid(), F.lit(None).cast("string"))
+        .when(F.col("item_id").isNull(), "missing item_id")
         .when(F.col("question").isNull(), "missing question")
         .when(choices.isNull(), "missing choices")
         .when(F.size(choices) < len(LETTERS), "fewer than four choices")
@@ -69,7 +70,7 @@ def enforce_mcq(df: DataFrame, on_invalid: str = "raise") -> DataFrame:
     ``raise`` fails the job on the first bad row. The check sits in a filter, so
     column pruning cannot remove it. ``quarantine`` keeps only good rows (take
     the others from ``split_mcq``). ``null`` keeps every row; an answer that
-    cannot be read becomes null later.
+    cannot be read and a prompt that cannot be built become null later.
     """
     if on_invalid not in MODES:
         raise ValueError(f"on_invalid must be one of {MODES}, got {on_invalid!r}")

@@ -9,11 +9,15 @@ equals the global ``row_number() - 1`` exactly.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 MAX_BUCKETS = 65536
+QUANTILE_ERROR = 1 / 16384
+TEXT_BUCKETS = 64
 
 # The offset table has a row per group and bucket. It is broadcast only when the
 # caller knows the number of groups and the product stays within this.
@@ -44,8 +48,14 @@ def _number(
     # the same keys either way, for the window below.
     here = W.partitionBy(*keys).orderBy(*order)
     rank = F.row_number().over(here) - 1
-    numbered = df.join(offsets, keys).withColumn(out, F.col("_offset") + rank)
-    return numbered.drop(bucket, "_offset")
+    return _join_offsets(df, offsets, keys).withColumn(out, F.col("_offset") + rank).drop(bucket, "_offset")
+
+
+def _join_offsets(df: DataFrame, offsets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A null key is a group like any other, so the join must not lose it."""
+    named = offsets.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys))
+    return df.join(named, same).drop(*(f"_of_{k}" for k in keys))
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -61,13 +71,15 @@ def quantile_buckets(df: DataFrame, key: str, out: str, buckets: int) -> DataFra
     plan: a task that is run again assigns the same buckets.
     """
     probabilities = [i / buckets for i in range(1, buckets)]
+    # A coarser error keeps the summaries small however many buckets there are.
     cuts = df.select(F.col(key).cast("double").alias(key)).approxQuantile(
-        key, probabilities, 1 / (4 * buckets)
+        key, probabilities, max(1 / (4 * buckets), QUANTILE_ERROR)
     )
     inner = sorted(set(cuts))
     if not inner:
         return df.withColumn(out, F.lit(0))
-    keyed = df.withColumn("_key", F.col(key).cast("double"))
+    # Null keys come first, as they do in the order inside a bucket.
+    keyed = df.withColumn("_key", F.coalesce(F.col(key).cast("double"), F.lit(float("-inf"))))
     splits = [float("-inf"), *inner, float("inf")]
     placed = Bucketizer(splits=splits, inputCol="_key", outputCol=out).transform(keyed)
     return placed.withColumn(out, F.col(out).cast("int")).drop("_key")
@@ -112,3 +124,27 @@ def hashed_index(
     return _number(
         bucketed, "_bucket", 16**hex_digits, ["_key"], within, groups, out
     ).drop("_key")
+
+
+def text_index(df: DataFrame, key: str, out: str = "row_index", within: Sequence[str] = ()) -> DataFrame:
+    """As ``row_index`` for a unique string ``key``. Bucket bounds are read off the keys with the
+    smallest hashes, a few for each bucket; they only decide how even the buckets are."""
+    some = df.select(key).orderBy(F.xxhash64(key)).limit(8 * TEXT_BUCKETS).collect()
+    keys = sorted(r[0] for r in some if r[0] is not None)
+    bounds = keys[:: max(1, len(keys) // TEXT_BUCKETS)] or [""]
+    cuts = F.array(*(F.lit(b) for b in bounds))
+    bucket = F.size(F.filter(cuts, lambda b: b <= F.coalesce(F.col(key), F.lit(""))))
+    return _number(df.withColumn("_bucket", bucket), "_bucket", len(bounds) + 1, [key], within, None, out)
+
+
+def running_sum(df: DataFrame, value: str, key: str, out: str, within: Sequence[str] = ()) -> DataFrame:
+    """Sum of ``value`` over the rows before each row in the order of the unique numeric ``key``,
+    inside each ``within`` group. A large group is spread over many buckets."""
+    rows = quantile_buckets(df, key, "_bucket", default_buckets(df))
+    keys = ["_bucket", *within]
+    sums = rows.groupBy(*keys).agg(F.sum(value).alias("_sum"))
+    earlier = W.partitionBy(*within).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(*keys, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
+    here = W.partitionBy(*keys).orderBy(key).rowsBetween(W.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum(value).over(here), F.lit(0))
+    return _join_offsets(rows, offsets, keys).withColumn(out, F.col("_offset") + inside).drop("_bucket", "_offset")

@@ -48,7 +48,10 @@ class PluginCodec:
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             tokenize = load()
             for texts in batches:
-                yield pd.Series(tokenize(texts.tolist()), index=texts.index, dtype=object)
+                known = texts.notna()
+                ids = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+                ids[known] = pd.Series(tokenize(texts[known].tolist()), index=texts.index[known], dtype=object)
+                yield ids
 
         # Declared non-deterministic so that the optimizer neither repeats it nor
         # pushes a filter on its result below it.
@@ -66,8 +69,11 @@ class PluginCodec:
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             detokenize = load()
             for lists in batches:
-                plain = [[int(i) for i in ids] for ids in lists]
-                yield pd.Series(detokenize(plain), index=lists.index, dtype=object)
+                known = lists.notna()
+                plain = [np.asarray(ids).tolist() for ids in lists[known]]
+                texts = pd.Series([None] * len(lists), index=lists.index, dtype=object)
+                texts[known] = pd.Series(detokenize(plain), index=lists.index[known], dtype=object)
+                yield texts
 
         return F.pandas_udf(run, "string")(drop_special(ids, self.special_ids))
 

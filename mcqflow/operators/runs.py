@@ -37,9 +37,10 @@ def interval_loss(steps: DataFrame, every: int = 10) -> DataFrame:
 
 
 def last_evaluation(evals: DataFrame) -> DataFrame:
-    """The newest evaluation of each run, its metrics prefixed ``last_``."""
+    """The newest evaluation of each run, its metrics prefixed ``last_``; of equal steps the one
+    with the larger metrics, in column order."""
     metrics = [c for c in evals.columns if c not in ("run", "step")]
-    newest = evals.groupBy("run").agg(F.max_by(F.struct("step", *metrics), "step").alias("e"))
+    newest = evals.groupBy("run").agg(F.max(F.struct("step", *metrics)).alias("e"))
     return newest.select(
         "run", F.col("e.step").alias("last_step"), *(F.col(f"e.{m}").alias(f"last_{m}") for m in metrics)
     )
@@ -64,11 +65,12 @@ def train_record(
 
 
 def checkpoint_steps(checkpoints: DataFrame) -> DataFrame:
-    """Rows whose path ends in ``checkpoint-<n>``, with that number as ``step``."""
+    """Rows whose path ends in ``checkpoint-<n>``, with that number as ``step``; a number that
+    is no bigint names no checkpoint."""
     number = F.regexp_extract("path", r"(?:^|/)checkpoint-([0-9]+)/?\z", 1)
     return checkpoints.withColumn("_n", number).where("_n <> ''").select(
-        "*", F.col("_n").cast("bigint").alias("step")
-    ).drop("_n")
+        "*", F.col("_n").try_cast("bigint").alias("step")
+    ).drop("_n").where("step IS NOT NULL")
 
 
 def latest_checkpoint(checkpoints: DataFrame) -> DataFrame:
@@ -76,7 +78,8 @@ def latest_checkpoint(checkpoints: DataFrame) -> DataFrame:
     return (
         checkpoint_steps(checkpoints)
         .groupBy("run")
-        .agg(F.max("step").alias("step"), F.max_by("path", "step").alias("path"))
+        .agg(F.max(F.struct("step", "path")).alias("c"))
+        .select("run", "c.step", "c.path")
     )
 
 
@@ -86,6 +89,6 @@ def kept_checkpoints(checkpoints: DataFrame, keep: int = 2) -> DataFrame:
     Spark applies the rank limit inside each task before the exchange, so a run
     with very many checkpoints sends ``keep`` rows per task.
     """
-    newest = W.partitionBy("run").orderBy(F.col("step").desc())
+    newest = W.partitionBy("run").orderBy(F.desc("step"), F.desc("path"))
     ranked = checkpoint_steps(checkpoints).withColumn("age", F.row_number().over(newest))
     return ranked.where(F.col("age") <= keep)

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from mcqflow.functions.tokens import drop_special, resolve_pad_id, truncate
+from mcqflow.operators.numbering import text_index
 
 # A run of letters, a run of digits, or one other visible character.
 PIECE = r"\p{L}+|\p{N}+|[^\s\x0b\p{Z}\p{L}\p{N}]"
@@ -15,6 +16,7 @@ PIECE = r"\p{L}+|\p{N}+|[^\s\x0b\p{Z}\p{L}\p{N}]"
 # Largest vocabulary an expression carries, and largest one a join broadcasts.
 MAX_INLINE_TOKENS = 100_000
 MAX_BROADCAST_TOKENS = 2_000_000
+MAX_BROADCAST_BYTES = 64 << 20
 # JSON readers bound the length of a key.
 MAX_INLINE_TOKEN_CHARS = 10_000
 
@@ -29,7 +31,10 @@ def build_vocabulary(
     """``(token, id, n)`` of the ``size`` most frequent tokens; ties go by token.
 
     Counting folds inside each task first, so a very common token costs one row
-    per task. Only the ``size`` kept rows are ordered in one place.
+    per task. A histogram of the counts gives the least count that is kept and how
+    many tokens are more frequent than each; a token's id is that and its position
+    among the tokens of its count, so no task orders the whole table. Two small
+    jobs run when this is called.
     """
     counts = (
         df.select(F.explode(pieces(F.col(text), pattern)).alias("token"))
@@ -38,10 +43,17 @@ def build_vocabulary(
     )
     if min_count > 1:
         counts = counts.where(F.col("n") >= min_count)
-    order = [F.col("n").desc(), F.col("token")]
-    top = counts.orderBy(*order).limit(size)
-    rank = (F.row_number().over(W.orderBy(*order)) - 1).cast("int")
-    return top.select("token", rank.alias("id"), "n")
+    # Different counts are few: their number is at most the root of twice the number of words.
+    more = W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1)
+    steps = counts.groupBy("n").agg(F.count(F.lit(1)).alias("_m")).select(
+        "n", F.coalesce(F.sum("_m").over(more), F.lit(0)).alias("_above")
+    ).where(F.col("_above") < size)
+    least = steps.agg(F.min("n")).first()[0]
+    if least is None:
+        return counts.select("token", F.lit(0).alias("id"), "n").where(F.lit(False))
+    kept = text_index(counts.where(F.col("n") >= least), "token", "_rank", ["n"])
+    ids = (F.col("_above") + F.col("_rank")).cast("int")
+    return kept.join(steps, "n").select("token", ids.alias("id"), "n").where(F.col("id") < size)
 
 
 def special_ids(vocabulary: DataFrame, pad_id: int | None = None) -> DataFrame:
@@ -146,7 +158,34 @@ def _constant(text: str, schema: str) -> Column:
 
 
 def _fits(vocabulary: DataFrame, max_rows: int) -> bool:
-    return vocabulary.limit(max_rows + 1).count() <= max_rows
+    """Whether the table can be broadcast, by rows and by bytes, in one aggregate."""
+    n, chars = vocabulary.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("token")), F.lit(0))).first()
+    return n <= max_rows and chars + 16 * n <= MAX_BROADCAST_BYTES
+
+
+def _salted(tokens: DataFrame, vocabulary: DataFrame, key: str, salts: int) -> DataFrame:
+    """Look up ``key`` in a large vocabulary. Words that make up more than a thousandth of the
+    counted ones are spread over ``salts`` copies; there are less than a thousand of them.
+    Without counts every word is."""
+    table = vocabulary.select("token", "id")
+    spread = F.pmod("pos", F.lit(salts))
+    copies = F.sequence(F.lit(0), F.lit(salts - 1))
+    if "n" not in vocabulary.columns:
+        salted = tokens.withColumn("salt", spread)
+        return salted.join(table.withColumn("salt", F.explode(copies)), [key, "salt"], "left")
+    total = vocabulary.agg(F.sum("n")).first()[0] or 0
+    heavy = F.broadcast(vocabulary.where(F.col("n") > total / 1000).select(F.col(key).alias("_heavy")))
+    same = F.col(key) == F.col("_heavy")
+    salted = tokens.join(heavy, same, "left").withColumn("salt", F.when(F.col("_heavy").isNotNull(), spread).otherwise(0))
+    wide = table.join(heavy, same, "left")
+    wide = wide.withColumn("salt", F.explode(F.when(F.col("_heavy").isNotNull(), copies).otherwise(F.array(F.lit(0)))))
+    return salted.drop("_heavy").join(wide.drop("_heavy"), [key, "salt"], "left")
+
+
+def _keyed(df: DataFrame, item: str) -> DataFrame:
+    """Rows by item; rows without an item are kept apart by their place in the scan."""
+    row = F.when(F.col(item).isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    return df.withColumn("_row", row).repartition(item, "_row")
 
 
 def encode_by_join(
@@ -165,20 +204,18 @@ def encode_by_join(
 
     The texts are hashed by item before they are split, so the ids of an item
     are regrouped where they are made: the tokens are not exchanged when the
-    vocabulary fits a broadcast, which is checked. A larger vocabulary is joined
-    on ``(token, salt)``; without the salt a common word would go to one task.
+    vocabulary fits a broadcast, which is checked by rows and bytes. A larger
+    vocabulary is joined on ``(token, salt)``; without the salt a common word
+    would go to one task. Rows without an item stay apart.
     """
     kept = truncate(pieces(F.col(text), pattern), max_len)
-    tokens = df.repartition(item).select(item, F.posexplode_outer(kept).alias("pos", "token"))
-    table = vocabulary.select("token", "id")
+    tokens = _keyed(df, item).select(item, "_row", F.posexplode_outer(kept).alias("pos", "token"))
     if _fits(vocabulary, max_broadcast):
-        found = tokens.join(F.broadcast(table), "token", "left")
+        found = tokens.join(F.broadcast(vocabulary.select("token", "id")), "token", "left")
     else:
-        salted = tokens.withColumn("salt", F.pmod("pos", F.lit(salts)))
-        copies = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        found = salted.join(copies, ["token", "salt"], "left")
+        found = _salted(tokens, vocabulary, "token", salts)
     at = F.struct("pos", F.coalesce("id", F.lit(unk_id)).alias("id"))
-    gathered = found.groupBy(item).agg(
+    gathered = found.groupBy(item, "_row").agg(
         F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), at))).alias("t")
     )
     return gathered.select(item, F.col("t.id").alias(out))
@@ -194,14 +231,11 @@ def decode_by_join(
     salts: int = 64,
 ) -> DataFrame:
     """``(item, out)``: the reverse lookup by join; ids not in the table are left out."""
-    at = df.repartition(item).select(item, F.posexplode_outer(ids).alias("pos", "id"))
-    table = vocabulary.select("token", "id")
+    at = _keyed(df, item).select(item, "_row", F.posexplode_outer(ids).alias("pos", "id"))
     if _fits(vocabulary, max_broadcast):
-        found = at.join(F.broadcast(table), "id", "left")
+        found = at.join(F.broadcast(vocabulary.select("token", "id")), "id", "left")
     else:
-        salted = at.withColumn("salt", F.pmod("pos", F.lit(salts)))
-        copies = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        found = salted.join(copies, ["id", "salt"], "left")
+        found = _salted(at, vocabulary, "id", salts)
     kept = F.when(F.col("token").isNotNull(), F.struct("pos", "token"))
-    gathered = found.groupBy(item).agg(F.array_sort(F.collect_list(kept)).alias("t"))
+    gathered = found.groupBy(item, "_row").agg(F.array_sort(F.collect_list(kept)).alias("t"))
     return gathered.select(item, F.array_join("t.token", " ").alias(out))

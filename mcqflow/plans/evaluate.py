@@ -24,7 +24,7 @@ from mcqflow.operators.predict import (
     first_token_predictor,
     run_predictor,
 )
-from mcqflow.plans.prepare import MAX_SEQ_LEN, encode_exam, eval_prompts
+from mcqflow.plans.prepare import MAX_SEQ_LEN, batched_rows, encode_exam, eval_prompts
 from mcqflow.sources.sinks import write_prepared
 
 PROMPT_MAX_LENGTH = 2048
@@ -178,9 +178,11 @@ def evaluate_first_token_batched(
     **options: Any,
 ) -> Evaluation:
     """As ``evaluate_first_token`` for a model that needs the exact consecutive batches:
-    the source rows are numbered in item order and moved to their batch, then encoded
+    the rows that keep the contract are numbered in item order and moved to their batch, then encoded
     and collated there."""
-    numbered = consecutive_batches(df, batch_size).repartition("batch_id")
+    good, options = batched_rows(df, codec, max_seq_len=max_seq_len, **options)
+    options.pop("max_seq_len")
+    numbered = consecutive_batches(good, batch_size).repartition("batch_id")
     keep = ("item_id", "batch_id", "slot")
     rows = first_token_rows(numbered, codec, max_seq_len, shift, keep, **options)
     carried = ("item_id", "subject", "gold_token", "pos")

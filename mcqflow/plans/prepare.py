@@ -30,6 +30,8 @@ def exam_texts(
     rows = enforce_mcq(df, on_invalid)
     mode = "null" if on_invalid == "null" else "raise"
     question = build_prompt(template, F.col("subject"), F.col("question"), F.col("choices"))
+    if on_invalid == "null":
+        question = F.when(F.size("choices") >= 4, question)
     return (
         rows.withColumns({"gold": answer_letter(F.col("answer"), mode), "_question": question})
         .withColumns(
@@ -106,6 +108,16 @@ def prepare_sft(
     return encoded.select(*out)
 
 
+def batched_rows(df: DataFrame, codec: Any, **options: Any) -> tuple[DataFrame, dict[str, Any]]:
+    """The rows that batches are made of, and the options to encode them with afterwards."""
+    rows = enforce_mcq(df, options.get("on_invalid", "raise"))
+    if options.pop("supervised_only", False):
+        columns = rows.columns
+        limit = options.get("max_seq_len", MAX_SEQ_LEN)
+        rows = encode_exam(rows, codec, limit, True, **{k: v for k, v in options.items() if k != "max_seq_len"}).select(*columns)
+    return rows, options | {"on_invalid": "null"}
+
+
 def training_batches(
     df: DataFrame,
     codec: Any,
@@ -117,11 +129,13 @@ def training_batches(
 ) -> DataFrame:
     """Shuffled, batched and padded training rows: ``epoch, batch_id, slot, item_id`` and arrays.
 
-    The source rows are numbered and moved to their batch first; they are encoded
+    Rows that break the contract, and with ``supervised_only`` those without a supervised id,
+    leave before the others are numbered, so every batch but the last is full. The source rows are numbered and moved to their batch first; they are encoded
     there, so no id array ever crosses an exchange. Mask and labels are made
     after the width is known: the sort by batch carries the ids alone.
     """
-    shuffled = with_batch(shuffle_rows(df, seed, epochs), "position", batch_size)
+    good, options = batched_rows(df, codec, **options)
+    shuffled = with_batch(shuffle_rows(good, seed, epochs), "position", batch_size)
     placed = shuffled.repartition("epoch", "batch_id")
     columns = ("epoch", "batch_id", "slot", "item_id", "input_ids", "prompt_len")
     encoded = encode_exam(placed, codec, **options).select(*columns)

@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder name under the shared folder the cluster sets in ``spark.checkpoint.dir``.
-
-    Without the setting only a local session gets a temporary folder; executors
-    on other machines would not see one.
-    """
+    """A new folder name under the shared folder the cluster sets in ``spark.checkpoint.dir``,
+    or where that is unset, as in tests, under the session's warehouse."""
     conf = spark.sparkContext.getConf()
     root = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        return tempfile.mkdtemp(prefix="mcqflow-")
+        root = spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/mcqflow-{uuid.uuid4().hex}"

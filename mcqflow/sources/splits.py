@@ -16,14 +16,17 @@ def read_split(
     split: str,
     fmt: str = "parquet",
     schema: StructType | None = None,
+    config: str | None = None,
 ) -> DataFrame:
-    """Rows of one split of a table partitioned by ``split``; only its folder is read."""
+    """Rows of one split of a table partitioned by ``split``, or by ``config`` and ``split``;
+    only its folder is read."""
     if fmt not in FORMATS:
         raise ValueError(f"fmt must be one of {FORMATS}, got {fmt!r}")
     reader = spark.read.format(fmt)
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.load(path).where(F.col("split") == split)
+    rows = reader.load(path).where(F.col("split") == split)
+    return rows if config is None else rows.where(F.col("config") == config)
 
 
 def read_splits(
@@ -33,11 +36,12 @@ def read_splits(
     evaluation: str = EVAL_SPLIT,
     fmt: str = "parquet",
     schema: StructType | None = None,
+    config: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(train, evaluation) as lazy tables: one that is not used is never scanned."""
     return (
-        read_split(spark, path, train, fmt, schema),
-        read_split(spark, path, evaluation, fmt, schema),
+        read_split(spark, path, train, fmt, schema, config),
+        read_split(spark, path, evaluation, fmt, schema, config),
     )
 
 
@@ -49,13 +53,3 @@ def count_splits(df: DataFrame) -> DataFrame:
 def first_items(df: DataFrame, n: int | None, by: str | Column = "item_id") -> DataFrame:
     """The first ``n`` rows in ``by`` order, or all of them: a trial evaluation."""
     return df if n is None else df.orderBy(by).limit(n)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores when the scan yields fewer partitions than there are cores.
-
-    For small files before heavy expressions. A table with enough splits, as any
-    large one has, is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

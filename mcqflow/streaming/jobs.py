@@ -7,12 +7,11 @@ counterparts and the sinks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from mcqflow.functions.answers import is_correct, parse_letter
 from mcqflow.operators.accuracy import overall_accuracy, subject_accuracy
@@ -28,30 +27,21 @@ def score_arriving(outputs: DataFrame, gold: DataFrame) -> DataFrame:
     return parsed.join(known, "item_id").withColumn("correct", is_correct(F.col("pred"), F.col("gold")))
 
 
-def fold_repeats(scored: DataFrame, item: str = "item_id") -> DataFrame:
-    """The latest copy of each numeric ``item`` among rows that arrive together, without
-    an exchange. The latest, because it is late only if all copies are."""
+def first_arrivals(scored: DataFrame, interval: str | None = None, delay: str | None = None) -> DataFrame:
+    """The first arrival of each item: the smallest ``ts``, of equal ones the smallest letter, and a
+    letter before none.
 
-    def fold(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks:
-            ids = chunk.column(item).to_numpy(zero_copy_only=False)
-            times = chunk.column("ts").to_numpy(zero_copy_only=False)
-            order = np.lexsort((times, ids))
-            last = np.append(ids[order][1:] != ids[order][:-1], np.ones(min(len(ids), 1), dtype=bool))
-            yield chunk.take(pa.array(order[last]))
-
-    return scored.mapInArrow(fold, scored.schema)
-
-
-def drop_repeats(scored: DataFrame, delay: str, item: str = "item_id") -> DataFrame:
-    """Keep one arrival of each item; ids are forgotten once ``delay`` has passed.
-
-    Needs ``ts`` as a timestamp with time zone. Copies are folded before the
-    exchange, so an item with very many does not fill one task. Rows later than
-    the delay are dropped.
+    An aggregate, folded inside each task, so the result depends neither on the order nor on the
+    batches in which rows arrive. Without ``interval`` the state is a row for each item of the gold
+    table (``update`` or ``complete`` mode, count over the stored snapshot). With it, and ``delay``,
+    an item counts once for each interval and closed intervals can be appended and freed.
     """
-    folded = fold_repeats(scored, item)
-    return folded.withWatermark("ts", delay).dropDuplicatesWithinWatermark([item])
+    rows = scored if delay is None else scored.withWatermark("ts", delay)
+    keys = ["item_id"] if interval is None else ["item_id", F.window("ts", interval).alias("w")]
+    first = F.min(F.struct("ts", F.col("pred").isNull().alias("none"), "pred", "gold", "subject", "correct")).alias("f")
+    fields = [F.col(f"f.{c}") for c in ("ts", "pred", "gold", "subject", "correct")]
+    start = [] if interval is None else [F.col("w.start").alias("start")]
+    return rows.groupBy(*keys).agg(first).select("item_id", *start, *fields)
 
 
 def running_accuracy(scored: DataFrame) -> DataFrame:
@@ -93,13 +83,13 @@ def append_to(stream: DataFrame, path: str, checkpoint: str, partition_by: Seque
 
 
 def snapshot_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the whole current result of a streaming aggregation as a parquet table.
-
-    Each micro-batch overwrites the table, so a repeated one changes nothing.
+    """Keep the whole current result of a streaming aggregation as a parquet table, partitioned
+    by ``version``: a new folder for each micro-batch, so that readers never see one missing.
+    A repeated micro-batch writes its own version again. ``read_snapshot`` reads the newest.
     """
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    def replace(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/version={number}")
 
     return (
         stream.writeStream.foreachBatch(replace)
@@ -108,3 +98,10 @@ def snapshot_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery
         .trigger(availableNow=True)
         .start()
     )
+
+
+def read_snapshot(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The newest version of a snapshot; only its folder is read."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("version", LongType())])).parquet(path)
+    newest = rows.agg(F.max("version")).first()[0]
+    return rows.where(F.col("version") == newest).drop("version")

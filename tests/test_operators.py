@@ -12,6 +12,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from mcqflow import fixtures as fx
+from mcqflow.functions.chat import CHATML
 from mcqflow.functions.tokens import ByteCodec
 from mcqflow.operators import accuracy, alignment, batching, dialogue, numbering, runs, vocabulary as vocab
 from mcqflow.operators.contract import check_mcq, enforce_mcq, split_mcq
@@ -23,12 +24,13 @@ from mcqflow.plans.evaluate import (
     evaluate_generated,
     evaluate_outputs,
 )
-from mcqflow.plans.prepare import prepare_sft, training_batches
+from mcqflow.plans.prepare import eval_prompts, prepare_sft, training_batches
 from mcqflow.sources import sinks, splits
 from mcqflow.sources.shared import shared_folder
 
 BYTES = ByteCodec()
 FOUR = ["w", "x", "y", "z"]
+MESSAGE = "conv_id bigint, turn bigint, role string, text string"
 MCQ = "item_id bigint, question string, choices array<string>, subject string, answer string"
 
 
@@ -51,6 +53,7 @@ def mixed(spark):
             (5, "q", FOUR, "s", None),
             (6, "q", FOUR, "s", "9"),
             (7, "q", [*FOUR, None], "", "3"),
+            (None, "q", FOUR, "s", "A"),
         ],
         MCQ,
     )
@@ -58,6 +61,7 @@ def mixed(spark):
 
 def test_contract_reasons(mixed):
     assert [r[1] for r in rows(check_mcq(mixed).select("item_id", "invalid_reason"), "item_id")] == [
+        "missing item_id",
         None,
         "missing question",
         "missing choices",
@@ -69,9 +73,13 @@ def test_contract_reasons(mixed):
     ]
     valid, bad = split_mcq(mixed)
     assert [r.item_id for r in valid.orderBy("item_id").collect()] == [0, 7]
-    assert bad.count() == 6 and bad.where("invalid_reason is null").count() == 0
+    assert bad.count() == 7 and bad.where("invalid_reason is null").count() == 0
     assert enforce_mcq(mixed, "quarantine").count() == 2
-    assert enforce_mcq(mixed, "null").count() == 8
+    assert enforce_mcq(mixed, "null").count() == 9
+    prompts = eval_prompts(mixed, on_invalid="null")
+    assert prompts.where("prompt_text is null").count() == 4 and prompts.count() == 9
+    batches = training_batches(mixed, BYTES, 2, on_invalid="quarantine")
+    assert [r["count"] for r in batches.groupBy("batch_id").count().collect()] == [2]
 
 
 def test_contract_raises_even_when_columns_are_pruned(mixed):
@@ -83,7 +91,9 @@ def test_contract_columns(spark):
     with pytest.raises(ValueError, match="missing columns"):
         check_mcq(spark.range(1))
     frame = spark.createDataFrame([("q", FOUR, True)], "question string, choices array<string>, answer boolean")
-    out = check_mcq(frame).first()
+    with pytest.raises(ValueError, match="item_id"):  # the key is part of the contract
+        check_mcq(frame)
+    out = check_mcq(frame.withColumn("item_id", F.lit(1))).first()
     assert out.subject is None and out.invalid_reason is None and out.answer == 1
 
 
@@ -190,22 +200,67 @@ def test_training_batches(spark, folder):
 # --- conversations -------------------------------------------------------------
 
 
-def test_long_conversations_come_in_parts(spark):
-    data = [(1, t, "user" if t % 2 == 0 else "assistant", f"t{t}") for t in range(10)]
-    df = spark.createDataFrame(data, "conv_id bigint, turn bigint, role string, text string").repartition(4)
+def test_conversations_are_whole_whatever_their_turn_numbers(spark):
+    data = [(1, 1000 + 7 * t, "user" if t % 2 == 0 else "assistant", f"t{t}") for t in range(10)]
+    df = spark.createDataFrame(data, MESSAGE).repartition(4)
     whole = dialogue.render_dialogues(df).collect()
-    parts = dialogue.render_dialogues(df, turns_per_part=3).orderBy("part").collect()
-    assert len(whole) == 1 and [p.turns for p in parts] == [3, 3, 3, 1]
-    assert "".join(p.text for p in parts) == whole[0].text
-    ids = dialogue.supervise_dialogues(df, BYTES, turns_per_part=4).orderBy("part").collect()
+    assert [w.turns for w in whole] == [10]
+    turns = dialogue.render_turns(df).orderBy("turn").collect()
+    assert "".join(t.text for t in turns) == whole[0].text
+    assert all(whole[0].text[t.offset :].startswith(t.text) for t in turns)
     full = dialogue.supervise_dialogues(df, BYTES).first()
-    assert sum((p.input_ids for p in ids), []) == full.input_ids
-    assert sum((p.labels for p in ids), []) == full.labels
+    for limit in (1, 30, 31, 100, 10_000):
+        cut = dialogue.supervise_dialogues(df, BYTES, max_seq_len=limit).first()
+        assert cut.input_ids == full.input_ids[:limit] and cut.labels == full.labels[:limit]
+    ended = dialogue.render_dialogues(df, generation=True).first().text
+    assert ended.startswith(whole[0].text) and ended.endswith("</think>\n\n")
     assert bytes(full.input_ids).decode() == whole[0].text
     taught = bytes(x for x in full.labels if x != -100).decode()
     assert taught == "".join(f"t{t}<|im_end|>\n" for t in range(1, 10, 2))
 
 
+def test_bad_messages_are_refused_or_held(spark):
+    data = [(1, 0, "user", "a"), (1, 1, None, "b"), (2, 0, "user", "c"), (3, 0, "user", None), (None, 0, "user", "d")]
+    df = spark.createDataFrame(data, MESSAGE)
+    for build in (dialogue.render_dialogues, dialogue.assemble_messages, dialogue.render_turns):
+        with pytest.raises(PySparkException, match="invalid message"):
+            build(df).collect()
+        assert [r.conv_id for r in build(df, on_invalid="quarantine").collect()] == [2]
+    good, bad = dialogue.split_messages(df)
+    assert good.count() == 1
+    assert sorted((str(r.conv_id), str(r.invalid_reason)) for r in bad.collect()) == [
+        ("1", "None"), ("1", "missing role"), ("3", "missing text"), ("None", "missing conv_id"),
+    ]
+    nulls = df.groupBy("conv_id").agg(F.collect_list(F.struct("role", F.col("text").alias("content"))).alias("m"))
+    texts = {r.conv_id: r.t for r in nulls.select("conv_id", CHATML.messages(F.col("m")).alias("t")).collect()}
+    assert texts[1] is None and texts[2] == "<|im_start|>user\nc<|im_end|>\n"
+
+
+def test_null_keys_are_numbered(spark):
+    df = spark.createDataFrame([(1, "x"), (2, None), (None, "x"), (4, None)], "item_id bigint, g string")
+    assert sorted(r.position for r in batching.shuffle_rows(df).collect()) == [0, 1, 2, 3]
+    got = {(r.g, r.item_id): r.n for r in numbering.row_index(df, out="n", within=["g"]).collect()}
+    assert got == {("x", None): 0, ("x", 1): 1, (None, 2): 0, (None, 4): 1}
+    got = numbering.text_index(df.select("g", F.col("item_id").cast("string").alias("k")), "k", "n", ["g"])
+    assert {(r.g, r.k): r.n for r in got.collect()} == {("x", None): 0, ("x", "1"): 1, (None, "2"): 0, (None, "4"): 1}
+
+
+def test_texts_without_an_item_stay_apart(spark):
+    df = spark.createDataFrame([(None, "a b"), (None, "b"), (None, "b"), (1, "a")], "item_id bigint, text string")
+    table = vocab.build_vocabulary(df, "text", 10).cache()
+    assert rows(table.select("token", "id", "n"), "id") == [("b", 0, 3), ("a", 1, 2)]
+    for most in (0, 100):
+        ids = vocab.encode_by_join(df, table, "text", 9, max_broadcast=most)
+        assert sorted((str(r.item_id), r.input_ids) for r in ids.collect()) == [
+            ("1", [1]), ("None", [0]), ("None", [0]), ("None", [1, 0]),
+        ]
+        back = vocab.decode_by_join(ids, table, max_broadcast=most)
+        assert sorted((str(r.item_id), r.text) for r in back.collect()) == [
+            ("1", "a"), ("None", "a b"), ("None", "b"), ("None", "b"),
+        ]
+    assert "TakeOrdered" not in vocab.build_vocabulary(df, "text", 2)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_dialogue_mask_agrees_with_prompt_mask(spark):
     """A two-turn conversation is the single-question case."""
     df = spark.createDataFrame(

@@ -45,33 +45,29 @@ def test_running_accuracy_and_repeats(spark):
     def settle(stream):
         out = shared_folder(spark)
         jobs.snapshot_to(stream, out + "/result", out + "/state").awaitTermination()
-        return spark.read.parquet(out + "/result")
+        return jobs.read_snapshot(spark, out + "/result", stream.schema)
 
     batch = jobs.score_arriving(times, gold)
     scored = jobs.score_arriving(as_stream(spark, times), gold)
     assert rows(settle(jobs.running_accuracy(scored)), "subject") == rows(jobs.running_accuracy(batch), "subject")
     got = settle(jobs.interval_accuracy(scored, "10 minutes"))
     assert rows(got, "start", "subject") == rows(jobs.interval_accuracy(batch, "10 minutes"), "start", "subject")
-    once = jobs.drop_repeats(jobs.score_arriving(as_stream(spark, times), gold), "1 day")
-    assert sum(r.total for r in settle(jobs.running_accuracy(once)).collect()) == 20
-
-
-def test_copies_fold_to_the_latest_before_the_exchange(spark):
-    hot = spark.range(0, 3000, 1, 2).select(
-        F.when(F.col("id") % 3 > 0, F.col("id")).otherwise(0).alias("item_id"),
-        F.timestamp_seconds(F.col("id")).alias("ts"),
-        F.lit("s").alias("subject"),
-        F.lit(True).alias("correct"),
-    )
-    out = shared_folder(spark)
-    once = jobs.drop_repeats(as_stream(spark, hot), "1 day")
-    jobs.append_to(once, out + "/rows", out + "/state").awaitTermination()
-    got = rows(spark.read.parquet(out + "/rows").select("item_id"), "item_id")
-    assert got == rows(hot.select("item_id").distinct(), "item_id")
-    folded = jobs.fold_repeats(hot.coalesce(1))
-    assert folded.count() == len(got)
-    kept = folded.where("item_id = 0").first()
-    assert kept.ts == hot.where("item_id = 0").agg(F.max("ts")).first()[0]
+    expected = rows(jobs.first_arrivals(batch), "item_id")
+    for records in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+        once = settle(jobs.first_arrivals(jobs.score_arriving(as_stream(spark, times), gold)))
+        assert rows(once, "item_id") == expected
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [(r[0], r[1].timestamp()) for r in expected] == [(i, 60.0 * i) for i in range(20)]
+
+
+def test_first_arrival_is_defined_for_ties(spark):
+    at = F.timestamp_seconds(F.lit(5))
+    data = spark.createDataFrame([(1, "C"), (1, None), (1, "B"), (2, None), (2, "D")], "item_id bigint, pred string")
+    scored = data.select("item_id", at.alias("ts"), "pred", F.lit("B").alias("gold"), F.lit("s").alias("subject"), (F.col("pred") == "B").alias("correct"))
+    assert [(r[0], r[2]) for r in rows(jobs.first_arrivals(scored), "item_id")] == [(1, "B"), (2, "D")]
+    by_hour = jobs.first_arrivals(scored.unionByName(scored.withColumn("ts", F.timestamp_seconds(F.lit(4000)))), "1 hour")
+    assert by_hour.count() == 4
 
 
 def test_closed_intervals_are_appended(spark):
