@@ -110,7 +110,7 @@ def hypergeometric(population: Column, marked: Column, draws: Column, u: Column)
     Starts at the most likely number and goes outwards to both sides, ten standard deviations.
     """
     def draw(c: Column) -> Column:
-        N, K, n = c["N"], c["K"], c["n"]
+        N, K, n = c["all"], c["hit"], c["cut"]
         low, high = F.greatest(F.lit(0).cast("long"), n + K - N), F.least(n, K)
 
         def from_mode(m: Column) -> Column:
@@ -158,7 +158,7 @@ def hypergeometric(population: Column, marked: Column, draws: Column, u: Column)
         return F.when(low == high, low).otherwise(let(inside, from_mode))
 
     return let(
-        F.struct(population.cast("long").alias("N"), marked.cast("long").alias("K"), draws.cast("long").alias("n")), draw
+        F.struct(population.cast("long").alias("all"), marked.cast("long").alias("hit"), draws.cast("long").alias("cut")), draw
     )
 
 
