@@ -37,13 +37,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from mcqflow.llm.common import checkpointed, fresh, text_of
 from mcqflow.llm.components import components
-from mcqflow.llm.repeats import mix, packed, unpacked
-from mcqflow.llm.substrings import WordNames, joined
+from mcqflow.llm.repeats import packed, unpacked
+from mcqflow.llm.words import U, mix, words_of_texts
 
 SHINGLE = 5
 PERCENT = 75
@@ -55,32 +56,39 @@ LEADS = 2  # groups in which the sets of an active class are compared
 PART_ROWS = 4000  # of a group, compared by one task
 BROADCAST_ROWS = 250_000  # of at most 36 bytes
 
-U = np.uint64
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+CHUNK = 2 << 20
+
+# Odd factors of a shingle's words; the differences of any two are not multiples of 16.
+_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 
 
 class Shingler:
     """Sets of texts."""
 
     def __init__(self, size: int = SHINGLE) -> None:
+        if not 1 <= size <= len(_FACTORS):
+            raise ValueError(f"a shingle has 1 to {len(_FACTORS)} words")
         self.size = size
-        self.names = WordNames()
-
-    def all(self, text: bytes) -> np.ndarray:
-        words = self.names.of(text.translate(_LOWER).split())
-        n = len(words) - self.size + 1
-        if not len(words):
-            return words
-        if n < 1:
-            n = 1
-        whole = words[:n]
-        for i in range(1, min(self.size, len(words))):
-            whole = joined(whole, words[i : i + n])
-        # A short sequence isn't the same as a longer one's shingle.
-        return mix(whole + U(min(len(words), self.size)))
 
-    def set(self, text: bytes) -> np.ndarray:
-        return np.unique(self.all(text))
+    def sets(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The distinct shingles of each text."""
+        words, cuts = words_of_texts(texts, lower=True)
+        n = max(0, len(words) - self.size + 1)
+        total = np.zeros(n, dtype=U)
+        for i, factor in enumerate(_FACTORS[: self.size]):
+            total += words[i : i + n] * U(factor)
+        total = mix(total)
+        out = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if b - a >= self.size:
+                out.append(np.unique(total[a : b - self.size + 1]))
+            elif b > a:
+                # All words of a short text; its length keeps it apart from longer shingles.
+                short = sum((words[a + i : a + i + 1] * U(_FACTORS[i]) for i in range(b - a)), U(b - a) << U(32))
+                out.append(mix(short))
+            else:
+                out.append(words[:0])
+        return out
 
 
 def fingerprint(shingles: np.ndarray) -> bytes:
@@ -98,7 +106,19 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 def count_vector(shingles: np.ndarray) -> np.ndarray:
     groups = (mix(shingles + U(11)) >> U(40)) % U(DIMENSIONS)
-    return np.minimum(np.bincount(groups.astype(np.int64), minlength=DIMENSIONS), 2**32 - 1).astype(np.uint32)
+    return np.minimum(np.bincount(groups.astype(np.int64), minlength=DIMENSIONS), 2**31 - 1).astype(np.uint32)
+
+
+def stored(vector: np.ndarray) -> bytes:
+    """Two bytes for each count; what is too large for them is read back as the largest count,
+    so bounds stay bounds."""
+    return np.minimum(vector, 2**16 - 1).astype(np.uint16).tobytes()
+
+
+def loaded(vectors: pa.ChunkedArray) -> np.ndarray:
+    raw = np.frombuffer(b"".join(vectors.to_pylist()), np.uint16).reshape(-1, DIMENSIONS).astype(np.uint32)
+    raw[raw == 2**16 - 1] = 2**31 - 1
+    return raw
 
 
 class RTree:
@@ -165,23 +185,46 @@ def links_in_group(ids: list[bytes], sets: list[np.ndarray], percent: int = PERC
 
 
 def pairs_in_group(
-    ids: list[bytes], comps: list[bytes], vectors: np.ndarray, sizes: np.ndarray, best: bool, percent: int = PERCENT
-) -> Iterator[tuple[bytes, bytes]]:
-    """Pairs of different components that pass the bound; ``best``: one for each row and component."""
-    tree = RTree(vectors, sizes)
-    _, comp = np.unique(np.array(comps, dtype=object), return_inverse=True)
-    for i in range(len(ids)):
-        rows, bound = tree.search(vectors[i], int(sizes[i]), percent)
-        other = comp[rows] != comp[i]
+    rows: np.ndarray, comp: np.ndarray, vectors: np.ndarray, sizes: np.ndarray, best: bool, percent: int = PERCENT
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of different components that pass the bound; ``best``: one for each row and component."""
+    tree = RTree(vectors[rows], sizes[rows])
+    mine, left, right = comp[rows], [], []
+    for i, row in enumerate(rows.tolist()):
+        found, bound = tree.search(vectors[row], int(sizes[row]), percent)
+        other = mine[found] != mine[i]
         if not best:
-            other &= rows < i
-        rows, bound = rows[other], bound[other]
-        if best and len(rows):
-            order = np.lexsort((-bound, comp[rows]))
-            rows = rows[order]
-            rows = rows[np.r_[True, comp[rows[1:]] != comp[rows[:-1]]]]
-        for j in rows.tolist():
-            yield (ids[i], ids[j]) if ids[i] < ids[j] else (ids[j], ids[i])
+            other &= found < i
+        found, bound = found[other], bound[other]
+        if best and len(found):
+            order = np.lexsort((-bound, mine[found]))
+            found = found[order]
+            found = found[np.r_[True, mine[found[1:]] != mine[found[:-1]]]]
+        left.append(np.full(len(found), row))
+        right.append(rows[found])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def pairs_of_leaves(
+    group: np.ndarray, comp: np.ndarray, vectors: np.ndarray, sizes: np.ndarray, percent: int = PERCENT
+) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many groups of at most one leaf, whose rows stand together: rows at distance
+    1, 2, ... are bounded side by side."""
+    left, right = [], []
+    for distance in range(1, LEAF):
+        i = np.arange(max(0, len(group) - distance))
+        j = i + distance
+        keep = (group[i] == group[j]) & (comp[i] != comp[j])
+        keep &= (100 * sizes[i] >= percent * sizes[j]) & (100 * sizes[j] >= percent * sizes[i])
+        i, j = i[keep], j[keep]
+        for at in range(0, len(i), 20_000):
+            a, b = i[at : at + 20_000], j[at : at + 20_000]
+            bound = np.minimum(vectors[a], vectors[b]).sum(axis=1, dtype=np.int64)
+            passes = bound >= needed(sizes[a], sizes[b], percent)
+            left.append(a[passes])
+            right.append(b[passes])
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
 @dataclass
@@ -196,10 +239,18 @@ class Order:
         return shingles[np.lexsort((shingles, level))]
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Rows and their texts, up to so many bytes or one text at a time."""
     for b in batches:
-        for row in zip(b.column("doc_id"), b.column("hash"), b.column("text"), strict=True):
-            yield row[0].as_py(), row[1].as_py(), row[2].as_py().encode()
+        sizes, at = pc.binary_length(b.column("text")).to_pylist(), 0
+        while at < b.num_rows:
+            stop, held = at + 1, sizes[at]
+            while stop < b.num_rows and held + sizes[stop] <= CHUNK:
+                held += sizes[stop]
+                stop += 1
+            some = b.slice(at, stop - at)
+            yield some, some.column("text").cast(pa.binary()).to_pylist()
+            at = stop
 
 
 def _frame(columns: tuple, schema: pa.Schema) -> pa.RecordBatch:
@@ -218,12 +269,9 @@ def read_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
-        for b in batches:
-            found = [(i, h, shingler.set(t)) for i, h, t in _texts(iter([b]))]
-            yield _frame(
-                ([f[0] for f in found], [f[1] for f in found], [len(f[2]) for f in found], [fingerprint(f[2]) for f in found]),
-                _SETS,
-            )
+        for rows, texts in _chunks(batches):
+            sets = shingler.sets(texts)
+            yield _frame((rows.column("doc_id"), rows.column("hash"), [len(s) for s in sets], [fingerprint(s) for s in sets]), _SETS)
 
     return docs.mapInArrow(work, "doc_id bigint, hash bigint, n_shingles bigint, set_id binary")
 
@@ -234,8 +282,9 @@ def sketch_order(docs: DataFrame, bits: int = SKETCH_BITS, size: int = SHINGLE)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, counts = Shingler(size), np.zeros(1 << bits, dtype=np.uint32)
-        for _, _, text in _texts(batches):
-            np.add.at(counts, (mix(shingler.set(text) + U(5)) >> U(64 - bits)).astype(np.int64), 1)
+        for _, texts in _chunks(batches):
+            every = np.concatenate(shingler.sets(texts))
+            counts += np.bincount((mix(every + U(5)) >> U(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
         blobs = [zlib.compress(counts[i * width : (i + 1) * width].tobytes(), 1) for i in range(SLICES)]
         yield _frame((list(range(SLICES)), blobs), _SKETCH)
 
@@ -277,8 +326,7 @@ def shared_prefixes(docs: DataFrame, order: Order, parts: int, percent: int, siz
                     rows.append((p, 0, 0, (mine, local.astype(np.uint16 if len(used) < 2**16 else np.uint32), key[here])))
             return packed(rows).combine_chunks()
 
-        for _, _, text in _texts(batches):
-            shingles = shingler.set(text)
+        for shingles in (s for _, texts in _chunks(batches) for s in shingler.sets(texts)):
             if not len(shingles):
                 continue
             set_id = fingerprint(shingles)
@@ -328,13 +376,10 @@ def _active_sets(texts: DataFrame, size: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                few = b.slice(at, 500)
-                sets = [shingler.set(t) for *_, t in _texts(iter([few]))]
-                vectors = [count_vector(s).tobytes() for s in sets]
-                rows = (few.column("set_id"), [len(s) for s in sets], [s.view(np.int64) for s in sets], vectors)
-                yield _frame(rows, _ACTIVE)
+        for rows, texts in _chunks(batches):
+            sets = shingler.sets(texts)
+            vectors = [stored(count_vector(s)) for s in sets]
+            yield _frame((rows.column("set_id"), [len(s) for s in sets], [s.view(np.int64) for s in sets], vectors), _ACTIVE)
 
     return texts.mapInArrow(work, "set_id binary, size bigint, shingles array<bigint>, vector binary")
 
@@ -354,13 +399,21 @@ def _lead_links(active: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
     lead = lead.join(counted, ["key", "part"])
 
     def work(table: pa.Table) -> pa.Table:
-        ids = table.column("set_id").to_pylist()
-        sets = [np.asarray(s.values).view(U) for s in table.column("shingles")]
-        found = list(links_in_group(ids, sets, percent))
+        at = np.array(table.column("at").to_pylist())
+        order = np.argsort(at, kind="stable")
+        cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(at[order]) != 0]), len(order)]
+        ids, shingles = table.column("set_id"), table.column("shingles")
+        found = []
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            group = order[x:y].tolist()
+            sets = [shingles[i].values.to_numpy().view(U) for i in group]
+            found += links_in_group([ids[i].as_py() for i in group], sets, percent)
         return pa.table([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], schema=_EDGE)
 
+    many = int(active.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
     rows = lead.join(active.select("set_id", "shingles"), "set_id")
-    return rows.groupBy("key", "part").applyInArrow(work, "a binary, b binary")
+    rows = rows.select("set_id", "shingles", F.xxhash64("key", "part").alias("at"))
+    return rows.withColumn("bucket", F.pmod("at", F.lit(many))).groupBy("bucket").applyInArrow(work, "a binary, b binary")
 
 
 def _meeting_pairs(active: DataFrame, keys: DataFrame, comps: DataFrame, best: bool, percent: int) -> DataFrame:
@@ -382,16 +435,30 @@ def _meeting_pairs(active: DataFrame, keys: DataFrame, comps: DataFrame, best: b
         rows = rows.withColumn("part", F.explode(pairs))
 
     def work(table: pa.Table) -> pa.Table:
-        ids, comps_ = table.column("set_id").to_pylist(), table.column("comp").to_pylist()
-        found: list[tuple[bytes, bytes]] = []
-        if len(set(comps_)) > 1:
-            vectors = np.stack([np.frombuffer(v.as_py(), np.uint32) for v in table.column("vector")])
-            sizes = np.array(table.column("size").to_pylist(), dtype=np.int64)
-            found = list(pairs_in_group(ids, comps_, vectors, sizes, best, percent))
-        return pa.table([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], schema=_EDGE)
-
-    kept = rows.select("key", "part", "set_id", "comp", "size", "vector")
-    return kept.groupBy("key", "part").applyInArrow(work, "a binary, b binary").distinct()
+        ids = np.array(table.column("set_id").to_pylist(), dtype=object)
+        _, group = np.unique(np.array(table.column("at").to_pylist()), return_inverse=True)
+        order = np.argsort(group, kind="stable")
+        _, comp = np.unique(np.array(table.column("comp").to_pylist(), dtype=object), return_inverse=True)
+        sizes, vectors = table.column("size").to_numpy(), loaded(table.column("vector"))
+        cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(group[order]) > 0]), len(order)]
+        times = np.repeat(np.diff(cuts), np.diff(cuts))
+        few = order[times <= LEAF]
+        a, b = pairs_of_leaves(group[few], comp[few], vectors[few], sizes[few], percent)
+        pairs = [(few[a], few[b])]
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            if y - x > LEAF:
+                pairs.append(pairs_in_group(order[x:y], comp, vectors, sizes, best, percent))
+        left, right = (ids[np.concatenate([p[k] for p in pairs])] for k in (0, 1))
+        swap = left > right
+        left, right = np.where(swap, right, left), np.where(swap, left, right)
+        both = sorted(set(zip(left.tolist(), right.tolist(), strict=True)))
+        return pa.table([pa.array([p[k] for p in both], pa.binary()) for k in (0, 1)], schema=_EDGE)
+
+    # Small groups are searched many at a time; the rows of one group stay together.
+    many = int(active.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
+    kept = rows.select(F.xxhash64("key", "part").alias("at"), "set_id", "comp", "size", "vector")
+    kept = kept.withColumn("bucket", F.pmod("at", F.lit(many)))
+    return kept.groupBy("bucket").applyInArrow(work, "a binary, b binary").distinct()
 
 
 def _verified(pairs: DataFrame, active: DataFrame, percent: int) -> DataFrame:
@@ -434,7 +501,7 @@ def link_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
             b = comps.withColumnsRenamed({"set_id": "b", "comp": "y"})
             between = more.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
             merged = components(comps.select(F.col("comp").alias("set_id")).distinct(), between)
-            merged = merged.withColumnsRenamed({"set_id": "comp", "comp": "new"})
+            merged = merged.select(F.col("set_id").alias("comp"), F.col("comp").alias("new"))
             comps = checkpointed(comps.join(merged, "comp").select("set_id", F.col("new").alias("comp")))
 
     # A class that isn't active is a component of its own; an empty set is no class.

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from mcqflow.llm.common import text_of
+from mcqflow.llm.words import mix
 
 ASK = "part int, grp int, kind int, data binary"
 ASKED, ANSWERED = 0, 1
@@ -44,15 +45,6 @@ def dealt(docs: DataFrame, groups: int, carried: Sequence[str] = ()) -> DataFram
     return read.withColumn("grp", F.pmod(F.xxhash64("doc_id", "hash"), F.lit(groups)).cast("int"))
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer; wraps around."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Group:
     """The documents of a group of rows, numbered in the order of id and hash, whatever the order of the rows."""
 

@@ -28,36 +28,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from mcqflow.llm.repeats import ANSWERED, ASKED, find_repeats, merged, mix, numbered, spans_of
+from mcqflow.llm.repeats import ANSWERED, ASKED, find_repeats, merged, numbered, spans_of
+from mcqflow.llm.words import U, joined, mix, stretches, words_of_texts
 
 WINDOW = 20
 ROUNDS = 7
-KNOWN_WORDS = 1 << 20
 
-U = np.uint64
 DDL = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
 
-class WordNames(dict):
-    """64-bit digests of words; those of recent words are kept."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        name = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        self[word] = name
-        return name
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=U, count=len(words))
-
-
-def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A name for the pair of two names."""
-    return mix(a * U(0x9E3779B97F4A7C15) + mix(b + U(0x632BE59BD9B4E019)))
-
-
 @dataclass
 class Symbols:
     """One round's symbols in text order: words [start, stop) decided by words [low, high)."""
@@ -135,32 +115,9 @@ def picks(levels: list[Symbols], doc: np.ndarray, window: int) -> tuple[np.ndarr
 
 
 def window_digests(words: np.ndarray, window: int, seed: int) -> np.ndarray:
-    """A digest of each window of words, made by doubling."""
-    n = len(words) - window + 1
-    if n <= 0:
-        return np.zeros(0, dtype=U)
-    power = mix(words + U(seed))
-    done, covered = None, 0
-    size = 1
-    while True:
-        if window & size:
-            done = power if done is None else joined(done[: len(power) - covered], power[covered:])
-            covered += size
-        size *= 2
-        if size > window:
-            return done[:n]
-        power = joined(power[: -(size // 2)], power[size // 2 :])
-
-
-def stretches(words: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """A digest of words [low, high) for each pair: a polynomial modulo 2**64, by prefix sums."""
-    base = 0x9E3779B97F4A7C15
-    inverse = pow(base, -1, 2**64)
-    n = len(words) + 1
-    power = np.cumprod(np.r_[U(1), np.full(n - 1, base, dtype=U)])
-    back = np.cumprod(np.r_[U(1), np.full(n - 1, inverse, dtype=U)])
-    sums = np.r_[U(0), np.cumsum(mix(words + U(3)) * power[:-1])]
-    return mix((sums[high] - sums[low]) * back[low] + (high - low).astype(U))
+    """A digest of each window of words."""
+    start = np.arange(max(0, len(words) - window + 1))
+    return stretches(words, start, start + window, seed)
 
 
 @dataclass
@@ -182,16 +139,12 @@ class WordWindows:
 
     def __init__(self, window: int = WINDOW, rounds: int = ROUNDS) -> None:
         self.window, self.rounds = window, rounds
-        self._names: WordNames | None = None
 
     def anchors(self, texts: list[bytes]) -> Found:
-        if self._names is None:
-            self._names = WordNames()
-        each = [self._names.of(t.split()) for t in texts]
-        sizes = [len(w) for w in each]
-        words = np.concatenate(each)
+        words, cuts = words_of_texts(texts)
+        sizes = np.diff(cuts)
         doc = np.repeat(np.arange(len(texts)), sizes)
-        place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        place = np.arange(len(words)) - np.repeat(cuts[:-1], sizes)
         none = np.zeros(0, dtype=np.int64)
         if len(words) < self.window:
             return Found(words, place, doc, none, none.astype(U), none)

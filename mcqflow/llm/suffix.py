@@ -31,14 +31,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from mcqflow.llm.repeats import ANSWERED, ASKED, find_repeats, merged, mix, spans_of
+from mcqflow.llm.repeats import ANSWERED, ASKED, find_repeats, merged, spans_of
+from mcqflow.llm.words import U, mix
 
 LENGTH = 200
 GRAM = 32
 PLACE_BITS = 22  # of a sliding minimum: the place in a slice
 SLICE = 3 << 20
 
-U = np.uint64
 DDL = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 SCHEMA = pa.schema(
     [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
