@@ -8,7 +8,9 @@ Content-Length, and checks the digest of the payload.
 Records with equal payloads of at least ``min_bytes`` are written once: that of the smallest
 page id is the response, the others revisit it and carry no payload. Null ids come last.
 Rows that share id and payload count as one response and revisits of it. A null payload is
-empty; a null url leaves the header out. An empty table makes no file and gives no rows;
+empty; a null url leaves the header out. A url stands verbatim in its header, percent signs
+included; line ends, control and non-ASCII characters are escaped there, and such a url
+stands in X-Target-URI once more with percent signs escaped too. An empty table makes no file and gives no rows;
 extra columns are ignored.
 """
 
@@ -35,6 +37,7 @@ FILE_BYTES = 256 << 20
 CHUNK = 1 << 18
 BROADCAST_DECISIONS = 100_000  # of some 90 bytes
 LEVEL = 3
+PLAIN = "/:=&?~#+!$,;'@()*[]|^`{}<>\"\\ .-_"  # stand in a header as they are, as do letters and digits
 DATE = "1970-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
@@ -130,7 +133,9 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
                 "X-Payload-Bytes": str(len(payload)),
             }
             if url is not None:
-                headers["WARC-Target-URI"] = quote(url, safe="%/:=&?~#+!$,;'@()*[]|^`{}<>\"\\ .-_")
+                headers["WARC-Target-URI"] = quote(url, safe="%" + PLAIN)
+                if headers["WARC-Target-URI"] != url:  # a second header gives back what the first can't hold
+                    headers["X-Target-URI"] = quote(url, safe=PLAIN)
             if page is not None:
                 headers["X-Page-Id"] = str(page)
             if revisit:
@@ -166,7 +171,7 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str, payloads: bool) -> Ite
                 for r in read_records(stream):
                     h = r.headers
                     number = lambda k: int(h[k]) if k in h else None  # noqa: B023, E731
-                    url = unquote(h["WARC-Target-URI"]) if "WARC-Target-URI" in h else None
+                    url = unquote(h["X-Target-URI"]) if "X-Target-URI" in h else h.get("WARC-Target-URI")
                     digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
                     row = (number("X-Page-Id"), url, number("X-Payload-Bytes"), digest, h["WARC-Type"], number("X-Refers-To"))
                     rows.append((*row, r.payload) if payloads else row)

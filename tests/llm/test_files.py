@@ -92,6 +92,12 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_keeps_percent_signs(spark):
+    urls = ["http://a/b%20c%2Fd", "100%", "%zz%", "a%0D%0Ab", "ä%20b", "ä%C3%A4\r\nX-Page-Id: 9", " x ", "", "%25"]
+    df = spark.createDataFrame([(i, u, f"page {i}", "d", "k") for i, u in enumerate(urls)], PAGES)
+    assert {r.page_id: r.url for r in warc.round_trip(df).collect()} == dict(enumerate(urls))
+
+
 def test_warc_reader_is_strict():
     block = warc._HTTP % 3 + b"abc"
     head = {"WARC-Type": "response", "WARC-Payload-Digest": "sha1:" + warc.payload_digest(b"abc")}
