@@ -6,7 +6,8 @@ often each content stands there. A path whose content differs from page to page
 (1), one that holds the same everywhere is not (0): importance is 1 less the entropy of the
 pages over equal contents, to the base of the number of pages. Tags and classes that say
 what a branch is for (menus, adverts, scripts, ...) have no importance, the article's own
-branch has all. What is below the threshold is cut out of each page; then the text of the
+branch has all. A class or id counts as a whole, and neither it nor a form makes noise of a
+branch with more than half of the page's text. What is below the threshold is cut out of each page; then the text of the
 article is read off, or of the whole body where no article is marked.
 
 Pages with equal html count once in the merged tree, so copies don't make their article
@@ -64,6 +65,12 @@ NOISE_WORDS = frozenset(
     " related recommended recommendations trending comment comments disqus respond replies reader-comments pagination"
     " pager widget widgets toc skip-link search searchbox copyright legal disclaimer tags taglist".split()
 )
+# Words that with one of the above still name noise, as in share-bar or site-footer.
+FURNITURE = frozenset(
+    "bar bars box list wrapper wrap block container section links link item items area inner panel module unit slot button"
+    " buttons form site main page top bottom left right global primary secondary".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog".split())
 
 _TOKEN = re.compile(
@@ -79,6 +86,7 @@ class Node:
     tag: str
     path: str
     noise: bool
+    soft: bool = False  # noise by a word list or as a form, which the branch's share of the text can overrule
     children: list[Node | str] = field(default_factory=list)
 
 
@@ -100,10 +108,40 @@ def _is_noise(tag: str, attributes: dict[str, str]) -> bool:
         return True
     if tag in ("body", "html", "article", "main", "p", "h1"):
         return False
-    for name in (attributes.get("class", "") + " " + attributes.get("id", "")).lower().split():
-        if name in NOISE_WORDS or any(w in NOISE_WORDS for w in re.split(r"[-_\d]+", name)):
-            return True
-    return False
+    names = attributes.get("class", "") + " " + (attributes.get("id", "") if tag not in HEADINGS else "")
+    return any(map(_names_noise, names.lower().split()))
+
+
+@functools.lru_cache(maxsize=100_000)
+def _names_noise(name: str) -> bool:
+    """Whether the whole of a class or id stands for noise, not a piece of it."""
+    words = [w for w in re.split(r"[-_\d]+", name) if w]
+    return name in NOISE_WORDS or (
+        any(w in NOISE_WORDS for w in words) and all(w in NOISE_WORDS or w in FURNITURE for w in words)
+    )
+
+
+def _is_soft(tag: str, attributes: dict[str, str]) -> bool:
+    """Noise for no better reason than a name, or being a form."""
+    bare = {k: v for k, v in attributes.items() if k not in ("class", "id")}
+    return not _is_noise("div" if tag == "form" else tag, bare)
+
+
+def _overrule(root: Node) -> None:
+    """Names don't make noise of a branch with more than half of the text that isn't noise for certain."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(c for c in node.children if isinstance(c, Node) and (c.soft or not c.noise))
+    if not any(n.soft for n in order):
+        return
+    size: dict[int, int] = {}
+    for node in reversed(order):
+        size[id(node)] = sum(len(c.strip()) if isinstance(c, str) else size.get(id(c), 0) for c in node.children)
+    for node in order:
+        if node.soft and 2 * size[id(node)] > size[id(root)]:
+            node.noise = False
 
 
 def parse(html: str) -> Node:
@@ -140,6 +178,7 @@ def parse(html: str) -> Node:
             label += "#" + re.sub(r"\d+", "0", attributes["id"]) if attributes.get("id") else ""
         parent = stack[-1]
         node = Node(tag, f"{parent.path}/{label}" if tag in CONTAINERS or tag in ("body", "html") else parent.path, _is_noise(tag, attributes))
+        node.soft = node.noise and _is_soft(tag, attributes)
         parent.children.append(node)
         if tag in RAW and not token.endswith("/>"):
             close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, position)
@@ -151,6 +190,7 @@ def parse(html: str) -> Node:
                 position = end
         elif tag not in VOID:
             stack.append(node)
+    _overrule(root)
     return root
 
 

@@ -124,6 +124,17 @@ def test_main_text():
     assert html.main_text("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>") == "a\n\nb\n\nc\n\nd"
 
 
+def test_names_do_not_drop_the_article():
+    inside = "<h2 id='search-and-rescue'>Search</h2><section id='related-work'><p>work</p></section><div class='share-bar'>s</div>"
+    assert html.main_text(_page(inside)) == "Search\n\nwork"
+    story = "<p>The story and its many words</p>"
+    for wrapper in ("div class='content has-sidebar'", "form", "div class='notice'"):
+        page = f"<body><{wrapper}>{{}}<div class='sidebar'>side</div></{wrapper.split()[0]}></body>"
+        assert html.main_text(page.format(story)) == "The story and its many words"
+        assert html.main_text(page.format(f"<article>{story}</article>")) == "The story and its many words"
+    assert html.main_text(f"<body><div hidden>{story}</div><p>x</body>") == "x"
+
+
 def test_style_tree_cuts_what_a_host_repeats(spark):
     body = "<div class='x1'><p>Subscribe to us</p></div><div class='story'><p>{0} first words of page {0}</p></div>"
     rows = [(i, f"http://h.example/{i}", f"<html><body>{body.format(i)}</body></html>", "d", "k") for i in range(20)]
