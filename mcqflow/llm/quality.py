@@ -81,7 +81,11 @@ def _ratio(part: Column, whole: Column) -> Column:
 
 
 def measure(docs: DataFrame, out: str, text: str = "text") -> DataFrame:
-    """Add ``out``: a struct of the measures of each text."""
+    """Add ``out``: a struct of the measures of each text.
+
+    A generator of one row emits it. Filters and projections on a generator's output stay above
+    it, so the measures are taken once a row, however many rules read them.
+    """
     w, h = fresh([*docs.columns, out], "_words"), fresh([*docs.columns, out], "_windows")
     n = F.size(w)
     body = text_of(text)
@@ -116,7 +120,7 @@ def measure(docs: DataFrame, out: str, text: str = "text") -> DataFrame:
             _ratio(c["lines"]["dup"], c["lines"]["n"]).alias("dup_lines_per_line"),
         )
 
-    return windowed.withColumn(out, let(counts, ratios)).drop(w, h)
+    return windowed.withColumn(out, F.explode(F.array(let(counts, ratios)))).drop(w, h)
 
 
 def failed_rules(measures: Column, rules: Sequence[Rule]) -> Column:
@@ -146,11 +150,7 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The rows that break no rule, with all their columns."""
-    out, row = fresh(docs.columns, "_measures"), fresh(docs.columns, "_row")
+    out = fresh(docs.columns, "_measures")
     return (
-        measure(docs, out)
-        .withColumn(row, F.monotonically_increasing_id())
-        # A filter isn't pushed below row numbers; pushed, it would repeat the measures for each rule.
-        .where((F.col(row) >= 0) & (F.size(failed_rules(F.col(out), (*BASE_RULES, *rules))) == 0))
-        .select(*docs.columns)
+        measure(docs, out).where(F.size(failed_rules(F.col(out), (*BASE_RULES, *rules))) == 0).select(*docs.columns)
     )

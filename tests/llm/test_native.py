@@ -34,6 +34,13 @@ def test_quality_keeps_clean_documents(spark, folder):
     assert clean.where("not kept").count() <= 0.01 * clean.count()
 
 
+def test_filters_do_not_repeat_the_measures(spark, folder):
+    docs = table(spark, folder, "documents")
+    for df in (quality.judge(docs), quality.judge(docs).where("kept"), quality.keep_good(docs)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("xxhash64(slice(") == 1 and "monotonically" not in plan
+
+
 @pytest.mark.parametrize("block, shard_blocks", [(16, 8), (512, 4096)])
 def test_mix_reaches_its_targets(frame, block, shard_blocks):
     docs = corpus(2, 120) + [(1000, "x " * 300, None), (1001, None, "src2")]
