@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from mcqflow.llm import licenses, quality
+from mcqflow.llm import licenses, quality, urls
 
 _SPACE = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -128,6 +128,40 @@ SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_bas
 FROM w LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN base_labels USING (doc_id) LEFT JOIN labels USING (doc_id)"""
 
 
+def url_sql() -> str:
+    def canonical(url: str) -> str:
+        host = f"regexp_replace({_host(url)}, '^.*@', '')"
+        host = f"regexp_replace(regexp_replace({host}, ':(80|443)?$', ''), '^www\\.', '')"
+        path = f"regexp_replace(coalesce(regexp_extract({url}, '://[^/?#]*([^?#]*)', 1), ''), '/+', '/', 'g')"
+        path = f"regexp_replace(regexp_replace({path}, '/index\\.html?$', '/'), '/$', '')"
+        kept = (
+            f"list_sort(list_filter(string_split(regexp_extract({url}, '://[^?#]*\\?([^#]*)', 1), '&'),"
+            f" lambda x: x <> '' AND NOT regexp_matches(x, '{urls.TRACKING}')))"
+        )
+        query = f"array_to_string({kept}, '&')"
+        return f"{host} || {path} || CASE WHEN {query} = '' THEN '' ELSE '?' || {query} END"
+
+    def _host(url: str) -> str:
+        upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        return f"translate(coalesce(regexp_extract({url}, '://([^/?#]*)', 1), ''), '{upper}', '{upper.lower()}')"
+
+    rules = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in urls.RULES)
+    return f"""
+WITH p AS (
+  SELECT row_number() OVER () AS i, page_id, url, {_host("url")} AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path,
+    CASE WHEN contains(url, '://') THEN {canonical("url")} END AS canonical
+  FROM pages),
+listed AS (SELECT DISTINCT canonical FROM p WHERE regexp_matches(host, '{urls.SPAM_HOST}') AND canonical IS NOT NULL),
+r(verdict, h, f) AS (VALUES {rules}),
+fits AS (
+  SELECT i, verdict, h || f AS rule, row_number() OVER (PARTITION BY i ORDER BY length(h || f) DESC, length(h) DESC) AS k
+  FROM p, r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, f))
+SELECT page_id, host, path, rule,
+  coalesce(verdict, CASE WHEN canonical IN (SELECT canonical FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (i)"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_sql(),
@@ -135,4 +169,5 @@ def all_sql() -> dict[str, str]:
         "op4_substring_dedup": SUBSTRING_SQL,
         "op6_warc": WARC_SQL,
         "op8_license_scans": license_sql(),
+        "op13_url_filters": url_sql(),
     }

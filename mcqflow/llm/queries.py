@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mcqflow.llm import fingerprints, html, jaccard, licenses, mixing, packing, quality, substrings, suffix, warc
+from mcqflow.llm import fingerprints, html, jaccard, licenses, mixing, packing, quality, substrings, suffix, urls, warc
 from mcqflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,3 +71,8 @@ def op9_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.link_components(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op13_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge_pages(table(spark, folder, "pages"))

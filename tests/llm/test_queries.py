@@ -15,4 +15,4 @@ def test_query_matches_sql(spark, folder, key):
 
 
 def test_there_is_one_query_for_each_operator():
-    assert sorted(int(k.split("_")[0][2:]) for k in all_queries()) == list(range(1, 11))
+    assert sorted(int(k.split("_")[0][2:]) for k in all_queries()) == list(range(1, 14))
