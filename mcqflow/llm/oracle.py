@@ -216,6 +216,35 @@ SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root,
 FROM folded JOIN sub USING (tree), top"""
 
 
+_FEATURE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+RESAMPLING_SQL = rf"""
+WITH crc AS ({_CRC_TABLE}),
+w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_FEATURE_WORD}') AS w, true AS own FROM documents
+  UNION ALL
+  SELECT -row_number() OVER (), NULL, regexp_extract_all({_LOWER}, '{_FEATURE_WORD}'), false FROM benchmark),
+g AS (
+  SELECT r, own, array_to_string(w[i:(i + k - 1)], ' ') AS g
+  FROM (SELECT r, own, w, unnest(range(1, len(w) + 1)) AS i FROM w), range(1, 4) AS k(k) WHERE i + k - 1 <= len(w)),
+runs AS (SELECT g, {_crc("g")} % 10000 AS bucket FROM (SELECT DISTINCT g FROM g), crc),
+f AS (SELECT r, own, bucket, count(*) AS n FROM g JOIN runs USING (g) GROUP BY r, own, bucket),
+sums AS (
+  SELECT bucket, coalesce(sum(n) FILTER (own), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (NOT own), 0)::DOUBLE AS t FROM f GROUP BY bucket),
+every AS (SELECT sum(s) AS S_all, sum(t) AS T_all FROM sums),
+gain AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * (S_all + 10000) / ((s + 1) * (T_all + 10000))))::BIGINT AS gain FROM sums, every),
+weights AS (SELECT r, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM f JOIN gain USING (bucket) WHERE own GROUP BY r),
+scored AS (
+  SELECT r, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln(
+      (('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM w LEFT JOIN weights USING (r) WHERE own),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, r) AS place FROM scored WHERE n_words >= 20),
+most AS (SELECT 5 * count(*) // 100 AS most FROM ranked)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= most THEN place END AS rank
+FROM scored LEFT JOIN ranked USING (r), most"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_sql(),
@@ -223,6 +252,7 @@ def all_sql() -> dict[str, str]:
         "op4_substring_dedup": SUBSTRING_SQL,
         "op6_warc": WARC_SQL,
         "op8_license_scans": license_sql(),
+        "op11_importance_resampling": RESAMPLING_SQL,
         "op12_merkle_manifest": MERKLE_SQL,
         "op13_url_filters": url_sql(),
     }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mcqflow.llm import fingerprints, html, jaccard, licenses, merkle, mixing, packing, quality, substrings, suffix, urls, warc
+from mcqflow.llm import fingerprints, html, jaccard, licenses, merkle, mixing, packing, quality, resampling, substrings, suffix, urls, warc
 from mcqflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,11 @@ def op13_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_pages(table(spark, folder, "pages"))
 
 
+@query
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.manifest(table(spark, folder, "documents"))
