@@ -143,6 +143,40 @@ encoded AS (
   GROUP BY doc_id)
 """
 
+MERGES = 64
+_SUBWORD = r" ?\p{L}+| ?\p{N}+| ?[^\x09-\x0D\x20\p{L}\p{N}]+|[\x09-\x0D\x20]+"
+_LATIN = f"array_to_string(list_transform({_bytes('piece')}, lambda b: chr(b)), '')"
+# One merge a step, and all pairs counted anew for each.
+SUBWORDS = f"""
+cut AS (SELECT doc_id, regexp_extract_all(text, '{_SUBWORD}') AS w FROM documents),
+different AS (
+  SELECT piece, {_LATIN} AS word, n FROM (SELECT piece, count(*) AS n FROM (SELECT unnest(w) AS piece FROM cut) GROUP BY piece)),
+trained(step, word, n, pair, times) AS (
+  SELECT 0, word, n, '', 0::BIGINT FROM different
+  UNION ALL
+  SELECT step + 1, replace(word, best.p, chr(256 + step)), n, best.p, best.times
+  FROM trained, (
+    SELECT p, sum(n)::BIGINT AS times
+    FROM (SELECT substr(word, i, 2) AS p, n FROM (SELECT word, n, unnest(range(1, length(word))) AS i FROM trained))
+    GROUP BY p HAVING sum(n) >= 2
+    ORDER BY times DESC, greatest(unicode(p[1]), unicode(p[2])), unicode(p[1]), unicode(p[2]) LIMIT 1) AS best
+  WHERE step < {MERGES}),
+merges AS (
+  SELECT DISTINCT step - 1 AS rank, unicode(pair[1]) AS left_id, unicode(pair[2]) AS right_id, 255 + step AS id, times AS n, pair
+  FROM trained WHERE step > 0),
+ordered AS (SELECT list(pair || chr(id) ORDER BY rank) AS l FROM merges)
+"""
+
+
+def _subword_ids(pieces: str) -> str:
+    """Ids of a table of pieces: every merge in order, on every piece."""
+    return (
+        f"SELECT piece, list_transform(range(1, length(w) + 1), lambda i: unicode(substr(w, i::INT, 1))) AS ids FROM ("
+        f"SELECT piece, list_reduce(list_prepend({_LATIN}, l), lambda w, m: replace(w, m[1:2], m[3])) AS w"
+        f" FROM (SELECT DISTINCT piece FROM {pieces}), ordered)"
+    )
+
+
 _TURN = f"'<|im_start|>' || role || {_NL} || text || {_END}"
 
 _DIALOGUES = (
@@ -155,6 +189,33 @@ _DIALOGUES = (
     f" flatten(list(turn_labels ORDER BY turn)) AS labels FROM l GROUP BY conv_id)"
 )
 
+def _permuted(ranked: str, seed: int, epochs: int) -> str:
+    """Tables that end in ``permuted(item_id, epoch, position)``, from ``ranked(item_id, i)``: three double
+    rounds over a mixed base, walked until the position is below the number of rows."""
+
+    def added(k: int, turn: int, digit: str) -> str:
+        return f"('0x' || substr(md5('{seed}:' || epoch || ':{k}:{turn}:' || {digit}), 1, 15))::BIGINT"
+
+    once = "SELECT item_id, epoch, walks, n, a, b, spot // b AS l, spot % b AS r FROM ({rows})"
+    for turn in range(3):
+        once = f"SELECT * REPLACE ((l + {added(0, turn, 'r')} % a) % a AS l) FROM ({once})"
+        once = f"SELECT * REPLACE ((r + {added(1, turn, 'l')} % b) % b AS r) FROM ({once})"
+    start = once.format(rows="SELECT *, 0 AS walks, i AS spot FROM placed")
+    again = once.format(rows="SELECT item_id, epoch, walks + 1 AS walks, n, a, b, spot FROM walked WHERE spot >= n")
+    return f"""{ranked},
+sized AS (SELECT n, a, greatest(1, (n + a - 1) // a) AS b FROM (SELECT n, ceil(sqrt(n))::BIGINT AS a FROM (SELECT count(*) AS n FROM ranked))),
+placed AS (SELECT item_id, i, epoch, n, a, b FROM ranked, sized, range({epochs}) AS e(epoch)),
+walked AS (
+  SELECT item_id, epoch, walks, n, a, b, l * b + r AS spot FROM ({start})
+  UNION ALL
+  SELECT item_id, epoch, walks, n, a, b, l * b + r AS spot FROM ({again})),
+permuted AS (SELECT item_id, epoch::INT AS epoch, spot::BIGINT AS position FROM walked WHERE spot < n)"""
+
+
+def _ranks(item: str) -> str:
+    return f"ranked AS (SELECT {item} AS item_id, row_number() OVER (ORDER BY {item}) - 1 AS i FROM documents)"
+
+
 _MANIFEST = """
 epochs AS (SELECT doc_id AS item_id, epoch FROM documents, (VALUES (0), (1)) AS e(epoch)),
 shuffled AS (
@@ -265,6 +326,19 @@ def all_sql() -> dict[str, str]:
         "SELECT *, tuned_acc - base_acc AS delta FROM sides",
     )
     vocabulary_ids = _with(VOCABULARY, f"SELECT item_id, {_digest('ids')} FROM encoded")
+    spelled = (
+        f"{SUBWORDS}, used AS (SELECT doc_id, unnest(w) AS piece, unnest(range(len(w))) AS pos FROM cut),"
+        f" spelled AS ({_subword_ids('used')})"
+    )
+    subword_rows = (
+        f"{SUBWORDS}, {PROMPTS}, sides AS (SELECT item_id, unnest([prompt_text, full_text]) AS t, unnest([0, 1]) AS side FROM prompts),"
+        f" used AS (SELECT item_id, side, unnest(w) AS piece, unnest(range(len(w))) AS pos"
+        f" FROM (SELECT *, regexp_extract_all(t, '{_SUBWORD}') AS w FROM sides)),"
+        f" spelled AS ({_subword_ids('used')}),"
+        f" whole AS (SELECT item_id, side, flatten(list(ids ORDER BY pos))[1:{SHORT}] AS ids FROM used JOIN spelled USING (piece) GROUP BY 1, 2),"
+        f" tokens AS (SELECT f.item_id, f.ids, list_concat({_repeat(-100, 'least(len(p.ids), len(f.ids))')}, f.ids[len(p.ids) + 1:]) AS labels"
+        f" FROM whole f JOIN whole p USING (item_id) WHERE f.side = 1 AND p.side = 0)"
+    )
     vocabulary_text = _with(VOCABULARY, "SELECT item_id, md5(coalesce(text, '')) AS text_md5 FROM encoded")
     per_subject = f"SELECT subject, {_COUNTS} FROM flagged GROUP BY subject"
     generated_suffix = f"{_bytes("'Answer ' || gold")}"
@@ -321,6 +395,13 @@ def all_sql() -> dict[str, str]:
         f" (SELECT doc_id AS item_id, {_bytes('text')} AS ids FROM documents)",
         "p7v_vocabulary_ids": vocabulary_ids,
         "j2_vocabulary_join": vocabulary_ids,
+        "v1_subword_merges": f"WITH RECURSIVE {SUBWORDS} SELECT rank, left_id, right_id, id, n FROM merges",
+        "p7_subword_ids": f"WITH RECURSIVE {spelled}, whole AS ("
+        " SELECT doc_id AS item_id, coalesce(flatten(list(ids ORDER BY pos) FILTER (ids IS NOT NULL)), []) AS ids"
+        " FROM documents LEFT JOIN used USING (doc_id) LEFT JOIN spelled USING (piece) GROUP BY doc_id)"
+        f" SELECT item_id, {_digest('ids')} FROM whole",
+        "p12_subword_rows": f"WITH RECURSIVE {subword_rows} SELECT item_id, {_digest('ids')}, {_digest('labels', 'labels')} FROM tokens",
+        "p15_decode_subwords": "SELECT doc_id AS item_id, md5(text) AS text_md5 FROM documents",
         "v1_vocabulary": _with(VOCABULARY, "SELECT token, id, n FROM vocabulary"),
         "v2_special_ids": _with(
             VOCABULARY,
@@ -379,6 +460,19 @@ def all_sql() -> dict[str, str]:
         "f3_due_steps": _with(_MANIFEST, "SELECT epoch, step, items FROM counted WHERE step % 10 = 0"),
         "f3_epoch_ends": _with(_MANIFEST, "SELECT epoch, step, items FROM counted WHERE ends_epoch"),
         "b1_shuffle": _with(_MANIFEST, "SELECT epoch::INT AS epoch, item_id, position::BIGINT AS position FROM shuffled"),
+        "b1_permuted_rows": f"WITH RECURSIVE {_permuted(_ranks('doc_id'), 42, 2)} SELECT epoch, item_id, position FROM permuted",
+        "b1_permuted_gaps": f"WITH RECURSIVE {_permuted(_ranks('doc_id * 3 + doc_id % 2'), 7, 1)}"
+        " SELECT epoch, item_id, position FROM permuted",
+        "b3_permuted_batches": f"WITH RECURSIVE {_permuted(f'{_tokens(1024)}, ranked AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS i FROM tokens)', 42, 2)},"
+        " wide AS (SELECT *, max(len(ids)) OVER (PARTITION BY epoch, position // 8) AS w FROM permuted JOIN tokens USING (item_id)),"
+        f" padded AS (SELECT epoch, position, item_id, list_concat(ids, {_repeat(256, 'w - len(ids)')}) AS ids,"
+        f" list_concat(labels, {_repeat(-100, 'w - len(ids)')}) AS labels FROM wide)"
+        f" SELECT epoch, (position // 8)::BIGINT AS batch_id, (position % 8)::INT AS slot, item_id, {_digest('ids', 'input_ids')},"
+        f" {_digest('labels', 'labels')} FROM padded",
+        "b2_exact_batches": _with(
+            "o AS (SELECT doc_id AS item_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents)",
+            "SELECT item_id, (i // 8)::BIGINT AS batch_id, (i % 8)::INT AS slot FROM o",
+        ),
         "b2_batches": _with(
             "o AS (SELECT doc_id AS item_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents)",
             "SELECT item_id, (i // 8)::BIGINT AS batch_id, (i % 8)::INT AS slot FROM o",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -17,6 +18,8 @@ from mcqflow.operators import accuracy, alignment, batching, dialogue, runs
 from mcqflow.operators.contract import check_mcq, split_mcq
 from mcqflow.operators.numbering import row_index
 from mcqflow.operators.predict import PluginCodec, numeric_predictor, run_predictor
+from mcqflow.operators.selection import exact_batches
+from mcqflow.operators.subwords import SubwordCodec, train_merges
 from mcqflow.operators.vocabulary import (
     VocabularyCodec,
     build_vocabulary,
@@ -42,6 +45,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 BYTES = ByteCodec()
 VOCABULARY_SIZE = 5000
+MERGES = 64
 SHORT = 300  # some prompts reach this many bytes, some do not
 
 _QUERIES: dict[str, Query] = {}
@@ -91,6 +95,19 @@ def stored_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     return write_prepared(vocabulary(spark, folder), path, partition_by=())
 
 
+@functools.cache
+def _merges_path(application: str, folder: str) -> str:
+    spark = SparkSession.active()
+    path = shared_folder(spark) + "/merges"
+    write_prepared(train_merges(documents(spark, folder), "text", MERGES), path, partition_by=())
+    return path
+
+
+def stored_merges(spark: SparkSession, folder: str) -> DataFrame:
+    """Merges trained once in a session, on all documents."""
+    return spark.read.parquet(_merges_path(spark.sparkContext.applicationId, folder))
+
+
 # --- sources and sinks -------------------------------------------------------
 
 
@@ -277,6 +294,33 @@ def j2_vocabulary_join(spark: SparkSession, folder: str) -> DataFrame:
     return ids.select("item_id", *digest("ids"))
 
 
+@query
+def v1_subword_merges(spark: SparkSession, folder: str) -> DataFrame:
+    return stored_merges(spark, folder)
+
+
+@query
+def p7_subword_ids(spark: SparkSession, folder: str) -> DataFrame:
+    codec = SubwordCodec.load(stored_merges(spark, folder))
+    docs = documents(spark, folder)
+    return docs.select("item_id", codec.encode(F.col("text")).alias("ids")).select("item_id", *digest("ids"))
+
+
+@query
+def p12_subword_rows(spark: SparkSession, folder: str) -> DataFrame:
+    codec = SubwordCodec.load(stored_merges(spark, folder))
+    rows = prepare_sft(fx.questions(spark, folder), codec, SHORT)
+    return rows.select("item_id", *digest("input_ids", "ids"), *digest("labels", "labels"))
+
+
+@query
+def p15_decode_subwords(spark: SparkSession, folder: str) -> DataFrame:
+    codec = SubwordCodec.load(stored_merges(spark, folder))
+    ids = documents(spark, folder).select("item_id", codec.encode(F.col("text")).alias("ids"))
+    ended = F.concat("ids", F.array(F.lit(codec.eos_id)))
+    return ids.select("item_id", F.md5(codec.decode(ended)).alias("text_md5"))
+
+
 @query
 def v1_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     return vocabulary(spark, folder)
@@ -468,6 +512,30 @@ def b1_shuffle(spark: SparkSession, folder: str) -> DataFrame:
     return batching.shuffle_rows(items, epochs=2).select("epoch", "item_id", F.col("position").cast("bigint"))
 
 
+@query
+def b1_permuted_rows(spark: SparkSession, folder: str) -> DataFrame:
+    items = documents(spark, folder).select("item_id")
+    return batching.permuted_rows(items, epochs=2).select("epoch", "item_id", "position")
+
+
+@query
+def b1_permuted_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids with gaps."""
+    items = documents(spark, folder).select((F.col("item_id") * 3 + F.col("item_id") % 2).alias("item_id"))
+    return batching.permuted_rows(items, seed=7).select("epoch", "item_id", "position")
+
+
+@query
+def b2_exact_batches(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_batches(documents(spark, folder).select("item_id"), 8)
+
+
+@query
+def b3_permuted_batches(spark: SparkSession, folder: str) -> DataFrame:
+    rows = training_batches(fx.questions(spark, folder), BYTES, batch_size=8, epochs=2, order="computed")
+    return rows.select("epoch", "batch_id", "slot", "item_id", *digest("input_ids", "input_ids"), *digest("labels", "labels"))
+
+
 @query
 def b2_batches(spark: SparkSession, folder: str) -> DataFrame:
     return batching.consecutive_batches(documents(spark, folder).select("item_id"), 8)

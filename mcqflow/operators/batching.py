@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from mcqflow.functions.labels import IGNORE
+from mcqflow.functions.permutation import permuted
 from mcqflow.operators.numbering import hashed_index, row_index
 
 SEED = 42
@@ -36,6 +37,25 @@ def shuffle_rows(
     )
 
 
+def permuted_rows(df: DataFrame, seed: int = SEED, epochs: int = 1, item: str = "item_id") -> DataFrame:
+    """Every row once per epoch with its ``position``, which a keyed permutation computes from the rank of
+    the unique integer ``item``. No epoch is sorted, and none of its rows are moved for it.
+
+    One aggregate over ``item`` runs when this is called. Ids without gaps are their own ranks; others
+    are numbered first, in one exchange for all epochs. Null ids have no rank and are an error.
+    """
+    low, high, known, rows = df.agg(F.min(item), F.max(item), F.count(item), F.count(F.lit(1))).first()
+    if known < rows:
+        raise ValueError(f"{rows - known} rows have no {item}")
+    if rows and high - low + 1 == rows:
+        ranked = df.withColumn("_rank", F.col(item).cast("bigint") - F.lit(low))
+    else:
+        ranked = row_index(df, item, "_rank")
+    runs = ranked.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    key = F.concat(F.lit(f"{seed}:"), F.col("epoch").cast("string"))
+    return runs.withColumn("position", permuted(F.col("_rank"), rows, key)).drop("_rank")
+
+
 def with_batch(df: DataFrame, index: str, batch_size: int) -> DataFrame:
     """Fixed-size consecutive batches over a 0-based index; the last one may be short."""
     at = F.col(index)

@@ -203,6 +203,53 @@ def first_token_batch_predictor(
     return items.where(F.col("pos").isNotNull())
 
 
+def first_token_ordered_predictor(
+    df: DataFrame,
+    load: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]],
+    pad_id: int,
+) -> DataFrame:
+    """As ``first_token_predictor`` over rows of exact batches: rows that share a ``batch_id`` and follow each
+    other in a partition are given to the model together, those without a position included.
+    The rows of a batch that an Arrow chunk cuts wait for the rest of it."""
+    kept = [f for f in df.schema.fields if f.name not in ("input_ids", "batch_id")]
+    schema = StructType([*kept]).add("pred_token", IntegerType())
+    picked = _picker()
+
+    def batches(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The same rows, cut where a batch ends."""
+        held: list[pa.RecordBatch] = []
+        for chunk in chunks:
+            ids = chunk.column("batch_id").to_numpy(zero_copy_only=False)
+            if not len(ids):
+                continue
+            if held and held[0].column("batch_id")[0].as_py() != ids[0]:
+                yield pa.concat_batches(held)
+                held = []
+            starts = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1])
+            for start, stop in zip(starts[:-1], starts[1:]):
+                yield pa.concat_batches([*held, chunk.slice(start, stop - start)])
+                held = []
+            held.append(chunk.slice(starts[-1]))
+        if held:
+            yield pa.concat_batches(held)
+
+    def run(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load()
+        for batch in batches(chunks):
+            lists = batch.column("input_ids")
+            sizes = np.diff(lists.offsets.to_numpy())
+            mask = np.arange(sizes.max()) < sizes[:, None]
+            ids = np.full(mask.shape, pad_id, dtype=np.int64)
+            ids[mask] = lists.flatten().to_numpy(zero_copy_only=False)
+            at = batch.column("pos").fill_null(-1).to_numpy(zero_copy_only=False)
+            made = pa.array(picked(model(ids, mask.astype(np.int64)), at), pa.int32())
+            columns = [*(batch.column(f.name) for f in kept), made]
+            out = pa.RecordBatch.from_arrays(columns, [*(f.name for f in kept), "pred_token"])
+            yield out.filter(batch.column("pos").is_valid())
+
+    return df.mapInArrow(run, schema)
+
+
 def _picker() -> Callable[[np.ndarray, np.ndarray], list[Any]]:
     def picked(out: np.ndarray, pos: np.ndarray) -> list[Any]:
         """Prediction at each row's position; None outside the row."""

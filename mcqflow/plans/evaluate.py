@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from mcqflow.functions.answers import is_correct, parse_letter
 from mcqflow.functions.labels import token_at
-from mcqflow.functions.tokens import attention_mask, cut_prompt
+from mcqflow.functions.tokens import cut_prompt
 from mcqflow.operators.accuracy import (
     result_record,
     score_letters,
@@ -18,12 +18,12 @@ from mcqflow.operators.accuracy import (
     subject_or_blank,
 )
 from mcqflow.operators.alignment import align_outputs, for_runs
-from mcqflow.operators.batching import collate_batches, consecutive_batches
 from mcqflow.operators.predict import (
-    first_token_batch_predictor,
+    first_token_ordered_predictor,
     first_token_predictor,
     run_predictor,
 )
+from mcqflow.operators.selection import exact_batches
 from mcqflow.plans.prepare import MAX_SEQ_LEN, batched_rows, encode_exam, eval_prompts
 from mcqflow.sources.sinks import write_prepared
 
@@ -178,18 +178,13 @@ def evaluate_first_token_batched(
     **options: Any,
 ) -> Evaluation:
     """As ``evaluate_first_token`` for a model that needs the exact consecutive batches:
-    the rows that keep the contract are numbered in item order and moved to their batch, then encoded
-    and collated there."""
+    the rows that keep the contract are moved once, to partitions that begin and end with a batch
+    in item order, and encoded and padded there."""
     good, options = batched_rows(df, codec, max_seq_len=max_seq_len, **options)
     options.pop("max_seq_len")
-    numbered = consecutive_batches(good, batch_size).repartition("batch_id")
-    keep = ("item_id", "batch_id", "slot")
-    rows = first_token_rows(numbered, codec, max_seq_len, shift, keep, **options)
-    carried = ("item_id", "subject", "gold_token", "pos")
-    masked = rows.withColumn("attention_mask", attention_mask(F.col("input_ids")))
-    fed = ("input_ids", "attention_mask")
-    batches = collate_batches(masked, codec.pad_id, keep=carried, arrays=fed)
-    return _first_token_evaluation(first_token_batch_predictor(batches, load, carried))
+    batched = exact_batches(good, batch_size)
+    rows = first_token_rows(batched, codec, max_seq_len, shift, ("item_id", "batch_id"), **options)
+    return _first_token_evaluation(first_token_ordered_predictor(rows, load, codec.pad_id))
 
 
 def evaluate(metric: str, df: DataFrame, load: Callable[[], Any], codec: Any = None, **options: Any) -> Evaluation:

@@ -13,10 +13,11 @@ from mcqflow.functions.labels import mask_prompt
 from mcqflow.functions.prompts import build_prompt
 from mcqflow.functions.tokens import attention_mask
 from mcqflow.operators.accuracy import subject_or_blank
-from mcqflow.operators.batching import SEED, pad_to_width, shuffle_rows, with_batch, with_width
+from mcqflow.operators.batching import SEED, pad_to_width, permuted_rows, shuffle_rows, with_batch, with_width
 from mcqflow.operators.contract import enforce_mcq
 
 MAX_SEQ_LEN = 1024
+_ORDERS = {"digest": shuffle_rows, "computed": permuted_rows}
 
 
 def exam_texts(
@@ -125,6 +126,7 @@ def training_batches(
     seed: int = SEED,
     epochs: int = 1,
     side: str = "right",
+    order: str = "digest",
     **options: Any,
 ) -> DataFrame:
     """Shuffled, batched and padded training rows: ``epoch, batch_id, slot, item_id`` and arrays.
@@ -133,9 +135,14 @@ def training_batches(
     leave before the others are numbered, so every batch but the last is full. The source rows are numbered and moved to their batch first; they are encoded
     there, so no id array ever crosses an exchange. Mask and labels are made
     after the width is known: the sort by batch carries the ids alone.
+
+    ``order`` is ``"digest"``, where each epoch is sorted by a digest of its ids, or ``"computed"``, where
+    a permutation gives the positions and an epoch's texts cross one exchange, that to their batch.
     """
+    if order not in _ORDERS:
+        raise ValueError(f"order must be one of {sorted(_ORDERS)}, got {order!r}")
     good, options = batched_rows(df, codec, **options)
-    shuffled = with_batch(shuffle_rows(good, seed, epochs), "position", batch_size)
+    shuffled = with_batch(_ORDERS[order](good, seed, epochs), "position", batch_size)
     placed = shuffled.repartition("epoch", "batch_id")
     columns = ("epoch", "batch_id", "slot", "item_id", "input_ids", "prompt_len")
     encoded = encode_exam(placed, codec, **options).select(*columns)
