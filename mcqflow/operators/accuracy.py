@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from mcqflow.functions.answers import is_correct, parse_letter
 from mcqflow.functions.labels import argmax, first_supervised, has_supervision, token_at
 from mcqflow.operators.alignment import unique_outputs
+from mcqflow.operators.keyfilter import KeyFilter
 
 # A record's subject map is one row; more subjects than this belong in the table.
 MAX_RECORD_SUBJECTS = 100_000
@@ -178,14 +179,15 @@ def score_long_logits(
 ) -> DataFrame:
     """As ``score_first_tokens`` with scores in a long table ``(item, pos, logits)``.
 
-    Only positions at which some item is scored are reduced: there are no more of those than
-    a sequence is long, so their list is broadcast. A vector becomes one id where it is read;
-    what crosses the exchange is ``(item, pos, id)``, never a vector. Repeated scores of one
-    position are an error if they differ.
+    Only vectors at an ``(item, pos)`` that is scored are reduced: a Bloom filter of those, of
+    bounded size, is made by an aggregate and tested where the scores are read. The few others it
+    lets pass meet no gold row in the join. A vector becomes one id where it is read; what
+    crosses the exchange is ``(item, pos, id)``, never a vector. Repeated scores of one
+    position are an error if they differ. The rows of ``tokens`` are counted when this is called.
     """
     gold = first_tokens(tokens, shift)
-    needed = F.broadcast(gold.select("pos").distinct())
-    picks = scores.join(needed, "pos", "left_semi").select(item, "pos", argmax(F.col("logits")).alias("pred_token"))
+    needed = KeyFilter.of(gold, [item, "pos"], tokens.count())
+    picks = scores.where(needed.may_hold()).select(item, "pos", argmax(F.col("logits")).alias("pred_token"))
     picks = unique_outputs(picks.distinct(), [item, "pos"])
     return gold.join(picks, [item, "pos"], "left").withColumn(
         "correct", is_correct(F.col("pred_token"), F.col("gold_token"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from mcqflow.functions.tokens import drop_special, resolve_pad_id, truncate
 from mcqflow.operators.numbering import text_index
+from mcqflow.sources.shared import shared_folder
+from mcqflow.sources.sinks import write_prepared
 
 # A run of letters, a run of digits, or one other visible character.
 PIECE = r"\p{L}+|\p{N}+|[^\s\x0b\p{Z}\p{L}\p{N}]"
@@ -31,10 +33,11 @@ def build_vocabulary(
     """``(token, id, n)`` of the ``size`` most frequent tokens; ties go by token.
 
     Counting folds inside each task first, so a very common token costs one row
-    per task. A histogram of the counts gives the least count that is kept and how
+    per task. The counts are stored under the shared folder, so the corpus is read once.
+    A histogram of the counts gives the least count that is kept and how
     many tokens are more frequent than each; a token's id is that and its position
-    among the tokens of its count, so no task orders the whole table. Two small
-    jobs run when this is called.
+    among the tokens of its count, so no task orders the whole table. Counting and two
+    small jobs run when this is called.
     """
     counts = (
         df.select(F.explode(pieces(F.col(text), pattern)).alias("token"))
@@ -43,6 +46,7 @@ def build_vocabulary(
     )
     if min_count > 1:
         counts = counts.where(F.col("n") >= min_count)
+    counts = write_prepared(counts, shared_folder(df.sparkSession) + "/counts", partition_by=())
     # Different counts are few: their number is at most the root of twice the number of words.
     more = W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1)
     steps = counts.groupBy("n").agg(F.count(F.lit(1)).alias("_m")).select(
