@@ -15,6 +15,7 @@ from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from mcqflow.operators.batching import consecutive_batches, with_batch
 
+FIRST_BITS = 16  # in the first pass, of one histogram
 DIGIT_BITS = 12
 MAX_PARTITIONS = 65_536
 _SIGN = -(1 << 63)
@@ -30,7 +31,7 @@ def order_statistics(df: DataFrame, key: str, ranks: Sequence[int]) -> list[tupl
     """``(value, before)`` for each 0-based rank of the integer ``key``: the key there, and how many
     rows have a smaller one. Null keys are not counted.
 
-    A pass counts the next ``DIGIT_BITS`` bits of the keys that agree with some wanted key so
+    The first pass counts ``FIRST_BITS`` bits. A later one counts the next ``DIGIT_BITS`` bits of the keys that agree with some wanted key so
     far, so its histogram has a row for each of those and digit, however many rows there are,
     and the driver sees one row for each rank. Bits that all keys share are skipped.
     """
@@ -40,13 +41,18 @@ def order_statistics(df: DataFrame, key: str, ranks: Sequence[int]) -> list[tupl
     low, high, n = keys.agg(F.min("key"), F.max("key"), F.count("key")).first()
     if min(ranks) < 0 or max(ranks) >= n:
         raise ValueError(f"ranks must be 0 to {n - 1}")
+    return _narrowed(keys, low, high, ranks)
+
+
+def _narrowed(keys: DataFrame, low: int, high: int, ranks: Sequence[int]) -> list[tuple[int, int]]:
+    """``order_statistics`` of the column ``key`` between two values."""
     bits = (low ^ high).bit_length() if (low < 0) == (high < 0) else 64
-    spark = df.sparkSession
+    spark, most = keys.sparkSession, FIRST_BITS
     # Of each rank: its place, the leading bits known so far, the rank among keys that share them, and the rows before those.
     shared = _signed((low & _MASK ^ 1 << 63) >> bits)
     found = [(i, shared, rank, 0) for i, rank in enumerate(ranks)]
     while bits:
-        width = min(DIGIT_BITS, bits)
+        width, most = min(most, bits), DIGIT_BITS
         bits -= width
         wanted = spark.createDataFrame(found, "i int, parent bigint, rank bigint, before bigint")
         u = _unsigned(F.col("key"))
@@ -108,14 +114,15 @@ def exact_batches(
     partitions = min(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_PARTITIONS)
     if not isinstance(df.schema[item].dataType, (ByteType, ShortType, IntegerType, LongType)):
         return _moved(df, batch_size, item)
-    rows, known = df.agg(F.count(F.lit(1)), F.count(item)).first()
+    rows, known, low, high = df.agg(F.count(F.lit(1)), F.count(item), F.min(item), F.max(item)).first()
     batches = -(-rows // batch_size)
     each = max(1, -(-batches // partitions)) * batch_size
     nulls = rows - known
     wanted = list(range(each, rows, each))
     if wanted and wanted[0] < nulls:
         return _moved(df, batch_size, item)
-    found = order_statistics(df, item, [r - nulls for r in wanted])
+    keys = df.select(F.col(item).cast("bigint").alias("key")).where("key is not null")
+    found = _narrowed(keys, low, high, [r - nulls for r in wanted]) if wanted else []
     if [before + nulls for _, before in found] != wanted:
         return _moved(df, batch_size, item)
     bounds = [value for value, _ in found]
