@@ -372,12 +372,17 @@ def shared_prefixes(docs: DataFrame, order: Order, parts: int, percent: int, siz
 
 
 def _active_sets(texts: DataFrame, size: int) -> DataFrame:
-    """Set and count vector of each text; the text stands for its class."""
+    """Set and count vector of each text; the text stands for its class. A task gives a class once,
+    however many equal rows it reads."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(size)
+        shingler, seen = Shingler(size), set()
         for rows, texts in _chunks(batches):
-            sets = shingler.sets(texts)
+            ids = rows.column("set_id").to_pylist()
+            new = [i for i, x in enumerate(ids) if not (x in seen or seen.add(x))]
+            if not new:
+                continue
+            rows, sets = rows.take(pa.array(new)), shingler.sets([texts[i] for i in new])
             vectors = [stored(count_vector(s)) for s in sets]
             yield _frame((rows.column("set_id"), [len(s) for s in sets], [s.view(np.int64) for s in sets], vectors), _ACTIVE)
 
@@ -411,8 +416,7 @@ def _lead_links(active: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
         return pa.table([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], schema=_EDGE)
 
     many = int(active.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
-    rows = lead.join(active.select("set_id", "shingles"), "set_id")
-    rows = rows.select("set_id", "shingles", F.xxhash64("key", "part").alias("at"))
+    rows = _asked_sets(active, checkpointed(lead)).select("set_id", "shingles", F.xxhash64("key", "part").alias("at"))
     return rows.withColumn("bucket", F.pmod("at", F.lit(many))).groupBy("bucket").applyInArrow(work, "a binary, b binary")
 
 
@@ -461,8 +465,17 @@ def _meeting_pairs(active: DataFrame, keys: DataFrame, comps: DataFrame, best: b
     return kept.groupBy("bucket").applyInArrow(work, "a binary, b binary").distinct()
 
 
+def _asked_sets(active: DataFrame, ids: DataFrame) -> DataFrame:
+    """Sets of the classes of a stored table, of ids that may repeat, with its other columns. While the
+    table is small it goes to the sets, and none moves that isn't asked for."""
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    return active.select("set_id", "shingles").join(wanted, "set_id")
+
+
 def _verified(pairs: DataFrame, active: DataFrame, percent: int) -> DataFrame:
-    sets = active.select("set_id", "shingles")
+    pairs = checkpointed(pairs)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    sets = _asked_sets(active, checkpointed(ids)).select("set_id", "shingles")
     left = sets.withColumnsRenamed({"set_id": "a", "shingles": "left"})
     right = sets.withColumnsRenamed({"set_id": "b", "shingles": "right"})
     both = F.size(F.array_intersect("left", "right"))
@@ -488,11 +501,11 @@ def link_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     n = chosen.count()
     wanted = F.broadcast(chosen) if n <= BROADCAST_ROWS else chosen
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
-    some = texts.join(wanted, same).dropDuplicates(["set_id"]) if n > BROADCAST_ROWS else texts.join(wanted, same)
-    active = checkpointed(_active_sets(some.select("set_id", "doc_id", "hash", "text"), size))
+    active = checkpointed(_active_sets(texts.join(wanted, same).select("set_id", "text"), size))
+    if active.count() > n:  # equal rows, read by several tasks
+        active = checkpointed(active.dropDuplicates(["set_id"]))
 
-    nodes = active.select("set_id").distinct()
-    comps = components(nodes, checkpointed(_lead_links(active.dropDuplicates(["set_id"]), keys, percent)))
+    comps = components(active.select("set_id"), checkpointed(_lead_links(active, keys, percent)))
     for best in (True, False):
         pairs = _meeting_pairs(active, keys, comps, best, percent)
         more = checkpointed(_verified(pairs, active, percent))

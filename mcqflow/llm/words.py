@@ -1,17 +1,21 @@
 """Digests of words and of stretches of words, by array operations.
 
-A digest is a polynomial modulo 2**64 over random numbers, read off prefix sums and mixed.
+A digest is a polynomial modulo 2**64 over random numbers, read off prefix sums and mixed. Such
+polynomials have texts that collide whatever the base, from a thousand bytes on; words above
+``LONG_WORD`` bytes are therefore digested one by one.
 """
 
 from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 
 U = np.uint64
 SLICE = 4 << 20  # bytes for which arrays are made at a time
+LONG_WORD = 48
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -57,6 +61,7 @@ _SPACE[[32, *range(9, 14)]] = True
 _BYTE = mix(np.arange(256, dtype=U) + U(0xD1B54A32D192ED03))
 _LOWER = _BYTE.copy()
 _LOWER[65:91] = _BYTE[97:123]
+_LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def _slices(data: bytes) -> Iterator[tuple[int, int]]:
@@ -84,7 +89,11 @@ def word_names(data: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray
         power, back = powers(n)
         sums = np.zeros(n + 1, dtype=U)
         np.cumsum(table[chars] * power, out=sums[1:])
-        names.append(mix((sums[stop] - sums[start]) * back[start] + (stop - start).astype(U) * U(0x8CB92BA72F3D8DD7)))
+        made = mix((sums[stop] - sums[start]) * back[start] + (stop - start).astype(U) * U(0x8CB92BA72F3D8DD7))
+        for i in np.flatnonzero(stop - start > LONG_WORD).tolist():
+            word = chars[start[i] : stop[i]].tobytes()
+            made[i] = int.from_bytes(blake2b(word.translate(_LOWER_BYTES) if lower else word, digest_size=8).digest(), "little")
+        names.append(made)
         starts.append(start + begin)
     if not names:
         return np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)

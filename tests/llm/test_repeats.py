@@ -20,6 +20,41 @@ def test_word_digests_follow_the_words():
     assert word_names(b"ABC abc", lower=True)[0].tolist() == [int(word_names(b"abc")[0][0])] * 2
 
 
+def thue_morse(n, a="a", b="b"):
+    """Two words that differ everywhere and collide under polynomials modulo a power of two."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(b if x else a for x in bits), "".join(a if x else b for x in bits)
+
+
+@pytest.mark.parametrize("n", [32, 64, 1024, 2048, 4096])
+def test_long_words_have_names_of_their_own(frame, n):
+    x, y = thue_morse(n)
+    assert word_names(x.encode())[0][0] != word_names(y.encode())[0][0]
+    assert word_names(x.upper().encode(), lower=True)[0][0] == word_names(x.encode())[0][0]
+
+
+def test_long_words_are_told_apart(frame):
+    x, y = thue_morse(2048)
+    rest = [f"w{i}" for i in range(19)]
+    docs = [(1, " ".join([*rest, x]), "s"), (2, " ".join([*rest, y]), "s"), (3, f"a b {x} c d", "s"), (4, f"a b {y} c d", "s"), (5, f"A b {x.upper()} c d", "s")]
+    got = {r.doc_id: r.component_id for r in jaccard.link_components(frame(docs)).collect()}
+    assert got == brute.components(docs) and got[4] == 4 and got[5] == 3
+    rows = substrings.remove_repeats(frame(docs)).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in rows} == brute.substrings(docs)
+
+
+def test_many_copies_of_one_row(frame, monkeypatch):
+    """Equal rows in every partition, through the broadcast and the shuffled joins."""
+    base = [f"w{i}" for i in range(40)]
+    near = " ".join([*base[:39], "edit"])
+    rows = [(7, " ".join(base), "s")] * 60 + [(9, near, "s")] * 3 + [(8, "other words only here " * 3, "s")]
+    for most in (jaccard.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(jaccard, "BROADCAST_ROWS", most)
+        got = jaccard.link_components(frame(rows)).collect()
+        assert len(got) == 64 and {r.doc_id: r.component_id for r in got} == {7: 7, 9: 7, 8: 8}
+        assert sorted(r.doc_id for r in jaccard.keep_one(frame(rows)).collect()) == [7, 8]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components(frame, seed):
     docs = corpus(seed, 60)
