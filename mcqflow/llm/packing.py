@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 import unicodedata
 import zlib
 from collections import deque
@@ -51,7 +52,15 @@ def default_tokenizer() -> str:
 # How the tokenizer cuts a lower-case text into words, and texts for which that
 # isn't surely the same here: special tokens, controls, and letters with irregular lower case.
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-_UNSURE = regex.compile("<\\||[\u03a3\u0130\\x00-\\x08\\x0b-\\x1f\\x7f-\\x9f\u180e\u200b-\u200f\u2028\u2029\ufeff]")
+_UNSURE = re.compile("<\\||[\u03a3\u0130\\x00-\\x08\\x0b-\\x1f\\x7f-\\x9f\u180e\u200b-\u200f\u2028\u2029\ufeff]")
+
+
+# The same over ASCII, the Latin letters up to U+017F and common punctuation, for the quicker matcher:
+# none of these characters is a number, a space or a mark, and composing leaves them as they are.
+_FAR = re.compile("[^\x00-\x7f\xa1\xab\xbb\xbf\xc0-\xd6\xd8-\xf6\xf8-\u017f\u2010-\u2027]")
+_NEAR_WORD = re.compile(
+    "'s|'t|'re|'ve|'m|'ll|'d|[a-z\xc0-\xd6\xd8-\xf6\xf8-\u017f]+|[0-9]|[^\\sa-z0-9\xc0-\xd6\xd8-\xf6\xf8-\u017f]+"
+)
 
 
 class WordIds:
@@ -92,16 +101,18 @@ class WordIds:
     def words(self, text: str) -> list[str] | None:
         if not self.mark or _UNSURE.search(text):
             return None
-        return _WORD.findall((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
+        if not _FAR.search(text):
+            return _NEAR_WORD.findall(text.lower())
+        return _WORD.findall(unicodedata.normalize("NFC", text).lower())
 
     def texts(self, texts: list[str]) -> list[bytes]:
         cut = [self.words(t) for t in texts]
         whole = [i for i, words in enumerate(cut) if words is None]
         out = dict(zip(whole, (e.tobytes() for e in self.encode([texts[i] for i in whole])), strict=True))
-        missing = {w for words in cut if words for w in words} - self.known.keys()
+        every = set().union(*(words for words in cut if words))
+        missing = every.difference(self.known)
         if len(self.known) + len(missing) > KNOWN_WORDS:
-            missing |= {w for words in cut if words for w in words}
-            self.known = {}
+            missing, self.known = every, {}
         self.known.update(self.learn(list(missing)))
         get = self.known.__getitem__
         return [out[i] if words is None else b"".join(map(get, words)) for i, words in enumerate(cut)]
