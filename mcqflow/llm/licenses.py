@@ -1,12 +1,16 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line, its tokens the distinct words of it. A template matches a block that
+Blocks are the lines, and windows of ``WINDOW`` words that start every ``STRIDE`` words of
+the whole text, so that a wording of up to ``WINDOW - STRIDE`` words lies in some window
+however it is wrapped; more words in a template are refused. A block's tokens are its distinct words. A template matches a block that
 holds at least ``threshold`` of the template's tokens. Tokens are ordered by how often
-they occur in the whole corpus, rarest first. A block can only match if
+they occur in the whole corpus, rarest first; of a block, those that some template has are
+kept, in that order. A block can only match if
 
 * prefix: it holds one of the template's first ``n - needed + 1`` tokens,
 * length: it has at least ``needed`` tokens,
-* position: behind the first shared token enough tokens are left on both sides.
+* position: from the first shared token on, enough tokens are left in the template and in
+  the block.
 
 What passes is verified by intersection. Templates are a fixed small table, so they are
 constants of one projection: the blocks are not exchanged, and no block is dropped.
@@ -49,6 +53,7 @@ TEMPLATES = {
     "to the extent possible under law the author has waived all copyright": "cc0",
 }
 THRESHOLD = 0.9
+WINDOW, STRIDE = 48, 24
 
 
 def license_words(lowered: Column) -> Column:
@@ -75,13 +80,18 @@ def _strings(values: Sequence[str]) -> Column:
 
 
 def containment(block: Column, tokens: Sequence[str], threshold: float) -> Column:
-    """Share of the ``tokens`` (rarest first) in the block if it reaches the threshold, else 0."""
+    """Share of the ``tokens`` (rarest first) in the block, which is in the same order, if it reaches the
+    threshold, else 0."""
     n = len(tokens)
     needed = math.ceil(round(threshold * n, 9))
     prefix = n - needed + 1
-    # The first shared prefix token at position i leaves n - i tokens that can be shared.
-    first = F.coalesce(*[F.when(F.array_contains(block, t), F.lit(i)) for i, t in enumerate(tokens[:prefix])])
-    passes = (F.size(block) >= needed) & first.isNotNull() & (n - first >= needed)
+
+    def left(i: int) -> Column:
+        """Tokens that can be shared if prefix token i is the first shared one; null if it isn't there."""
+        at = F.array_position(block, tokens[i])
+        return F.when(at > 0, F.least(F.lit(n - i).cast("bigint"), F.size(block) - at + 1))
+
+    passes = (F.size(block) >= needed) & (F.coalesce(*map(left, range(prefix))) >= needed)
     shared = F.size(F.array_intersect(block, _strings(tokens)))
     verified = F.when(shared >= needed, shared / n).otherwise(F.lit(0.0))
     return F.when(passes, verified).otherwise(F.lit(0.0))
@@ -94,7 +104,10 @@ def scan(
     phrases: Mapping[str, str] = PHRASES,
 ) -> DataFrame:
     """Phrase places, labels and the best containment of each document."""
+    if any(len(text.split()) > WINDOW - STRIDE for text in templates):
+        raise ValueError(f"a template has at most {WINDOW - STRIDE} words")
     ranks = token_ranks(docs, templates)
+    known = sorted(ranks, key=ranks.__getitem__)
     ordered = {text: sorted(set(text.split()), key=ranks.__getitem__) for text in templates}
     prefixes = sorted(
         {t for ts in ordered.values() for t in ts[: len(ts) - math.ceil(round(threshold * len(ts), 9)) + 1]}
@@ -115,12 +128,16 @@ def scan(
             ]
         )
 
-    def candidates(text: Column) -> Column:
-        blocks = F.transform(F.split(text, "\n"), lambda line: F.array_distinct(license_words(line)))
-        return F.filter(blocks, lambda b: F.arrays_overlap(b, _strings(prefixes)))
+    def candidates(text: Column, every: Column) -> Column:
+        lines = F.transform(F.split(text, "\n"), license_words)
+        starts = F.sequence(F.lit(1), F.greatest(F.size(every), F.lit(1)), F.lit(STRIDE))
+        blocks = F.concat(lines, F.transform(starts, lambda i: F.slice(every, i, WINDOW)))
+        near = F.filter(blocks, lambda b: F.arrays_overlap(b, _strings(prefixes)))
+        # The known tokens of a block, rarest first.
+        return F.array_distinct(F.transform(near, lambda b: F.array_intersect(_strings(known), b)))
 
     none = F.array().cast("array<struct<label:string,share:double>>")
-    hits = F.when(F.arrays_overlap(words, _strings(prefixes)), let(candidates(F.col(low)), matched)).otherwise(none)
+    hits = F.when(F.arrays_overlap(words, _strings(prefixes)), let(candidates(F.col(low), F.col(words)), matched)).otherwise(none)
 
     # One space on both sides of every word: a phrase is a substring at word ends.
     joined = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))

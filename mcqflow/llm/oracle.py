@@ -112,7 +112,10 @@ places AS (
 base AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS b FROM places GROUP BY doc_id),
 blocks AS (
   SELECT doc_id, list_distinct(regexp_extract_all(line, '{word}')) AS b
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t)),
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t)
+  UNION ALL
+  SELECT doc_id, list_distinct(w[i:(i + {licenses.WINDOW - 1})])
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1, {licenses.STRIDE})) AS i FROM w)),
 q AS ({templates}),
 hits AS (
   SELECT doc_id, label, len(list_intersect(b, tokens)) / len(tokens) AS share FROM blocks, q

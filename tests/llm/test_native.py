@@ -124,11 +124,40 @@ def test_licenses(frame, odd, empty):
     ]
     rows = {r.doc_id: r for r in licenses.scan(frame([(i, t, "s") for i, t in enumerate(texts)])).collect()}
     assert [rows[i].base_labels for i in range(9)] == ["mit", "apache-2", "cc-by-nc", "", "", "", "", "", ""]
-    assert [rows[i].labels for i in range(9)] == ["mit", "apache-2", "cc-by-nc", "", "gpl-3", "", "", "", ""]
+    assert [rows[i].labels for i in range(9)] == ["mit", "apache-2", "cc-by-nc", "", "gpl-3", "", "", "", "gpl-3"]
     assert [(rows[i].n_base, rows[i].first_word, rows[i].last_word) for i in range(4)] == [(1, 1, 1), (1, 4, 4), (3, 0, 6), (0, None, None)]
     assert licenses.scan(odd).count() == 9 and licenses.scan(empty).count() == 0
 
 
+def test_wrapped_notices(frame):
+    notices = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated files",
+        "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that",
+        "gpl-3": "This is free: licensed under the GNU General Public License, either version 3 of the License or later",
+    }
+    rows, want = [], {}
+    for k, (label, text) in enumerate(notices.items()):
+        words = text.split(" ")
+        for width in (2, 5, 9, 30):
+            lines = [" ".join(words[i : i + width]) for i in range(0, len(words), width)]
+            for before in (0, 13, 40, 500):
+                i = len(rows)
+                rows.append((i, "\n".join(["filler"] * before + lines + ["tail"] * 30), "s"))
+                want[i] = label
+    clean = ["a copy of software " * 40, "permission granted to use this copy\nof any charge", "the general public license of the version"]
+    rows += [(1000 + i, t, "s") for i, t in enumerate(clean)]
+    got = {r.doc_id: r for r in licenses.scan(frame(rows)).collect()}
+    assert {i: got[i].labels for i in want} == want and all(got[i].score >= 0.9 for i in want)
+    assert all(got[1000 + i].labels == "" and got[1000 + i].score == 0 for i in range(3))
+
+
+def test_position_filter_rejects(spark):
+    tokens = ["r1", "r2", "c1", "c2", "c3"]
+    blocks = [["r1", "r2", "c1", "c2", "c3"], ["r2", "c1", "c2", "c3"], ["r2", "c1"], ["a", "b", "c", "r1"], []]
+    df = spark.createDataFrame([(b,) for b in blocks], "b array<string>")
+    assert [r[0] for r in df.select(licenses.containment(F.col("b"), tokens, 0.8)).collect()] == [1.0, 0.8, 0.0, 0.0, 0.0]
+
+
 @pytest.mark.parametrize("build", [quality.judge, licenses.scan, fingerprints.fingerprint_edits])
 def test_no_python_in_the_plan(spark, folder, build):
     plan = build(table(spark, folder, "documents"))._jdf.queryExecution().executedPlan().toString()
