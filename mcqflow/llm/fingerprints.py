@@ -1,11 +1,13 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A paragraph is a line; longer ones are cut after a fixed number of characters, fewer in a
-short text. A sketch is a row of cells (count, XOR of digests, XOR of check digests); each
+A paragraph is a line; longer ones are cut where their content says so: after the first end
+of a sentence beyond ``SHORTEST`` characters, without one after the first word there that ends
+in a vowel. The rule is the same for texts of every length, and after an insertion the cuts
+fall on the old places again. A sketch is a row of cells (count, XOR of digests, XOR of check digests); each
 distinct paragraph digest is added to three of them. Two sketches of one size subtract cell
 by cell, what both texts hold cancels, and peeling the cells with one digest left recovers
-the digests in which the texts differ. If peeling gets stuck, a larger sketch is tried, then
-the digests are spread over many sketches; a part that gets stuck even there is compared
+the digests in which the texts differ. If peeling gets stuck, the digests are spread over as
+many larger sketches as they need; a part that gets stuck even there is compared
 directly, so the result is exact.
 
 A null text is an empty one; it has no paragraphs, and two empty texts are alike (1.0).
@@ -22,21 +24,20 @@ from mcqflow.llm.common import let, span, text_of
 from mcqflow.operators.numbering import default_buckets, quantile_buckets
 
 CELLS = 24  # of a published fingerprint; a multiple of three
-LARGER = 96
-SPREAD = 24  # digests for each sketch of the last attempt
+LARGER = 48
+SPREAD = 24  # digests for each sketch of the second attempt
 ROUNDS = 12
-CUTS = ((1024, 64), (2048, 128), (4096, 256))  # below so many characters, paragraphs of at most so many
-LONGEST = 512
+SHORTEST, LONGEST = 128, 640
+PIECE = (
+    rf"[^\n]{{{SHORTEST},{LONGEST}}}?[.!?](?=\s|$)|[^\n]{{{SHORTEST},{LONGEST}}}?[aeiou](?= )|[^\n]{{1,{LONGEST}}}"
+)
 
 _CHECK = 7
 
 
 def paragraphs(text: Column) -> Column:
     """Distinct digests of a text's paragraphs."""
-    pieces = F.regexp_extract_all(text, F.lit(r"[^\n]{1,%d}" % LONGEST), F.lit(0))
-    for below, most in reversed(CUTS):
-        short = F.regexp_extract_all(text, F.lit(r"[^\n]{1,%d}" % most), F.lit(0))
-        pieces = F.when(F.length(text) < below, short).otherwise(pieces)
+    pieces = F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
     return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
 
 
@@ -152,7 +153,6 @@ def likeness(left: Column, right: Column, left_sketch: Column, right_sketch: Col
     published = let(peel(subtract(left_sketch, right_sketch), CELLS), _count)
     differing = F.coalesce(
         F.when(F.abs(F.size(left) - F.size(right)) <= CELLS, published),
-        _differing(left, right, LARGER),
         _spread(left, right),
     )
     total = F.size(left) + F.size(right)

@@ -92,6 +92,15 @@ def strings(texts: list[str | None], length: int = 200) -> list[tuple[int, int,
     return out
 
 
+PARAGRAPH = re.compile(r"[^\n]{128,640}?[.!?](?=\s|$)|[^\n]{128,640}?[aeiou](?= )|[^\n]{1,640}")
+
+
+def likeness(a: str, b: str) -> float:
+    """Shared paragraphs against all that are shared or in one text only."""
+    x, y = set(PARAGRAPH.findall(a)), set(PARAGRAPH.findall(b))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
 def edited(text: str, following: str) -> str:
     part = len(text) // 3
     return text[: len(text) - part] + following[:part]
