@@ -8,7 +8,8 @@ a component is what links connect.
    the corpus, and orders shingles from rare to frequent. Any order gives right results;
    this one keeps what many texts share out of the way.
 2. Linked sets share one of their first ``n - ceil(threshold * n) + 1`` shingles. Those
-   prefixes are asked for by packed arrays; a shingle in one class's prefix only is dropped.
+   prefixes are asked for by packed arrays; a shingle in one class's prefix only is dropped,
+   and so is a class's row where no other class that has the shingle is of a size that can link.
    Classes that are left with a shingle are active, and their sets are stored.
 3. Active classes meet at their leading shared shingles, large groups in even parts. Each
    class is indexed by its count vector, the number of its shingles in each of ``DIMENSIONS``
@@ -104,6 +105,30 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - math.ceil(percent * n / 100) + 1 if n else 0
 
 
+def may_meet(group: np.ndarray, size: np.ndarray, at: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Whether another row of the group (groups ascend) is of a size with which a row can link here.
+
+    If two linked sets first share the shingle at a place of each, they share no more than what
+    is left there, so ``100 (size - at) >= percent * (both sizes - overlap)`` bounds the other's
+    size, as the threshold itself does. Of two linked sets that share a shingle first, both rows stay.
+    """
+    left = size - at
+    least = -(-percent * size // 100)
+    most = np.minimum(100 * size // percent, (100 + percent) * left // percent - size)
+    span = int(size.max(initial=0)) + 2
+    order = np.lexsort((size, group))
+    code = group[order].astype(np.int64) * span + size[order]
+    low = np.searchsorted(code, group * span + least, side="left")
+    high = np.searchsorted(code, group * span + np.minimum(most, span - 1), side="right")
+    itself = (size >= least) & (size <= most)
+    return high - low > itself
+
+
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """In two bytes each where they fit."""
+    return values.astype(np.uint16 if int(values.max(initial=0)) < 1 << 16 else np.uint32)
+
+
 def count_vector(shingles: np.ndarray) -> np.ndarray:
     groups = (mix(shingles + U(11)) >> U(40)) % U(DIMENSIONS)
     return np.minimum(np.bincount(groups.astype(np.int64), minlength=DIMENSIONS), 2**31 - 1).astype(np.uint32)
@@ -309,11 +334,14 @@ def shared_prefixes(docs: DataFrame, order: Order, parts: int, percent: int, siz
         shingler = Shingler(size)
         ids: list[bytes] = []
         keys: list[np.ndarray] = []
+        sizes: list[int] = []
         held, seen = 0, set()
 
         def send() -> pa.RecordBatch:
             owner = np.repeat(np.arange(len(ids), dtype=np.int32), [len(k) for k in keys])
             key = np.concatenate(keys)
+            at = np.concatenate([np.arange(len(k), dtype=np.uint32) for k in keys])
+            size = np.array(sizes, dtype=np.int64)
             part = (mix(key) % U(parts)).astype(np.int64)
             by = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[by], np.arange(parts + 1))
@@ -323,7 +351,7 @@ def shared_prefixes(docs: DataFrame, order: Order, parts: int, percent: int, siz
                 if len(here):
                     used, local = np.unique(owner[here], return_inverse=True)
                     mine = b"".join(ids[i] for i in used)
-                    rows.append((p, 0, 0, (mine, local.astype(np.uint16 if len(used) < 2**16 else np.uint32), key[here])))
+                    rows.append((p, 0, 0, (mine, size[used], _narrow(local), _narrow(at[here]), key[here])))
             return packed(rows).combine_chunks()
 
         for shingles in (s for _, texts in _chunks(batches) for s in shingler.sets(texts)):
@@ -336,25 +364,31 @@ def shared_prefixes(docs: DataFrame, order: Order, parts: int, percent: int, siz
             prefix = order.sort(shingles)[: prefix_length(len(shingles), percent)]
             ids.append(set_id)
             keys.append(prefix)
+            sizes.append(len(shingles))
             held += len(prefix)
             if held >= 500_000:
                 yield from send().to_batches()
-                ids, keys, held = [], [], 0
+                ids, keys, sizes, held = [], [], [], 0
                 seen.clear()
         if ids:
             yield from send().to_batches()
 
     def answer(table: pa.Table) -> pa.Table:
         asked = [d for *_, d in unpacked(table)]
-        owner = np.concatenate([np.frombuffer(ids, "V16")[local] for ids, local, _ in asked])
+        owner = np.concatenate([np.frombuffer(ids, "V16")[local] for ids, _, local, *_ in asked])
+        size = np.concatenate([sizes[local] for _, sizes, local, *_ in asked])
+        at = np.concatenate([a for *_, a, _ in asked]).astype(np.int64)
         key = np.concatenate([k for *_, k in asked])
         low = owner.view(U).reshape(-1, 2)
         by = np.lexsort((low[:, 1], low[:, 0], key))
         key, low, owner = key[by], low[by], owner[by]
         new_key = np.r_[True, key[1:] != key[:-1]]
         new = new_key | np.r_[True, (low[1:] != low[:-1]).any(axis=1)]
-        key, owner, new_key = key[new], owner[new], new_key[new]
-        start = np.flatnonzero(new_key)
+        by = by[new]
+        key, owner, size, at, new_key = key[new], owner[new], size[by], at[by], new_key[new]
+        met = may_meet(np.cumsum(new_key) - 1, size, at, percent)
+        key, owner = key[met], owner[met]
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=np.int64)
         times = np.diff(np.r_[start, len(key)])
         times = np.repeat(times, times)
         keep = times > 1
@@ -422,7 +456,7 @@ def _lead_links(active: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
 
 def _meeting_pairs(active: DataFrame, keys: DataFrame, comps: DataFrame, best: bool, percent: int) -> DataFrame:
     """Pairs of classes of different components that meet at a shingle and pass the bound."""
-    rows = keys.join(comps, "set_id")
+    rows = keys.join(F.broadcast(comps) if comps.count() <= BROADCAST_ROWS else comps, "set_id")
     open_ = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
     rows = rows.join(open_, "key").join(active.select("set_id", "size", "vector"), "set_id")
     if best:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import brute
 import numpy as np
 import pytest
@@ -83,6 +85,25 @@ def test_large_groups_are_cut_into_parts(spark, frame, monkeypatch):
     assert got == brute.components(docs)
 
 
+def test_rows_that_can_meet_stay():
+    r = random.Random(4)
+    for _ in range(300):
+        pool = [f"x{i}" for i in range(r.randint(5, 60))]
+        order = {x: i for i, x in enumerate(r.sample(pool, len(pool)))}
+        sets = [sorted(r.sample(pool, r.randint(1, len(pool))), key=order.get) for _ in range(r.randint(2, 6))]
+        rows = [(x, k, len(s), i) for k, s in enumerate(sets) for i, x in enumerate(s[: jaccard.prefix_length(len(s))])]
+        rows.sort(key=lambda q: order[q[0]])
+        _, group = np.unique([order[q[0]] for q in rows], return_inverse=True)
+        kept = jaccard.may_meet(group, np.array([q[2] for q in rows]), np.array([q[3] for q in rows]))
+        stay = {q[:2] for q, k in zip(rows, kept) if k}
+        for a in range(len(sets)):
+            for b in range(a):
+                both = set(sets[a]) & set(sets[b])
+                if 100 * len(both) >= 75 * (len(sets[a]) + len(sets[b]) - len(both)):
+                    first = min(both, key=order.get)
+                    assert {(first, a), (first, b)} <= stay
+
+
 def test_rtree_finds_all_that_may_link():
     r = np.random.default_rng(1)
     sets = [np.unique(r.integers(0, 2**63, n).astype(np.uint64)) for n in r.integers(1, 400, 200)]
