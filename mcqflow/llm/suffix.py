@@ -6,7 +6,7 @@ row of anchors, each with the stretch of text whose strings chose it. Stretches
 together by anchor (``repeats``); those whose anchor stands nowhere else can't repeat.
 
 A part lines its stretches up at their anchors and builds their suffix order column by
-column from the right: each round reads one column from a sequential file, puts one symbol
+column from the right: each round reads one column of the text that it holds, puts one symbol
 in front of each stretch's suffix, and updates the order (the symbols in it are the
 collection's Burrows-Wheeler transform for that column) and the common prefixes of
 neighbours, by a stable sort of the order by symbol and range minima of the old prefixes.
@@ -23,7 +23,6 @@ empty one; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -219,48 +218,43 @@ def repeated_strings(
     leftmost, rightmost = int(left.max()), int((size - left).max())
     joins = np.argsort(-(size - left), kind="stable")  # in the order in which they join
     ends = -(size - left)[joins]
-    with tempfile.TemporaryFile() as file:
-        # Column after column, from the right: a row of the file for each round.
-        for c in range(rightmost - 1, -leftmost - 1, -1):
-            at = start + left + c
-            inside = (c < size - left) & (c >= -left)
-            file.write(np.where(inside, data[np.where(inside, at, 0)], 0).astype(np.uint8).tobytes())
-        file.seek(0)
-        order, prefix, joined_ = none, none, 0
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for c in range(rightmost - 1, -leftmost - 1, -1):
-            column = np.frombuffer(file.read(len(group)), np.uint8)
-            # Those that end here join with an empty suffix, the smallest of their group.
-            until = int(np.searchsorted(ends, -(c + 1), side="right"))
-            if until > joined_:
-                new = np.sort(joins[joined_:until])
-                joined_ = until
-                both = np.r_[new, order]
-                sorting = np.argsort(group[both], kind="stable")
-                was_new = np.r_[np.ones(len(new), dtype=bool), np.zeros(len(order), dtype=bool)][sorting]
-                prefix = np.r_[np.zeros(len(new), dtype=np.int64), prefix][sorting]
-                prefix[np.r_[False, was_new[:-1]]] = 0
-                order = both[sorting]
-            # Those that began one column to the right leave; their neighbours' prefix is the smaller one.
-            stay = c >= -left[order]
-            if not stay.all():
-                at = np.flatnonzero(stay)
-                before = np.r_[-1, at[:-1]]
-                prefix = _range_minima(prefix, before + 1, at) if len(at) else none
-                order = order[at]
-            if not len(order):
-                continue
-            key = group[order] * 256 + column[order]
-            place = np.argsort(key, kind="stable")
-            key = key[place]
-            fresh = np.zeros(len(order), dtype=np.int64)
-            same = np.flatnonzero(key[1:] == key[:-1]) + 1
-            fresh[same] = _range_minima(prefix, place[same - 1] + 1, place[same]) + 1
-            order, prefix = order[place], fresh
-            long = prefix >= length
-            if long.any():
-                hit = order[long | np.r_[long[1:], False]]
-                found.append((mine[hit], c + left[hit]))
+    order, prefix, joined_ = none, none, 0
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for c in range(rightmost - 1, -leftmost - 1, -1):
+        # A column of the collection, read from the text that the task holds.
+        inside = (c < size - left) & (c >= -left)
+        column = np.where(inside, data[np.where(inside, start + left + c, 0)], 0).astype(np.uint8)
+        # Those that end here join with an empty suffix, the smallest of their group.
+        until = int(np.searchsorted(ends, -(c + 1), side="right"))
+        if until > joined_:
+            new = np.sort(joins[joined_:until])
+            joined_ = until
+            both = np.r_[new, order]
+            sorting = np.argsort(group[both], kind="stable")
+            was_new = np.r_[np.ones(len(new), dtype=bool), np.zeros(len(order), dtype=bool)][sorting]
+            prefix = np.r_[np.zeros(len(new), dtype=np.int64), prefix][sorting]
+            prefix[np.r_[False, was_new[:-1]]] = 0
+            order = both[sorting]
+        # Those that began one column to the right leave; their neighbours' prefix is the smaller one.
+        stay = c >= -left[order]
+        if not stay.all():
+            at = np.flatnonzero(stay)
+            before = np.r_[-1, at[:-1]]
+            prefix = _range_minima(prefix, before + 1, at) if len(at) else none
+            order = order[at]
+        if not len(order):
+            continue
+        key = group[order] * 256 + column[order]
+        place = np.argsort(key, kind="stable")
+        key = key[place]
+        fresh = np.zeros(len(order), dtype=np.int64)
+        same = np.flatnonzero(key[1:] == key[:-1]) + 1
+        fresh[same] = _range_minima(prefix, place[same - 1] + 1, place[same]) + 1
+        order, prefix = order[place], fresh
+        long = prefix >= length
+        if long.any():
+            hit = order[long | np.r_[long[1:], False]]
+            found.append((mine[hit], c + left[hit]))
     if not found:
         return none, none
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
