@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -35,7 +36,7 @@ from mcqflow.llm.common import text_of
 WINDOW = 2048
 END_ID = 1
 KNOWN_WORDS = 1_000_000
-TEXTS = 200  # encoded at a time
+TEXTS, TEXT_BYTES = 4000, 4 << 20  # encoded at a time, or one longer text
 
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint,"
@@ -109,13 +110,24 @@ class WordIds:
         cut = [self.words(t) for t in texts]
         whole = [i for i, words in enumerate(cut) if words is None]
         out = dict(zip(whole, (e.tobytes() for e in self.encode([texts[i] for i in whole])), strict=True))
-        every = set().union(*(words for words in cut if words))
-        missing = every.difference(self.known)
+        # Each different word of these texts is looked up once; its ids are laid out by offsets.
+        coded = pa.array([w for words in cut if words for w in words], pa.string()).dictionary_encode()
+        every = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        missing = [w for w in every if w not in self.known]
         if len(self.known) + len(missing) > KNOWN_WORDS:
             missing, self.known = every, {}
-        self.known.update(self.learn(list(missing)))
-        get = self.known.__getitem__
-        return [out[i] if words is None else b"".join(map(get, words)) for i, words in enumerate(cut)]
+        self.known.update(self.learn(missing))
+        found = [self.known[w] for w in every]
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        index = coded.indices.to_numpy()
+        taken = sizes[index]
+        ends = np.concatenate([[0], np.cumsum(taken)])
+        starts = np.repeat((np.cumsum(sizes) - sizes)[index] - ends[:-1], taken)
+        ids = np.frombuffer(b"".join(found), dtype="<u4")[starts + np.arange(ends[-1])]
+        stops = np.cumsum([0 if words is None else len(words) for words in cut])
+        last = ends[stops]
+        first = np.concatenate([[0], last[:-1]])
+        return [out[i] if i in out else ids[a:b].tobytes() for i, (a, b) in enumerate(zip(first.tolist(), last.tolist(), strict=True))]
 
 
 @dataclass
@@ -228,8 +240,11 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, window: int, with_ids: b
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     for b in batches:
-        for at in range(0, b.num_rows, TEXTS):
-            few = b.slice(at, TEXTS)
+        sizes, at = pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False).astype(np.int64), 0
+        while at < b.num_rows:
+            fits = int(np.searchsorted(np.cumsum(sizes[at : at + TEXTS]), TEXT_BYTES, side="right"))
+            few = b.slice(at, max(1, fits))
+            at += few.num_rows
             found: list[tuple] = []
             for doc, ids in zip(few.column("doc_id").to_pylist(), words.texts(few.column("text").to_pylist()), strict=True):
                 ids += end
