@@ -7,12 +7,12 @@ ships are nested, so an executor needs the loader's imports but not this package
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, functions as F
@@ -45,17 +45,21 @@ class PluginCodec:
     def encode(self, text: Column, max_len: int | None = None) -> Column:
         load = self.load
 
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             tokenize = load()
             for texts in batches:
-                known = texts.notna()
-                ids = pd.Series([None] * len(texts), index=texts.index, dtype=object)
-                ids[known] = pd.Series(tokenize(texts[known].tolist()), index=texts.index[known], dtype=object)
-                yield ids
+                known = texts.is_valid().to_numpy(zero_copy_only=False)
+                made = tokenize(texts.drop_null().to_pylist())
+                sizes = np.zeros(len(texts), dtype=np.int64)
+                sizes[known] = np.fromiter(map(len, made), dtype=np.int64, count=len(made))
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                flat = np.fromiter(itertools.chain.from_iterable(made), dtype=np.int32, count=int(ends[-1]))
+                bounds = pa.array(ends, pa.int32(), mask=np.append(~known, False))
+                yield pa.ListArray.from_arrays(bounds, pa.array(flat))
 
         # Declared non-deterministic so that the optimizer neither repeats it nor
         # pushes a filter on its result below it.
-        tokenized = F.pandas_udf(run, ArrayType(IntegerType())).asNondeterministic()
+        tokenized = F.arrow_udf(run, ArrayType(IntegerType())).asNondeterministic()
         return truncate(tokenized(text), max_len)
 
     def count(self, text: Column, max_len: int | None = None) -> Column:
@@ -66,16 +70,19 @@ class PluginCodec:
         if load is None:
             raise ValueError("this codec has no decoder")
 
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             detokenize = load()
             for lists in batches:
-                known = lists.notna()
-                plain = [np.asarray(ids).tolist() for ids in lists[known]]
-                texts = pd.Series([None] * len(lists), index=lists.index, dtype=object)
-                texts[known] = pd.Series(detokenize(plain), index=lists.index[known], dtype=object)
-                yield texts
-
-        return F.pandas_udf(run, "string")(drop_special(ids, self.special_ids))
+                known = lists.is_valid()
+                some = lists.filter(known)
+                flat = some.flatten().to_numpy(zero_copy_only=False)
+                cuts = some.offsets.to_numpy() - (some.offsets[0].as_py() if len(some) else 0)
+                texts = detokenize([flat[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])])
+                # Place of each list among those that are not null.
+                place = np.cumsum(known.to_numpy(zero_copy_only=False)) - 1
+                yield pa.array(texts, pa.string()).take(pa.array(place, mask=~known.to_numpy(zero_copy_only=False)))
+
+        return F.arrow_udf(run, "string")(drop_special(ids, self.special_ids))
 
 
 def run_predictor(

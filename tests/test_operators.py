@@ -431,6 +431,29 @@ def test_checkpoints(spark):
 # --- plug-ins and whole jobs ---------------------------------------------------------
 
 
+def test_plugin_codec_over_arrow(spark):
+    """Nulls, empty texts and lists, over several batches."""
+
+    def load():
+        return lambda texts: [[ord(c) for c in t] for t in texts]
+
+    def load_decoder():
+        return lambda lists: ["".join(map(chr, ids)) for ids in lists]
+
+    codec = PluginCodec(load, eos_id=0, load_decoder=load_decoder)
+    texts = [None, "", "ab", None, "é日", "x" * 500, ""]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+        ids = df.withColumn("ids", codec.encode(F.col("t")))
+        rows = ids.select("i", "ids", codec.decode(F.concat("ids", F.array(F.lit(0)))).alias("back"), codec.count(F.col("t"), 3).alias("n")).orderBy("i").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [r.ids for r in rows] == [None if t is None else [ord(c) for c in t] for t in texts]
+    assert [r.back for r in rows] == texts
+    assert [r.n for r in rows if texts[r.i] is not None] == [min(3, len(t)) for t in texts if t is not None]
+
+
 def test_plugin_codec_equals_the_built_in_one(spark, folder):
     plug = PluginCodec(fx.byte_tokenizer(), eos_id=256)
     items = fx.questions(spark, folder)
