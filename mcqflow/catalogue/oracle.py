@@ -597,6 +597,13 @@ def all_sql() -> dict[str, str]:
         "t2_deduplicated_accuracy": _with(
             f"{_ARRIVED}, {_EARLIEST}", f"SELECT subject, {_COUNTS} FROM earliest GROUP BY subject"
         ),
+        "j1_awaited_outputs": "WITH e AS (SELECT *, substr('ABCD', (event_id // 2 % 4)::INT + 1, 1) AS letter FROM events),"
+        " asked AS (SELECT * FROM e WHERE event_id % 2 = 0), outputs AS (SELECT * FROM e WHERE event_id % 2 = 1),"
+        " mark AS (SELECT least((SELECT max(ts) FROM asked), (SELECT max(ts) FROM outputs)) - INTERVAL 2 HOUR AS mark)"
+        " SELECT a.user_id AS item_id, strftime(a.ts, '%Y-%m-%d %H:%M:%S.%f') AS asked_at, strftime(o.ts, '%Y-%m-%d %H:%M:%S.%f') AS ts,"
+        " a.letter AS gold, a.event_type AS subject, o.letter AS pred, coalesce(o.letter = a.letter, false) AS correct"
+        " FROM asked a LEFT JOIN outputs o ON o.user_id = a.user_id AND o.ts BETWEEN a.ts AND a.ts + INTERVAL 1 DAY, mark"
+        " WHERE o.ts IS NOT NULL OR a.ts + INTERVAL 1 DAY < mark",
         "t3_running_loss": "SELECT event_type AS run, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start,"
         " round(avg(value), 9) AS loss, count(*)::BIGINT AS records FROM events"
         " WHERE date_trunc('hour', ts) + INTERVAL 3 HOUR <= (SELECT max(ts) FROM events) GROUP BY 1, 2",

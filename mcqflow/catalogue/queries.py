@@ -842,6 +842,27 @@ def t2_deduplicated_accuracy(spark: SparkSession, folder: str) -> DataFrame:
     return accuracy.subject_accuracy(first)
 
 
+def _asked(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Streams of prompts and of outputs: events of even and of odd ids, by user."""
+    events = _stream(spark, folder, "events")
+    letter = F.translate((F.floor(F.col("event_id") / 2) % 4).cast("string"), "0123", "ABCD")
+    at = F.col("ts").cast("timestamp")
+    even = F.col("event_id") % 2 == 0
+    asked = events.where(even).select(
+        F.col("user_id").alias("item_id"), letter.alias("gold"), F.col("event_type").alias("subject"), at.alias("asked_at")
+    )
+    answered = events.where(~even).select(F.col("user_id").alias("item_id"), letter.alias("output_text"), at.alias("ts"))
+    return asked, answered
+
+
+@query
+def j1_awaited_outputs(spark: SparkSession, folder: str) -> DataFrame:
+    """An outer join of two streams: what nobody answered within a day is wrong once the watermark says so."""
+    rows = _closed(spark, jobs.score_awaited(*_asked(spark, folder), "1 DAY", "2 hours"))
+    when = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in ("asked_at", "ts")}
+    return rows.withColumns(when)
+
+
 @query
 def t3_running_loss(spark: SparkSession, folder: str) -> DataFrame:
     steps = _stream(spark, folder, "events").select(

@@ -44,6 +44,30 @@ def first_arrivals(scored: DataFrame, interval: str | None = None, delay: str |
     return rows.groupBy(*keys).agg(first).select("item_id", *start, *fields)
 
 
+def score_awaited(
+    asked: DataFrame, outputs: DataFrame, wait: str, delay: str | None = None, keys: Sequence[str] = ("item_id",)
+) -> DataFrame:
+    """Prompts ``(keys, gold, subject, asked_at)`` beside the outputs ``(keys, output_text, ts)`` that come for them
+    from ``asked_at`` until ``wait`` later, both of them streams, or both tables.
+
+    Each output in time gives a row. A prompt without one gives a row without a letter, which is
+    wrong; on streams it is appended when the watermarks, ``delay`` behind the latest row of both,
+    pass the end of its wait, and both sides' rows are freed by then. A null key never meets an output.
+    The letter is parsed before the join, so texts are neither exchanged nor kept.
+    """
+    parsed = outputs.select(*(F.col(k).alias(f"_of_{k}") for k in keys), "ts", parse_letter(F.col("output_text")).alias("pred"))
+    prompts = asked.select(*keys, "gold", "subject", "asked_at")
+    if delay is not None:
+        prompts, parsed = prompts.withWatermark("asked_at", delay), parsed.withWatermark("ts", delay)
+    in_time = F.col("ts").between(F.col("asked_at"), F.col("asked_at") + F.expr(f"INTERVAL {wait}"))
+    for k in keys:
+        in_time = in_time & (F.col(k) == F.col(f"_of_{k}"))
+    joined = prompts.join(parsed, in_time, "left_outer")
+    return joined.select(
+        *keys, "asked_at", "ts", "gold", "subject", "pred", is_correct(F.col("pred"), F.col("gold")).alias("correct")
+    )
+
+
 def running_accuracy(scored: DataFrame) -> DataFrame:
     """Accuracy per subject of everything so far (``update`` or ``complete`` mode)."""
     return subject_accuracy(scored)

@@ -88,3 +88,33 @@ def test_interval_loss_batch_twin(spark):
     assert rows(interval_loss(log, 10).select("interval", "loss", "records"), "interval") == [
         (i, 10 * i + 4.5, 10) for i in range(4)
     ]
+
+
+def test_outputs_that_never_come_are_wrong(spark):
+    """Two streams in several batches append what the batch form gives, but for prompts still waiting."""
+    asked = spark.range(60).select(
+        (F.col("id") % 25).alias("item_id"),
+        F.lit("A").alias("gold"),
+        (F.col("id") % 3).cast("string").alias("subject"),
+        F.timestamp_seconds(F.col("id") * 60 + 10**9).alias("asked_at"),
+    )
+    outputs = spark.range(0, 60, 3).select(
+        (F.col("id") % 25).alias("item_id"),
+        F.when(F.col("id") % 2 == 0, "(A)").otherwise("B").alias("output_text"),
+        F.timestamp_seconds(F.col("id") * 60 + 90 + 10**9).alias("ts"),
+    )
+    columns = ["item_id", "asked_at", "ts", "gold", "subject", "pred", "correct"]
+    every = [tuple(r) for r in jobs.score_awaited(asked, outputs, "5 MINUTES").select(columns).collect()]
+    out = shared_folder(spark)
+    # Rows come in any order within the delay, so nothing is late.
+    stream = jobs.score_awaited(as_stream(spark, asked), as_stream(spark, outputs), "5 MINUTES", "2 hours")
+    jobs.append_to(stream, out + "/rows", out + "/state").awaitTermination()
+    early = [tuple(r) for r in spark.read.schema(stream.schema).parquet(out + "/rows").select(columns).collect()]
+    assert sorted(early, key=repr) == sorted((r for r in every if r[2] is not None), key=repr)
+    stream = jobs.score_awaited(as_stream(spark, asked, 1), as_stream(spark, outputs, 1), "5 MINUTES", "10 minutes")
+    jobs.append_to(stream, out + "/rows2", out + "/state2").awaitTermination()
+    late = [tuple(r) for r in spark.read.schema(stream.schema).parquet(out + "/rows2").select(columns).collect()]
+    mark = 10**9 + 57 * 60 + 90 - 600  # ten minutes before the latest row of the slower stream
+    due = [r for r in every if r[2] is not None or r[1].timestamp() + 300 < mark]
+    assert sorted(late, key=repr) == sorted(due, key=repr) and len(early) < len(late) < len(every)
+    assert not any(r[-1] for r in late if r[2] is None)
