@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+MAX_RECORD_ROWS = 10_000
+
 
 def write_prepared(
     df: DataFrame,
@@ -23,9 +25,16 @@ def write_prepared(
     return df.sparkSession.read.parquet(path)
 
 
-def write_record(record: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write a result record (a row or a few) as one UTF-8 JSON lines file."""
-    record.repartition(1).write.mode(mode).json(path)
+def write_record(record: DataFrame, path: str, mode: str = "errorifexists", max_rows: int = MAX_RECORD_ROWS) -> None:
+    """Write a result record (a row or a few) as one UTF-8 JSON lines file, committed whole.
+
+    No more than ``max_rows`` are ever brought together: a larger table is refused before anything is written.
+    """
+    rows = record.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"over {max_rows} rows are no record: write them as a table")
+    held = record.sparkSession.createDataFrame(rows, record.schema)
+    held.coalesce(1).write.mode(mode).json(path)
 
 
 def write_subjects(table: DataFrame, path: str, mode: str = "errorifexists") -> None:

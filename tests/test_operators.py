@@ -563,7 +563,23 @@ def test_record_is_one_utf8_json_line(spark, flags):
     record = accuracy.result_record(accuracy.subject_accuracy(named), "generate")
     path = shared_folder(spark) + "/record"
     sinks.write_record(record, path)
+    with pytest.raises(ValueError, match="no record"):
+        sinks.write_record(record.union(record), path + "-more", max_rows=1)
     files = [f for f in Path(path.removeprefix("file:")).glob("*.json") if f.stat().st_size]
     text = files[0].read_text(encoding="utf-8")
     assert len(files) == 1 and "zoölogy" in text
     assert json.loads(text) == {"metric": "generate", "overall_acc": 4 / 6, "n": 6, "per_subject": {"zoölogy": 4 / 6}}
+
+
+@pytest.mark.parametrize("n", [0, 3, 4, 10, 11, 30, 57, 58, 100])
+def test_first_items_without_a_sort(spark, n):
+    """Three null keys, ties, and a rank inside them."""
+    keys = [None] * 3 + [5] * 7 + list(range(6, 40)) + [99] * 14
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "item_id bigint, row int").repartition(3)
+    got = splits.first_items(df, n, most_sorted=-1)
+    assert got.columns == ["item_id", "row"]
+    rows = got.collect()
+    assert sorted((r.item_id is not None, r.item_id or 0) for r in rows) == [(k is not None, k or 0) for k in keys[:n]]
+    assert len({r.row for r in rows}) == len(rows)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan
