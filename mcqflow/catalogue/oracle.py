@@ -551,6 +551,8 @@ def all_sql() -> dict[str, str]:
             f"{SCORED}, {tuned}, {record.format(t='flagged')}",
             "SELECT 'generate' AS metric, overall.acc AS overall_acc, n, subject, per.acc FROM per, overall",
         ),
+        "a6_result_rows": "WITH f AS (SELECT value < 50 AS correct, user_id::VARCHAR AS subject FROM events),"
+        f" {record.format(t='f')} SELECT 'generate' AS metric, overall.acc::DOUBLE AS overall_acc, n, subject, per.acc FROM per, overall",
         "a7_mean_loss": _with(
             f"{STEP_LOG}, {_BOUNDARY}",
             "SELECT run, round(avg(loss), 9) AS train_loss, count(*)::BIGINT AS train_steps FROM step_loss GROUP BY run",

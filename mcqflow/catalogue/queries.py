@@ -727,6 +727,13 @@ def a6_result_record(spark: SparkSession, folder: str) -> DataFrame:
     return record.select("metric", "overall_acc", "n", F.explode("per_subject").alias("subject", "acc"))
 
 
+@query
+def a6_result_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """A row per user, who stands for a subject: more of them than a record takes."""
+    flagged = fx.table(spark, folder, "events").select((F.col("value") < 50).alias("correct"), F.col("user_id").cast("string").alias("subject"))
+    return accuracy.result_rows(accuracy.subject_accuracy(flagged), "generate")
+
+
 @query
 def a7_mean_loss(spark: SparkSession, folder: str) -> DataFrame:
     return runs.mean_loss(fx.step_log(spark, folder)).withColumn("train_loss", F.round("train_loss", 9))

@@ -82,7 +82,7 @@ def result_record(
 
     Made from the per-subject counts, so the scored rows are read once. The map
     holds one entry per subject in name order. More than ``max_subjects`` is an
-    error rather than a cut map; the per-subject table has no such bound.
+    error rather than a cut map; ``result_rows`` has no such bound.
     """
     held = subjects.select("subject", "correct", "total").orderBy("subject").limit(max_subjects + 1)
     entries = F.array_sort(
@@ -104,6 +104,20 @@ def result_record(
     )
 
 
+def result_rows(subjects: DataFrame, metric: str) -> DataFrame:
+    """The result in long form, ``metric, overall_acc, n, subject, acc``: a row per subject, however many
+    there are. The totals are a scalar subquery, so the subjects stay where they are."""
+    correct, total = F.sum("correct"), F.coalesce(F.sum("total"), F.lit(0))
+    acc = ratio(F.col("correct"), F.col("total"))
+    return subjects.select(
+        F.lit(metric).alias("metric"),
+        subjects.agg(ratio(correct, total)).scalar().alias("overall_acc"),
+        subjects.agg(total.cast("bigint")).scalar().alias("n"),
+        "subject",
+        acc.alias("acc"),
+    )
+
+
 def compare_results(base: DataFrame, tuned: DataFrame) -> DataFrame:
     """Two per-subject tables side by side; a subject may be in either alone."""
 

@@ -13,6 +13,7 @@ from mcqflow.functions.labels import token_at
 from mcqflow.functions.tokens import cut_prompt
 from mcqflow.operators.accuracy import (
     result_record,
+    result_rows,
     score_letters,
     subject_accuracy,
     subject_or_blank,
@@ -44,6 +45,11 @@ class Evaluation:
     def record(self) -> DataFrame:
         return result_record(self.subjects, self.metric)
 
+    @property
+    def rows(self) -> DataFrame:
+        """The record in long form, for any number of subjects."""
+        return result_rows(self.subjects, self.metric)
+
 
 def _evaluation(metric: str, scored: DataFrame) -> Evaluation:
     return Evaluation(metric, scored, subject_accuracy(scored))
