@@ -49,7 +49,7 @@ from mcqflow.llm.words import U, mix, words_of_texts
 
 SHINGLE = 5
 PERCENT = 75
-SKETCH_BITS = 20
+SKETCH_BITS = 24  # 16 MB, whatever the corpus
 SLICES = 16
 DIMENSIONS = 256
 LEAF = 16
@@ -309,7 +309,8 @@ def sketch_order(docs: DataFrame, bits: int = SKETCH_BITS, size: int = SHINGLE)
         shingler, counts = Shingler(size), np.zeros(1 << bits, dtype=np.uint32)
         for _, texts in _chunks(batches):
             every = np.concatenate(shingler.sets(texts))
-            counts += np.bincount((mix(every + U(5)) >> U(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+            at, times = np.unique((mix(every + U(5)) >> U(64 - bits)).astype(np.uint32), return_counts=True)
+            counts[at] += times.astype(np.uint32)
         blobs = [zlib.compress(counts[i * width : (i + 1) * width].tobytes(), 1) for i in range(SLICES)]
         yield _frame((list(range(SLICES)), blobs), _SKETCH)
 
