@@ -11,8 +11,8 @@ branch with more than half of the page's text. What is below the threshold is cu
 article is read off, or of the whole body where no article is marked.
 
 Pages with equal html count once in the merged tree, so copies don't make their article
-unimportant, and a branch is only cut out of an article if it holds less than half of its
-text. The merged tree is built by aggregation over (host, path, content): a host with a
+unimportant, and a branch is only cut out of an article, or of a page without one, if it holds
+no more than half of its text: where mirrors repeat a story beside other menus, the story stays. The merged tree is built by aggregation over (host, path, content): a host with a
 third of all pages is no single group. Html is read twice and not exchanged unless the
 list of unimportant paths is too long to broadcast.
 
@@ -204,8 +204,22 @@ def _close(stack: list[Node], tags: tuple[str, ...]) -> None:
             return
 
 
+def _large(root: Node) -> set[int]:
+    """Ids of the nodes that hold more than half of the text below a node."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(c for c in node.children if isinstance(c, Node) and not c.noise)
+    size: dict[int, int] = {}
+    for node in reversed(order):
+        size[id(node)] = sum(len(c.strip()) if isinstance(c, str) else size.get(id(c), 0) for c in node.children)
+    return {i for i, n in size.items() if 2 * n > size[id(root)]}
+
+
 def blocks_of(node: Node, cut: set[int] | frozenset[int] = frozenset()) -> list[str]:
-    """Texts of the blocks below a node, in page order."""
+    """Texts of the blocks below a node, in page order; branches to cut go unless they hold most of it."""
+    kept = _large(node) if cut else set()
     out: list[str] = []
     run: list[str] = []
 
@@ -222,7 +236,7 @@ def blocks_of(node: Node, cut: set[int] | frozenset[int] = frozenset()) -> list[
             flush()
         elif isinstance(item, str):
             run.append(item)
-        elif item is not node and (item.noise or (cut and item.tag in CONTAINERS and path_key(item.path) in cut)):
+        elif item is not node and (item.noise or (cut and item.tag in CONTAINERS and path_key(item.path) in cut and id(item) not in kept)):
             if item.tag in BLOCKS:
                 flush()
         elif item.tag == "br":

@@ -148,6 +148,19 @@ def test_style_tree_cuts_what_a_host_repeats(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_mirrored_stories_stay(spark):
+    """18 of 20 pages of a host tell one story beside menus of their own, without an article's tag."""
+    story = "A story that many mirrors tell, sentence after sentence, much longer than any menu beside it. " * 3
+    rows = []
+    for i in range(20):
+        text = story if i < 18 else f"Another story, number {i}, told by one page alone, and at some length as well. " * 3
+        same = "<div class='hint'>The same words of the house on every page.</div>"
+        rows.append((i, f"http://m.example/{i}", f"<body><div class='items'>Menu {i} of {i * i}</div><div class='told'><p>{text}</p></div>{same}</body>"))
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for i in range(20):
+        assert (story.strip() if i < 18 else f"number {i}") in got[i] and "house" not in got[i]
+
+
 def test_pipeline_stages(spark, folder, tmp_path):
     documents = spark.read.parquet(f"{folder}/documents.parquet")
     docs, columns = documents, documents.columns
