@@ -49,7 +49,7 @@ from mcqflow.llm.words import U, mix, words_of_texts
 
 SHINGLE = 5
 PERCENT = 75
-SKETCH_BITS = 24  # 16 MB, whatever the corpus
+SKETCH_BITS = 26  # 64 MB, whatever the corpus
 SLICES = 16
 DIMENSIONS = 256
 LEAF = 16
@@ -306,18 +306,19 @@ def sketch_order(docs: DataFrame, bits: int = SKETCH_BITS, size: int = SHINGLE)
     width = (1 << bits) // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, counts = Shingler(size), np.zeros(1 << bits, dtype=np.uint32)
+        # A task counts to 255, which is frequent enough for an order.
+        shingler, counts = Shingler(size), np.zeros(1 << bits, dtype=np.uint8)
         for _, texts in _chunks(batches):
             every = np.concatenate(shingler.sets(texts))
             at, times = np.unique((mix(every + U(5)) >> U(64 - bits)).astype(np.uint32), return_counts=True)
-            counts[at] += times.astype(np.uint32)
+            counts[at] = np.minimum(counts[at] + times, 255)
         blobs = [zlib.compress(counts[i * width : (i + 1) * width].tobytes(), 1) for i in range(SLICES)]
         yield _frame((list(range(SLICES)), blobs), _SKETCH)
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(width, dtype=np.uint64)
         for blob in table.column("counts"):
-            total += np.frombuffer(zlib.decompress(blob.as_py()), np.uint32)
+            total += np.frombuffer(zlib.decompress(blob.as_py()), np.uint8)
         level = np.minimum(np.floor(4 * np.log2(total + 1.0)), 255).astype(np.uint8)
         return pa.table([table.column("slice")[:1], pa.array([level.tobytes()], pa.binary())], schema=_SKETCH)
 

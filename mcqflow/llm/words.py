@@ -14,7 +14,7 @@ from hashlib import blake2b
 import numpy as np
 
 U = np.uint64
-SLICE = 4 << 20  # bytes for which arrays are made at a time
+SLICE = 1 << 20  # bytes for which arrays are made at a time
 LONG_WORD = 48
 _BASE = 0x9E3779B97F4A7C15
 
