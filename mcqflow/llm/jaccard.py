@@ -49,7 +49,7 @@ from mcqflow.llm.words import U, mix, words_of_texts
 
 SHINGLE = 5
 PERCENT = 75
-SKETCH_BITS = 26  # 64 MB, whatever the corpus
+SKETCH_BITS = 25  # 32 MB, whatever the corpus
 SLICES = 16
 DIMENSIONS = 256
 LEAF = 16
@@ -569,7 +569,8 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     h, i, o, nth = (fresh(columns, x) for x in ("_hash", "_id", "_of", "_nth"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("x")
     best = link_components(docs, percent).where("n_shingles > 0").groupBy("component").agg(first)
-    best = best.select(F.col("x.doc_id").alias(i), F.col("x.hash").alias(o)).distinct()
+    best = checkpointed(best.select(F.col("x.doc_id").alias(i), F.col("x.hash").alias(o)).distinct())
+    best = F.broadcast(best) if best.count() <= BROADCAST_ROWS else best  # two numbers a row
     rows = docs.withColumn(h, F.xxhash64(text_of("text")))
     kept = rows.join(best, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(h) == F.col(o)))
     order = [c for c in columns if c not in ("doc_id", "text")] or [h]
