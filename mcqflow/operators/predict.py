@@ -14,12 +14,14 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DataType, IntegerType, StructType
 
 from mcqflow.functions.tokens import drop_special, truncate
+from mcqflow.operators.slices import slicer
 
 Tokenizer = Callable[[list[str]], list[list[int]]]
 Detokenizer = Callable[[list[list[int]]], list[str]]
@@ -27,7 +29,10 @@ Detokenizer = Callable[[list[list[int]]], list[str]]
 
 @dataclass(frozen=True)
 class PluginCodec:
-    """A codec around a tokenizer: a list of texts to a list of id lists."""
+    """A codec around a tokenizer: a list of texts to a list of id lists.
+
+    An Arrow batch is given to it in slices of bounded size: only those become Python objects.
+    """
 
     load: Callable[[], Tokenizer]
     eos_id: int
@@ -43,11 +48,11 @@ class PluginCodec:
         return tuple(sorted({self.eos_id, self.pad_id}))
 
     def encode(self, text: Column, max_len: int | None = None) -> Column:
-        load = self.load
+        load, slices = self.load, slicer()
 
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             tokenize = load()
-            for texts in batches:
+            for texts in (part for batch in batches for part in slices(batch, pc.binary_length(batch))):
                 known = texts.is_valid().to_numpy(zero_copy_only=False)
                 made = tokenize(texts.drop_null().to_pylist())
                 sizes = np.zeros(len(texts), dtype=np.int64)
@@ -70,9 +75,11 @@ class PluginCodec:
         if load is None:
             raise ValueError("this codec has no decoder")
 
+        slices = slicer()
+
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             detokenize = load()
-            for lists in batches:
+            for lists in (part for batch in batches for part in slices(batch, pc.list_value_length(batch))):
                 known = lists.is_valid()
                 some = lists.filter(known)
                 flat = some.flatten().to_numpy(zero_copy_only=False)

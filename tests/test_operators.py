@@ -454,6 +454,34 @@ def test_plugin_codec_over_arrow(spark):
     assert [r.n for r in rows if texts[r.i] is not None] == [min(3, len(t)) for t in texts if t is not None]
 
 
+def test_plugin_codec_gets_bounded_slices_of_a_batch(spark):
+    """Of an Arrow batch of 3 MB a tokenizer sees a megabyte at a time, or one longer text."""
+
+    def load():
+        def tokenize(texts):
+            assert len(texts) <= 1 or sum(map(len, texts)) <= 1 << 20
+            return [list(t.encode()) for t in texts]
+
+        return tokenize
+
+    def load_decoder():
+        def detokenize(lists):
+            assert len(lists) <= 1 or sum(map(len, lists)) <= 1 << 20
+            return [bytes(ids).decode() for ids in lists]
+
+        return detokenize
+
+    codec = PluginCodec(load, eos_id=256, load_decoder=load_decoder)
+    size = F.when(F.col("id") == 7, 1_500_000).when(F.col("id") % 50 != 0, 10_000)
+    df = spark.range(150, numPartitions=1).select("id", F.repeat(F.lit("x"), size.cast("int")).alias("t"))
+    ids = df.withColumn("ids", codec.encode(F.col("t")))
+    rows = ids.select("id", F.size("ids").alias("n"), (codec.decode(F.col("ids")) == F.col("t")).alias("same")).collect()
+    for r in rows:
+        want = 1_500_000 if r.id == 7 else 10_000 if r.id % 50 else None
+        assert (r.n, r.same) == ((want, True) if want else (-1 if r.n == -1 else None, None))
+    assert len(rows) == 150
+
+
 def test_plugin_codec_equals_the_built_in_one(spark, folder):
     plug = PluginCodec(fx.byte_tokenizer(), eos_id=256)
     items = fx.questions(spark, folder)
