@@ -9,16 +9,18 @@ pair two characters of it, and merging a pair everywhere one ``replace``.
 from __future__ import annotations
 
 import heapq
-import itertools
 import json
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mcqflow.functions.tokens import drop_special, truncate
+from mcqflow.operators.slices import slicer
 from mcqflow.operators.vocabulary import MAX_INLINE_TOKENS, _constant, pieces
 from mcqflow.sources.shared import shared_folder
 from mcqflow.sources.sinks import write_prepared
@@ -32,7 +34,9 @@ SUBWORD_PIECE = r" ?\p{L}+| ?\p{N}+| ?[^\x09-\x0D\x20\p{L}\p{N}]+|[\x09-\x0D\x20
 _GAP, _GAP_SIZE = 0xD800, 0x800
 
 CANDIDATES = 256  # most frequent pairs looked at in a round
-MAX_KNOWN_PIECES = 1_000_000  # whose ids a task remembers
+MAX_KNOWN_PIECES = 250_000  # whose ids a task remembers, twice
+MAX_KNOWN_CHARS = 100  # of such a piece
+MAX_SLICE_PIECES = 1 << 17  # merged at a time, of a megabyte at most
 REWRITE = 32  # merges after which the words are written anew
 
 
@@ -162,13 +166,22 @@ def _table(spark: SparkSession, rows: list[tuple[int, int, int, int, int]]) -> D
 
 def _encoder(merges: tuple[tuple[int, int], ...]) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
     """Lists of pieces to lists of ids. Nested, so that executors don't need this package."""
-    first_merge, known_pieces = BYTE_IDS, MAX_KNOWN_PIECES
+    first_merge, known_pieces, known_chars = BYTE_IDS, MAX_KNOWN_PIECES, MAX_KNOWN_CHARS
+    by_pieces, by_bytes = slicer(MAX_SLICE_PIECES), slicer()
+
+    def parts(lists: pa.Array) -> Iterator[pa.Array]:
+        """Lists of up to so many pieces and bytes, or one."""
+        for some in by_pieces(lists, pc.list_value_length(lists)):
+            ends = np.concatenate([[0], np.cumsum(pc.binary_length(some.flatten()).to_numpy(), dtype=np.int64)])
+            sizes = np.diff(ends[some.offsets.to_numpy() - some.offsets[0].as_py()])
+            yield from by_bytes(some, pa.array(sizes))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ranks = {pair: i for i, pair in enumerate(merges)}
-        known: dict[str, list[int]] = {}
+        known: dict[str, bytes] = {}
+        older: dict[str, bytes] = {}
 
-        def ids_of(piece: str) -> list[int]:
+        def ids_of(piece: str) -> bytes:
             """The pair of least rank is merged first, of equal ones the leftmost."""
             ids = list(piece.encode())
             n = len(ids)
@@ -191,21 +204,23 @@ def _encoder(merges: tuple[tuple[int, int], ...]) -> Callable[[Iterator[pa.Array
                     pair = (ids[before[i]], ids[i])
                     if pair in ranks:
                         heapq.heappush(waiting, (ranks[pair], before[i]))
-            return [i for i in ids if i >= 0]
+            return array("i", [i for i in ids if i >= 0]).tobytes()
 
-        for lists in batches:
+        for lists in (part for batch in batches for part in parts(batch)):
             coded = lists.flatten().dictionary_encode()
             found = []
             for piece in coded.dictionary.to_pylist():
                 ids = known.get(piece)
                 if ids is None:
-                    if len(known) >= known_pieces:
-                        known = {}
-                    ids = known[piece] = ids_of(piece)
+                    ids = older.get(piece) or ids_of(piece)
+                    if len(piece) <= known_chars:
+                        if len(known) >= known_pieces:
+                            known, older = {}, known
+                        known[piece] = ids
                 found.append(ids)
             # Each piece takes its run of the ids of the different ones.
-            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            pool = np.fromiter(itertools.chain.from_iterable(found), dtype=np.int32, count=int(sizes.sum()))
+            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+            pool = np.frombuffer(b"".join(found), dtype=np.int32)
             index = coded.indices.to_numpy(zero_copy_only=False)
             taken = sizes[index]
             ends = np.cumsum(taken)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import random
 
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -147,3 +148,15 @@ def test_training_reads_the_corpus_once(spark, corpus, monkeypatch):
     seen = []
     monkeypatch.setattr(subwords, "word_counts", lambda df, *a: seen.append(1) or df.select(F.lit("abab").alias("word"), F.lit(3).cast("bigint").alias("n")).limit(1))
     assert train_merges(corpus, "text", 4).count() == 2 and seen == [1]
+
+
+def test_a_batch_is_merged_in_bounded_slices():
+    """By pieces and by bytes; a row that is larger alone. Nulls and offsets of a slice stay right."""
+    run = subwords._encoder(((97, 98),))
+    lists = [[], None, *[["ab", "b"] * 500] * 300, None, *[["a" * 300_000]] * 6, ["ab" * 1_000_000], []]
+    batch = pa.array([["skipped"], *lists], pa.list_(pa.string())).slice(1)
+    made = list(run(iter([batch, batch.slice(0, 0), batch.slice(2, 1)])))
+    assert len(made) >= 7
+    assert all(len(m) == 1 or len(m.flatten()) <= 1 << 20 for m in made)
+    want = [None if x is None else [i for p in x for i in ([256] * (len(p) // 2) if p[:2] == "ab" else p.encode())] for x in lists]
+    assert [x for m in made for x in m.to_pylist()] == [*want, want[2]]
