@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from mcqflow.functions.tokens import drop_special, resolve_pad_id, truncate
 from mcqflow.operators.numbering import text_index
@@ -188,8 +193,52 @@ def _salted(tokens: DataFrame, vocabulary: DataFrame, key: str, salts: int) -> D
 
 def _keyed(df: DataFrame, item: str) -> DataFrame:
     """Rows by item; rows without an item are kept apart by their place in the scan."""
-    row = F.when(F.col(item).isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1))
-    return df.withColumn("_row", row).repartition(item, "_row")
+    return _with_row(df, item).repartition(item, "_row")
+
+
+def _with_row(df: DataFrame, item: str) -> DataFrame:
+    row = F.when(F.col(item).isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1).cast("bigint"))
+    return df.withColumn("_row", row)
+
+
+def _runs(found: DataFrame, item: str, value: str) -> DataFrame:
+    """``(item, _row, start, run)``: values at following positions of an item as one row.
+
+    Rows come in the order of the scan, so a text is a run or a few; in another order there were
+    more runs, with the same values at the same positions.
+    """
+    rows = found.select(F.col(item).alias("item"), "_row", F.col("pos").alias("start"), F.col(value).alias("run"))
+    schema = StructType([*rows.schema.fields[:3], StructField("run", ArrayType(rows.schema["run"].dataType))])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            key, row, pos, values = batch.columns
+            row, at = row.to_numpy(), pos.fill_null(-2).to_numpy(zero_copy_only=False)
+            # An item is null only where its row number differs from all others.
+            other = pc.not_equal(key.slice(0, n - 1), key.slice(1)).fill_null(False).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.r_[True, other | (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)])
+            first = pa.array(cuts)
+            # A row without a position stands for a text without values.
+            known = at != -2
+            ends = np.concatenate([[0], np.cumsum(known)])
+            bounds = pa.array(ends[np.append(cuts, n)], pa.int32())
+            run = pa.ListArray.from_arrays(bounds, values.filter(pa.array(known)))
+            yield pa.RecordBatch.from_arrays([key.take(first), batch.column(1).take(first), pos.take(first), run], names=["item", "_row", "start", "run"])
+
+    return rows.mapInArrow(fold, schema).withColumnRenamed("item", item)
+
+
+def _gathered(runs: DataFrame, item: str) -> DataFrame:
+    """The values of each item in the order of their positions, as ``t``; nulls among them stay."""
+    each = F.collect_list(F.struct("start", "run"))
+    many = runs.repartition(item, "_row").groupBy(item, "_row").agg(each.alias("r"))
+    placed = F.flatten(
+        F.transform("r", lambda r: F.transform(r["run"], lambda x, i: F.struct((r["start"] + i).alias("pos"), x.alias("value"))))
+    )
+    return many.select(item, F.when(F.size("r") == 1, F.col("r")[0]["run"]).otherwise(F.array_sort(placed)["value"]).alias("t"))
 
 
 def encode_by_join(
@@ -206,18 +255,21 @@ def encode_by_join(
 ) -> DataFrame:
     """``(item, out)`` with tokens looked up by a join, for a vocabulary of any size.
 
-    The texts are hashed by item before they are split, so the ids of an item
-    are regrouped where they are made: the tokens are not exchanged when the
-    vocabulary fits a broadcast, which is checked by rows and bytes. A larger
-    vocabulary is joined on ``(token, salt)``; without the salt a common word
+    When the vocabulary fits a broadcast, which is checked by rows and bytes, the ids
+    are put together where they are looked up and cross one exchange as arrays, by item;
+    the tokens are neither exchanged nor sorted. For a larger vocabulary the texts are hashed by item
+    before they are split, and it is joined on ``(token, salt)``; without the salt a common word
     would go to one task. Rows without an item stay apart.
     """
     kept = truncate(pieces(F.col(text), pattern), max_len)
-    tokens = _keyed(df, item).select(item, "_row", F.posexplode_outer(kept).alias("pos", "token"))
+    split = F.posexplode_outer(kept).alias("pos", "token")
     if _fits(vocabulary, max_broadcast):
+        tokens = _with_row(df, item).select(item, "_row", split)
         found = tokens.join(F.broadcast(vocabulary.select("token", "id")), "token", "left")
-    else:
-        found = _salted(tokens, vocabulary, "token", salts)
+        known = found.withColumn("id", F.coalesce("id", F.lit(unk_id)))
+        return _gathered(_runs(known, item, "id"), item).select(item, F.col("t").alias(out))
+    tokens = _keyed(df, item).select(item, "_row", split)
+    found = _salted(tokens, vocabulary, "token", salts)
     at = F.struct("pos", F.coalesce("id", F.lit(unk_id)).alias("id"))
     gathered = found.groupBy(item, "_row").agg(
         F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), at))).alias("t")

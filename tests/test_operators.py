@@ -310,6 +310,30 @@ def test_vocabulary_paths_agree(texts, max_broadcast):
     assert [r[1] for r in rows(cut, "item_id")] == [i[1][:2] for i in inline]
 
 
+def test_rows_of_an_item_are_joined_by_position(spark):
+    """Rows that share an item are one, its tokens by position and then by id; the same from both joins."""
+    data = [(1, "a b c"), (1, "c c c d"), (2, None), (2, "a"), (3, ""), (3, None), (None, "b"), (None, None), (4, "x " * 25_000)]
+    df = spark.createDataFrame(data, "item_id bigint, text string").coalesce(1)
+    table = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "token string, id int")
+    want = {("1", (0, 2, 1, 2, 2, 2, 9)), ("2", (0,)), ("3", ()), ("None", (1,)), ("None", ()), ("4", (9,) * 25_000)}
+    texts = {("1", "a c b c c c"), ("2", "a"), ("3", ""), ("None", "b"), ("None", ""), ("4", "")}
+    for most in (0, 100):
+        ids = vocab.encode_by_join(df, table, "text", 9, max_broadcast=most)
+        assert {(str(r.item_id), tuple(r.input_ids)) for r in ids.collect()} == want
+        back = vocab.decode_by_join(ids, table, max_broadcast=most)
+        assert {(str(r.item_id), r.text) for r in back.collect()} == texts
+
+
+def test_joined_ids_are_not_sorted_token_by_token(spark):
+    """Where the vocabulary is broadcast, what is exchanged and grouped is arrays."""
+    df = spark.range(10).select(F.col("id").alias("item_id"), F.lit("a b").alias("text"))
+    table = spark.createDataFrame([("a", 0)], "token string, id int")
+    ids = vocab.encode_by_join(df, table, "text", 9)
+    for made in (ids,):
+        text = made._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in text[text.index("Exchange hashpartitioning") :]
+
+
 def test_vocabulary_size_is_checked(texts):
     table = vocab.build_vocabulary(texts, "text", 12)
     with pytest.raises(ValueError, match="encode_by_join"):
