@@ -287,11 +287,13 @@ def decode_by_join(
     salts: int = 64,
 ) -> DataFrame:
     """``(item, out)``: the reverse lookup by join; ids not in the table are left out."""
-    at = _keyed(df, item).select(item, "_row", F.posexplode_outer(ids).alias("pos", "id"))
+    split = F.posexplode_outer(ids).alias("pos", "id")
     if _fits(vocabulary, max_broadcast):
+        at = _with_row(df, item).select(item, "_row", split)
         found = at.join(F.broadcast(vocabulary.select("token", "id")), "id", "left")
-    else:
-        found = _salted(at, vocabulary, "id", salts)
+        return _gathered(_runs(found, item, "token"), item).select(item, F.array_join("t", " ").alias(out))
+    at = _keyed(df, item).select(item, "_row", split)
+    found = _salted(at, vocabulary, "id", salts)
     kept = F.when(F.col("token").isNotNull(), F.struct("pos", "token"))
     gathered = found.groupBy(item, "_row").agg(F.array_sort(F.collect_list(kept)).alias("t"))
     return gathered.select(item, F.array_join("t.token", " ").alias(out))

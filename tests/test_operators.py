@@ -329,7 +329,7 @@ def test_joined_ids_are_not_sorted_token_by_token(spark):
     df = spark.range(10).select(F.col("id").alias("item_id"), F.lit("a b").alias("text"))
     table = spark.createDataFrame([("a", 0)], "token string, id int")
     ids = vocab.encode_by_join(df, table, "text", 9)
-    for made in (ids,):
+    for made in (ids, vocab.decode_by_join(df.select("item_id", F.array(F.lit(0)).alias("input_ids")), table)):
         text = made._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in text[text.index("Exchange hashpartitioning") :]
 
