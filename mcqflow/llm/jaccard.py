@@ -11,12 +11,16 @@ a component is what links connect.
    prefixes are asked for by packed arrays; a shingle in one class's prefix only is dropped,
    and so is a class's row where no other class that has the shingle is of a size that can link.
    Classes that are left with a shingle are active, and their sets are stored.
-3. Active classes meet at their leading shared shingles, large groups in even parts. Each
-   class is indexed by its count vector, the number of its shingles in each of ``DIMENSIONS``
-   hashed groups. The overlap of two sets is at most the sum of the coordinates' minima, and
-   a node of the R-tree bounds that for all below it. What passes is verified on the sets;
-   classes that are connected already aren't compared again.
-4. Prefix shingles at which different components still meet are searched in the same way,
+3. Each class has a count vector, the number of its shingles in each of ``DIMENSIONS``
+   hashed groups. The overlap of two sets is at most the sum of the coordinates' minima. Each different
+   pair that meets at a shingle of few classes is bounded once; so no set moves for what meets by
+   chance, which grows faster than the corpus. What passes, and what meets at a shingle of
+   many classes, makes clusters that no link leaves. A cluster of bounded size is searched by one
+   task, so each set moves once: an R-tree bounds the overlap for all below a node, what
+   passes is verified on the sets, and classes that are connected already aren't compared again.
+4. Classes of larger clusters meet at their leading shared shingles, large groups in even parts,
+   and are searched in the same way.
+5. Prefix shingles at which different components still meet are searched in the same way,
    with vectors only: first for each class the best partner in each other component, then
    for all pairs. Pairs are verified by a join with the sets. So no link is lost, and a group
    of near copies doesn't turn into all of its pairs.
@@ -44,20 +48,23 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from mcqflow.llm.common import checkpointed, fresh, text_of
 from mcqflow.llm.components import components
-from mcqflow.llm.repeats import packed, unpacked
 from mcqflow.llm.words import U, mix, words_of_texts
 
 SHINGLE = 5
 PERCENT = 75
 SKETCH_BITS = 25  # 32 MB, whatever the corpus
-SLICES = 16
+SLICES = 64
 DIMENSIONS = 256
 LEAF = 16
 LEADS = 2  # groups in which the sets of an active class are compared
 PART_ROWS = 4000  # of a group, compared by one task
-BROADCAST_ROWS = 250_000  # of at most 36 bytes
+BROADCAST_ROWS = 250_000  # of at most 32 bytes
 
-CHUNK = 2 << 20
+FEW = 16  # rows of a group whose pairs are bounded one by one
+CLUSTER_SHINGLES = 4 << 20  # of a cluster, searched by one task
+
+CHUNK = 1 << 18
+ID_BYTES = 12  # of a set's digest
 
 # Odd factors of a shingle's words; the differences of any two are not multiples of 16.
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
@@ -93,7 +100,7 @@ class Shingler:
 
 
 def fingerprint(shingles: np.ndarray) -> bytes:
-    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    return hashlib.blake2b(shingles.tobytes(), digest_size=ID_BYTES).digest()
 
 
 def needed(a, b, percent: int = PERCENT):
@@ -124,9 +131,12 @@ def may_meet(group: np.ndarray, size: np.ndarray, at: np.ndarray, percent: int =
     return high - low > itself
 
 
-def _narrow(values: np.ndarray) -> np.ndarray:
-    """In two bytes each where they fit."""
-    return values.astype(np.uint16 if int(values.max(initial=0)) < 1 << 16 else np.uint32)
+def _asked(width: int) -> np.dtype:
+    """A set that asks for a shingle: the first 40 bits of the shingle's hash, the set's size and the
+    shingle's place in its order, in so many bytes each. It holds the whole id: the more parts
+    there are, the fewer shingles a set sends to one."""
+    number = f"<u{width}"
+    return np.dtype([("id", f"V{ID_BYTES}"), ("low", "<u4"), ("high", "u1"), ("size", number), ("at", number)])
 
 
 def count_vector(shingles: np.ndarray) -> np.ndarray:
@@ -284,6 +294,7 @@ def _frame(columns: tuple, schema: pa.Schema) -> pa.RecordBatch:
 
 _SETS = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary())])
 _SKETCH = pa.schema([("slice", pa.int32()), ("counts", pa.binary())])
+_ASKED = pa.schema([("part", pa.int32()), ("width", pa.int32()), ("data", pa.binary())])
 _ACTIVE = pa.schema(
     [("set_id", pa.binary()), ("size", pa.int64()), ("shingles", pa.list_(pa.int64())), ("vector", pa.binary())]
 )
@@ -340,21 +351,20 @@ def shared_prefixes(docs: DataFrame, order: Order, parts: int, percent: int, siz
         held, seen = 0, set()
 
         def send() -> pa.RecordBatch:
+            hashed = mix(np.concatenate(keys))
             owner = np.repeat(np.arange(len(ids), dtype=np.int32), [len(k) for k in keys])
-            key = np.concatenate(keys)
-            at = np.concatenate([np.arange(len(k), dtype=np.uint32) for k in keys])
-            size = np.array(sizes, dtype=np.int64)
-            part = (mix(key) % U(parts)).astype(np.int64)
+            width = 2 if max(sizes) < 1 << 16 else 4
+            rows = np.empty(len(hashed), _asked(width))
+            rows["id"] = np.frombuffer(b"".join(ids), f"V{ID_BYTES}")[owner]
+            rows["low"], rows["high"] = (hashed >> U(24)) & U(2**32 - 1), hashed >> U(56)
+            rows["size"] = np.array(sizes, dtype=np.int64)[owner]
+            rows["at"] = np.concatenate([np.arange(len(k)) for k in keys])
+            part = (hashed % U(parts)).astype(np.int32)
             by = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[by], np.arange(parts + 1))
-            rows = []
-            for p in range(parts):
-                here = by[cuts[p] : cuts[p + 1]]
-                if len(here):
-                    used, local = np.unique(owner[here], return_inverse=True)
-                    mine = b"".join(ids[i] for i in used)
-                    rows.append((p, 0, 0, (mine, size[used], _narrow(local), _narrow(at[here]), key[here])))
-            return packed(rows).combine_chunks()
+            used = np.flatnonzero(np.diff(cuts))
+            data = [rows[by[cuts[p] : cuts[p + 1]]].tobytes() for p in used.tolist()]
+            return _frame((used, np.full(len(used), width), data), _ASKED)
 
         for shingles in (s for _, texts in _chunks(batches) for s in shingler.sets(texts)):
             if not len(shingles):
@@ -369,25 +379,24 @@ def shared_prefixes(docs: DataFrame, order: Order, parts: int, percent: int, siz
             sizes.append(len(shingles))
             held += len(prefix)
             if held >= 500_000:
-                yield from send().to_batches()
+                yield send()
                 ids, keys, sizes, held = [], [], [], 0
                 seen.clear()
         if ids:
-            yield from send().to_batches()
+            yield send()
 
     def answer(table: pa.Table) -> pa.Table:
-        asked = [d for *_, d in unpacked(table)]
-        owner = np.concatenate([np.frombuffer(ids, "V16")[local] for ids, _, local, *_ in asked])
-        size = np.concatenate([sizes[local] for _, sizes, local, *_ in asked])
-        at = np.concatenate([a for *_, a, _ in asked]).astype(np.int64)
-        key = np.concatenate([k for *_, k in asked])
-        low = owner.view(U).reshape(-1, 2)
-        by = np.lexsort((low[:, 1], low[:, 0], key))
-        key, low, owner = key[by], low[by], owner[by]
+        pieces = zip(table.column("data"), table.column("width"), strict=True)
+        rows = np.concatenate([np.frombuffer(d.as_py(), _asked(w.as_py())).astype(_asked(4)) for d, w in pieces])
+        key = (rows["high"].astype(U) << U(32)) | rows["low"]
+        low = np.ascontiguousarray(rows["id"]).view(np.uint32).reshape(-1, ID_BYTES // 4)
+        by = np.lexsort((*low.T, key))
+        key, low = key[by], low[by]
         new_key = np.r_[True, key[1:] != key[:-1]]
         new = new_key | np.r_[True, (low[1:] != low[:-1]).any(axis=1)]
         by = by[new]
-        key, owner, size, at, new_key = key[new], owner[new], size[by], at[by], new_key[new]
+        rows, key, new_key = rows[by], key[new], new_key[new]
+        owner, size, at = (rows["id"], rows["size"].astype(np.int64), rows["at"].astype(np.int64))
         met = may_meet(np.cumsum(new_key) - 1, size, at, percent)
         key, owner = key[met], owner[met]
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=np.int64)
@@ -397,13 +406,14 @@ def shared_prefixes(docs: DataFrame, order: Order, parts: int, percent: int, siz
         return pa.table(
             [
                 pa.array(owner[keep].tolist(), pa.binary()),
-                pa.array(key[keep].view(np.int64)),
+                # Shingles of a part whose hashes share 40 bits are one; that adds candidates and loses none.
+                pa.array(key[keep].view(np.int64) | (table.column("part")[0].as_py() << 40)),
                 pa.array(times[keep]),
             ],
             names=["set_id", "key", "sets"],
         )
 
-    asked = docs.mapInArrow(ask, "part int, grp int, kind int, data binary")
+    asked = docs.mapInArrow(ask, "part int, width int, data binary")
     return asked.groupBy("part").applyInArrow(answer, "set_id binary, key bigint, sets bigint")
 
 
@@ -428,6 +438,77 @@ def _active_sets(texts: DataFrame, size: int) -> DataFrame:
 _EDGE = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
+def _near_pairs(keys: DataFrame, active: DataFrame, percent: int) -> DataFrame:
+    """Pairs that meet in a group of at most ``FEW`` rows and pass the bound of their count vectors. Each
+    different pair is bounded once, however many shingles it shares."""
+    ids = F.array_sort(F.collect_list("set_id"))
+    met = keys.where(F.col("sets") <= FEW).groupBy("key").agg(ids.alias("ids"))
+    each = F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, FEW), lambda y: F.struct(x.alias("a"), y.alias("b"))))
+    pairs = met.select(F.inline(F.flatten(each))).distinct()
+    for x in ("a", "b"):
+        side = active.select(F.col("set_id").alias(x), F.col("size").alias(f"size_{x}"), F.col("vector").alias(f"vector_{x}"))
+        pairs = pairs.join(side, x)
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                rows = batch.slice(at, 2000)
+                a, b = (loaded(rows.column(f"vector_{x}")) for x in ("a", "b"))
+                least = needed(*(rows.column(f"size_{x}").to_numpy() for x in ("a", "b")), percent)
+                passes = np.minimum(a, b).sum(axis=1, dtype=np.int64) >= least
+                yield rows.select(["a", "b"]).filter(pa.array(passes))
+
+    return pairs.mapInArrow(bounded, "a binary, b binary")
+
+
+def _clusters(keys: DataFrame, active: DataFrame, percent: int) -> DataFrame:
+    """set_id, cluster, and whether that is small, of the classes that may link; no link leaves a cluster."""
+    large = keys.where(F.col("sets") > FEW)
+    stars = large.join(large.groupBy("key").agg(F.min("set_id").alias("b")), "key").select(F.col("set_id").alias("a"), "b")
+    edges = checkpointed(_near_pairs(keys, active, percent).union(stars.distinct()))
+    found = components(edges.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), edges)
+    found = found.withColumnRenamed("comp", "cluster")
+    sized = found.join(active.select("set_id", "size"), "set_id").groupBy("cluster")
+    small = (F.count(F.lit(1)) <= PART_ROWS) & (F.sum("size") <= CLUSTER_SHINGLES)
+    return checkpointed(found.join(sized.agg(small.alias("small")), "cluster"))
+
+
+def _groups(table: pa.Table) -> Iterator[tuple[list[bytes], list[np.ndarray]]]:
+    """Ids and sets of the rows with each value of ``at``."""
+    _, at = np.unique(np.array(table.column("at").to_pylist()), return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(at[order]) != 0]), len(order)]
+    ids, shingles = table.column("set_id"), table.column("shingles")
+    for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+        group = order[x:y].tolist()
+        yield [ids[i].as_py() for i in group], [shingles[i].values.to_numpy().view(U) for i in group]
+
+
+def _solved(active: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+    """set_id and comp in clusters that a task can hold."""
+
+    def work(table: pa.Table) -> pa.Table:
+        rows: list[tuple[bytes, bytes]] = []
+        for ids, sets in _groups(table):
+            root = {x: x for x in ids}
+
+            def top(x: bytes, root: dict[bytes, bytes] = root) -> bytes:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            for a, b in links_in_group(ids, sets, percent):
+                a, b = sorted((top(a), top(b)))
+                root[b] = a
+            rows += [(x, top(x)) for x in ids]
+        return pa.table([pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)], names=["set_id", "comp"])
+
+    many = int(active.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
+    rows = _asked_sets(active, clusters).select("set_id", "shingles", F.xxhash64("cluster").alias("at"))
+    return rows.withColumn("bucket", F.pmod("at", F.lit(many))).groupBy("bucket").applyInArrow(work, "set_id binary, comp binary")
+
+
 def _lead_links(active: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
     """Links found where classes meet at their leading shared shingles, with their sets."""
     # Of the most frequent ones those with the smallest hashes: near copies agree on them.
@@ -440,15 +521,7 @@ def _lead_links(active: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
     lead = lead.join(counted, ["key", "part"])
 
     def work(table: pa.Table) -> pa.Table:
-        at = np.array(table.column("at").to_pylist())
-        order = np.argsort(at, kind="stable")
-        cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(at[order]) != 0]), len(order)]
-        ids, shingles = table.column("set_id"), table.column("shingles")
-        found = []
-        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-            group = order[x:y].tolist()
-            sets = [shingles[i].values.to_numpy().view(U) for i in group]
-            found += links_in_group([ids[i].as_py() for i in group], sets, percent)
+        found = [link for ids, sets in _groups(table) for link in links_in_group(ids, sets, percent)]
         return pa.table([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], schema=_EDGE)
 
     many = int(active.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
@@ -520,6 +593,22 @@ def _verified(pairs: DataFrame, active: DataFrame, percent: int) -> DataFrame:
     return rows.where(enough).select("a", "b")
 
 
+def _linked_at_keys(keys: DataFrame, active: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """set_id and comp of classes, by the shingles at which they meet."""
+    comps = components(nodes, checkpointed(_lead_links(active, keys, percent)))
+    for best in (True, False):
+        pairs = _meeting_pairs(active, keys, comps, best, percent)
+        more = checkpointed(_verified(pairs, active, percent))
+        if not more.isEmpty():
+            a = comps.withColumnsRenamed({"set_id": "a", "comp": "x"})
+            b = comps.withColumnsRenamed({"set_id": "b", "comp": "y"})
+            between = more.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+            merged = components(comps.select(F.col("comp").alias("set_id")).distinct(), between)
+            merged = merged.select(F.col("set_id").alias("comp"), F.col("comp").alias("new"))
+            comps = checkpointed(comps.join(merged, "comp").select("set_id", F.col("new").alias("comp")))
+    return comps
+
+
 def link_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """doc_id, hash, n_shingles, component and component_id of each document."""
     spark = docs.sparkSession
@@ -541,17 +630,13 @@ def link_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     if active.count() > n:  # equal rows, read by several tasks
         active = checkpointed(active.dropDuplicates(["set_id"]))
 
-    comps = components(active.select("set_id"), checkpointed(_lead_links(active, keys, percent)))
-    for best in (True, False):
-        pairs = _meeting_pairs(active, keys, comps, best, percent)
-        more = checkpointed(_verified(pairs, active, percent))
-        if not more.isEmpty():
-            a = comps.withColumnsRenamed({"set_id": "a", "comp": "x"})
-            b = comps.withColumnsRenamed({"set_id": "b", "comp": "y"})
-            between = more.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-            merged = components(comps.select(F.col("comp").alias("set_id")).distinct(), between)
-            merged = merged.select(F.col("set_id").alias("comp"), F.col("comp").alias("new"))
-            comps = checkpointed(comps.join(merged, "comp").select("set_id", F.col("new").alias("comp")))
+    clusters = _clusters(keys, active, percent)
+    comps = checkpointed(_solved(active, checkpointed(clusters.where("small").select("set_id", "cluster")), percent))
+    rest = checkpointed(clusters.where("not small").select("set_id"))
+    n = rest.count()
+    if n:
+        some = keys.join(F.broadcast(rest) if n <= BROADCAST_ROWS else rest, "set_id")
+        comps = comps.unionByName(_linked_at_keys(checkpointed(some), active, rest, percent))
 
     # A class that isn't active is a component of its own; an empty set is no class.
     named = sets.where("n_shingles > 0").join(comps, "set_id", "left").withColumn("component", F.coalesce("comp", "set_id"))

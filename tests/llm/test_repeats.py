@@ -85,6 +85,24 @@ def test_large_groups_are_cut_into_parts(spark, frame, monkeypatch):
     assert got == brute.components(docs)
 
 
+def test_sets_that_meet_by_chance_do_not_move(frame, monkeypatch):
+    """Every text shares a few shingles with the next one; only clusters of near copies send sets."""
+    docs = []
+    for i in range(40):
+        words = [f"w{i}_{k}" for k in range(60)]
+        words[20:27] = [f"shared{i // 2}_{k}" for k in range(7)]
+        docs.append((2 * i, " ".join(words), "s"))
+        if i % 4 == 0:
+            docs.append((2 * i + 1, " ".join([*words[:-1], "edit"]), "s"))
+    moved, asked = [], jaccard._asked_sets
+    monkeypatch.setattr(jaccard, "_asked_sets", lambda active, ids: moved.append(ids.count()) or asked(active, ids))
+    got = {r.doc_id: r.component_id for r in jaccard.link_components(frame(docs)).collect()}
+    assert got == brute.components(docs) and moved == [20]
+    for name in ("FEW", "CLUSTER_SHINGLES"):  # all by larger groups, or by keys
+        monkeypatch.setattr(jaccard, name, 0)
+        assert {r.doc_id: r.component_id for r in jaccard.link_components(frame(docs)).collect()} == got
+
+
 def test_rows_that_can_meet_stay():
     r = random.Random(4)
     for _ in range(300):
