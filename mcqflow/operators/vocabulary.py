@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
-from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from mcqflow.functions.tokens import drop_special, resolve_pad_id, truncate
 from mcqflow.operators.numbering import text_index
@@ -241,6 +241,35 @@ def _gathered(runs: DataFrame, item: str) -> DataFrame:
     return many.select(item, F.when(F.size("r") == 1, F.col("r")[0]["run"]).otherwise(F.array_sort(placed)["value"]).alias("t"))
 
 
+def _places(texts: DataFrame, item: str, tokens: Column) -> DataFrame:
+    """``(item, _row, token, at)``: the different tokens of each text with their positions; a text
+    without tokens has one row, without a token."""
+    rows = texts.select(F.col(item).alias("item"), "_row", tokens.alias("tokens"))
+    schema = StructType([*rows.schema.fields[:2], StructField("token", StringType()), StructField("at", ArrayType(IntegerType()))])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(sizes)
+            coded = lists.flatten().dictionary_encode()
+            code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            pos = np.arange(len(code)) - np.repeat(ends - sizes, sizes)
+            both = owner * (len(coded.dictionary) + 1) + code
+            order = np.argsort(both, kind="stable")
+            cuts = np.flatnonzero(np.r_[True, np.diff(both[order]) != 0]) if len(code) else np.zeros(0, dtype=np.int64)
+            none = np.flatnonzero(sizes == 0)
+            first = pa.array(np.concatenate([owner[order][cuts], none]))
+            token = pa.array(np.concatenate([code[order][cuts], none * 0]), mask=np.arange(len(first)) >= len(cuts))
+            bounds = np.concatenate([cuts, np.full(len(none) + 1, len(code))])
+            at = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(pos[order], pa.int32()))
+            columns = [batch.column(0).take(first), batch.column(1).take(first), coded.dictionary.take(token), at]
+            yield pa.RecordBatch.from_arrays(columns, names=["item", "_row", "token", "at"])
+
+    return rows.mapInArrow(fold, schema).withColumnRenamed("item", item)
+
+
 def encode_by_join(
     df: DataFrame,
     vocabulary: DataFrame,
@@ -258,8 +287,9 @@ def encode_by_join(
     When the vocabulary fits a broadcast, which is checked by rows and bytes, the ids
     are put together where they are looked up and cross one exchange as arrays, by item;
     the tokens are neither exchanged nor sorted. For a larger vocabulary the texts are hashed by item
-    before they are split, and it is joined on ``(token, salt)``; without the salt a common word
-    would go to one task. Rows without an item stay apart.
+    before they are split, each different token of a text becomes a row with its positions, and these are
+    joined on ``(token, salt)``; without the salt a common word would go to one task. Rows without
+    an item stay apart.
     """
     kept = truncate(pieces(F.col(text), pattern), max_len)
     split = F.posexplode_outer(kept).alias("pos", "token")
@@ -268,12 +298,12 @@ def encode_by_join(
         found = tokens.join(F.broadcast(vocabulary.select("token", "id")), "token", "left")
         known = found.withColumn("id", F.coalesce("id", F.lit(unk_id)))
         return _gathered(_runs(known, item, "id"), item).select(item, F.col("t").alias(out))
-    tokens = _keyed(df, item).select(item, "_row", split)
+    tokens = _places(_keyed(df, item), item, kept).withColumn("pos", F.xxhash64(item, "_row", F.get("at", F.lit(0))))
     found = _salted(tokens, vocabulary, "token", salts)
-    at = F.struct("pos", F.coalesce("id", F.lit(unk_id)).alias("id"))
-    gathered = found.groupBy(item, "_row").agg(
-        F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), at))).alias("t")
-    )
+    places = F.struct("at", F.coalesce("id", F.lit(unk_id)).alias("id"))
+    each = F.transform("r", lambda r: F.transform(r["at"], lambda x: F.struct(x.alias("pos"), r["id"].alias("id"))))
+    gathered = found.groupBy(item, "_row").agg(F.collect_list(places).alias("r"))
+    gathered = gathered.select(item, F.array_sort(F.flatten(each)).alias("t"))
     return gathered.select(item, F.col("t.id").alias(out))
 
 

@@ -324,6 +324,14 @@ def test_rows_of_an_item_are_joined_by_position(spark):
         assert {(str(r.item_id), r.text) for r in back.collect()} == texts
 
 
+def test_equal_tokens_of_a_text_are_joined_once(spark):
+    df = spark.createDataFrame([(1, "a b a a"), (2, ""), (3, None)], "item_id bigint, text string").coalesce(1)
+    found = vocab._places(vocab._keyed(df, "item_id"), "item_id", vocab.pieces(F.col("text"))).collect()
+    assert sorted((r.item_id, str(r.token), r["at"]) for r in found) == [
+        (1, "a", [0, 2, 3]), (1, "b", [1]), (2, "None", []), (3, "None", []),
+    ]
+
+
 def test_joined_ids_are_not_sorted_token_by_token(spark):
     """Where the vocabulary is broadcast, what is exchanged and grouped is arrays."""
     df = spark.range(10).select(F.col("id").alias("item_id"), F.lit("a b").alias("text"))
