@@ -64,10 +64,12 @@ def digest(ids: str | Column, name: str = "ids") -> list[Column]:
     """An id array as count, sum and digest."""
     col = F.col(ids) if isinstance(ids, str) else ids
     total = F.aggregate(col, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    # As JSON, since a join would make a string of every id; no id is null.
+    joined = F.replace(F.btrim(F.to_json(col), F.lit("[]")), F.lit(","), F.lit(" "))
     return [
         F.size(col).cast("bigint").alias(f"{name}_n"),
         total.alias(f"{name}_sum"),
-        F.md5(F.array_join(col.cast("array<string>"), " ")).alias(f"{name}_md5"),
+        F.md5(joined).alias(f"{name}_md5"),
     ]
 
 

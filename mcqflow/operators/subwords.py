@@ -13,6 +13,8 @@ import json
 from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,8 @@ from mcqflow.sources.sinks import write_prepared
 
 BYTE_IDS = 256
 # Words, numbers and runs of other signs with the blank before them, and other white space.
-# Every character is in one of them.
-SUBWORD_PIECE = r" ?\p{L}+| ?\p{N}+| ?[^\x09-\x0D\x20\p{L}\p{N}]+|[\x09-\x0D\x20]+"
+# Every character is in one of them. The blank is looked at once, and a run never given back.
+SUBWORD_PIECE = r" ?+(?:\p{L}++|\p{N}++|[^\x09-\x0D\x20\p{L}\p{N}]++)|[\x09-\x0D\x20]++"
 
 # Characters 0xD800 to 0xDFFF stand for nothing by themselves, so ids step over them.
 _GAP, _GAP_SIZE = 0xD800, 0x800
@@ -74,6 +76,13 @@ def merged(word: Column, merges: list[tuple[str, str]]) -> Column:
     return F.aggregate(_merges(merges), word, lambda w, m: F.replace(w, m["pair"], m["new"]))
 
 
+def spelled(pair: str, merges: list[tuple[str, str]]) -> str:
+    """The symbols that became a pair, as they stood before the merges."""
+    for old, new in reversed(merges):
+        pair = pair.replace(new, old)
+    return pair
+
+
 def word_counts(df: DataFrame, text: str, pattern: str = SUBWORD_PIECE) -> DataFrame:
     """``(word, n)``: the different pieces as byte symbols, and how often each occurs."""
     found = df.select(F.explode(pieces(F.col(text), pattern)).alias("piece"))
@@ -122,7 +131,8 @@ def train_merges(
 
     The corpus is read once, for its different words and their counts. Pair counts are
     made of these once and then changed by what each round does to the words that hold its
-    pairs. A round merges all leading pairs that cannot influence each other, so
+    pairs; only words that hold the symbols a pair was made of go through the merges they
+    lack. A round merges all leading pairs that cannot influence each other, so
     the result is that of merging one at a time, in fewer jobs. The driver sees
     ``CANDIDATES`` pairs a round; words and pair counts stay in tables under the shared folder.
     """
@@ -144,8 +154,9 @@ def train_merges(
             done.append((len(done), left, right, new, row.n))
             step.append((row.pair, symbol(new)))
         rounds += 1
+        some = words.where(reduce(or_, (F.contains(F.col("word"), F.lit(spelled(pair, since))) for pair, _ in step)))
         # The generator keeps the filter above it, which would repeat the merges for each pair.
-        before = words.select(F.explode(F.array(merged(F.col("word"), since))).alias("word"), "n")
+        before = some.select(F.explode(F.array(merged(F.col("word"), since))).alias("word"), "n")
         holds = F.exists(_merges(step), lambda m: F.contains(F.col("word"), m["pair"]))
         after = before.where(holds).select("word", "n", merged(F.col("word"), step).alias("now"))
         gone = F.transform(adjacent(F.col("word")), lambda p: F.struct(p.alias("pair"), (-F.col("n")).alias("n")))
@@ -164,9 +175,13 @@ def _table(spark: SparkSession, rows: list[tuple[int, int, int, int, int]]) -> D
     return spark.createDataFrame(rows, "rank int, left_id int, right_id int, id int, n bigint")
 
 
-def _encoder(merges: tuple[tuple[int, int], ...]) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
-    """Lists of pieces to lists of ids. Nested, so that executors don't need this package."""
+def _encoder(
+    merges: tuple[tuple[int, int], ...], counted: bool = False, most: int | None = None
+) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    """Lists of pieces to lists of ids, or to their number, ``most`` at most, where they are
+    ``counted``. Nested, so that executors don't need this package."""
     first_merge, known_pieces, known_chars = BYTE_IDS, MAX_KNOWN_PIECES, MAX_KNOWN_CHARS
+    most = np.iinfo(np.int32).max if most is None else most
     by_pieces, by_bytes = slicer(MAX_SLICE_PIECES), slicer()
 
     def parts(lists: pa.Array) -> Iterator[pa.Array]:
@@ -220,14 +235,18 @@ def _encoder(merges: tuple[tuple[int, int], ...]) -> Callable[[Iterator[pa.Array
                 found.append(ids)
             # Each piece takes its run of the ids of the different ones.
             sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-            pool = np.frombuffer(b"".join(found), dtype=np.int32)
             index = coded.indices.to_numpy(zero_copy_only=False)
             taken = sizes[index]
             ends = np.cumsum(taken)
+            cuts = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+            missing = ~lists.is_valid().to_numpy(zero_copy_only=False)
+            if counted:
+                yield pa.array(np.minimum(np.diff(cuts), most), pa.int32(), mask=missing)
+                continue
+            pool = np.frombuffer(b"".join(found), dtype=np.int32)
             starts = (np.cumsum(sizes) - sizes)[index]
             flat = pool[np.repeat(starts - (ends - taken), taken) + np.arange(ends[-1] if len(ends) else 0)]
-            cuts = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-            offsets = pa.array(cuts, pa.int32(), mask=np.append(~lists.is_valid().to_numpy(zero_copy_only=False), False))
+            offsets = pa.array(cuts, pa.int32(), mask=np.append(missing, False))
             yield pa.ListArray.from_arrays(offsets, pa.array(flat))
 
     return run
@@ -284,7 +303,9 @@ class SubwordCodec:
         return truncate(merge(cut), max_len)
 
     def count(self, text: Column, max_len: int | None = None) -> Column:
-        return F.size(self.encode(text, max_len))
+        """Number of ids ``encode`` would give, which are not laid out for it."""
+        cut = truncate(pieces(text, self.pattern), max_len)
+        return F.arrow_udf(_encoder(self.merges, True, max_len), "int").asNondeterministic()(cut)
 
     def decode(self, ids: Column) -> Column:
         """Text of the ids without special ids; a cut character becomes U+FFFD."""

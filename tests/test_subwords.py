@@ -10,6 +10,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
+from mcqflow.functions.tokens import ByteCodec
 from mcqflow.operators import subwords
 from mcqflow.operators.subwords import SubwordCodec, train_merges
 from mcqflow.plans.prepare import prepare_sft
@@ -160,3 +161,62 @@ def test_a_batch_is_merged_in_bounded_slices():
     assert all(len(m) == 1 or len(m.flatten()) <= 1 << 20 for m in made)
     want = [None if x is None else [i for p in x for i in ([256] * (len(p) // 2) if p[:2] == "ab" else p.encode())] for x in lists]
     assert [x for m in made for x in m.to_pylist()] == [*want, want[2]]
+
+
+def test_rows_are_checked_where_they_are_spread(spark, folder):
+    """The one scan task of a small file only reads it."""
+    from mcqflow import fixtures as fx
+
+    rows = prepare_sft(fx.questions(spark, folder), ByteCodec())
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Filter CASE" in plan.split("Exchange")[0]
+    assert "Filter CASE" not in plan.split("Exchange")[1]
+
+
+def test_only_words_with_a_pairs_symbols_are_merged(spark, monkeypatch):
+    """Words that cannot hold a pair are left out before the merges they lack are applied."""
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda w: seen.add(1) or w)
+    plain = subwords.merged
+    monkeypatch.setattr(subwords, "merged", lambda word, merges: plain(count(word), merges) if merges else word)
+    texts = ["abab"] * 9 + ["cd"] * 5 + [f"{a}{b}" for a in "uvwxyz" for b in "uvwxyz"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = train_merges(df, "text", 3, min_count=4)
+    assert [tuple(r) for r in got.orderBy("rank").collect()] == plain_merges(texts, 3, 4)
+    assert 0 < seen.value < 30  # of 38 words
+
+
+def test_symbols_are_spelled_as_they_stood():
+    merges = [("ab", "Ā"), ("Āc", "ā"), ("āā", "Ă")]
+    assert subwords.spelled("Ăx", merges) == "abcabcx" and subwords.spelled("Ăx", []) == "Ăx"
+
+
+def test_counts_leave_python_as_numbers(spark, trained):
+    codec = SubwordCodec.load(trained)
+    df = spark.createDataFrame(list(enumerate(texts_of(3))), "i int, text string").repartition(2)
+    counts = df.select("i", "text", codec.count(F.col("text")).alias("n"), codec.count(F.col("text"), 7).alias("cut"))
+    assert "array<int>" not in counts.select("n")._jdf.queryExecution().analyzed().toString()
+    assert "size(" not in counts.select("n")._jdf.queryExecution().analyzed().toString()
+    merges = [tuple(r) for r in trained.orderBy("rank").collect()]
+    for r in counts.collect():
+        want = None if r.text is None else len(plain_ids(r.text, merges))
+        assert r.n == want and r.cut == (None if want is None else min(want, 7))
+
+
+def test_pieces_are_those_of_the_plain_pattern():
+    new, r = regex.compile(subwords.SUBWORD_PIECE), random.Random(5)
+    for _ in range(5000):
+        text = "".join(r.choices(" \t\n 　ab1é,.²́\x00\U0001f600", k=r.randint(0, 12)))
+        assert new.findall(text) == PIECE.findall(text)
+
+
+def test_digest_is_that_of_the_ids_joined_by_blanks(spark):
+    from hashlib import md5
+
+    from mcqflow.catalogue.queries import digest
+
+    df = spark.createDataFrame([([1, -100, 22],), ([7],), ([],), (None,)], "ids array<int>")
+    assert "array<string>" not in df.select(*digest("ids"))._jdf.queryExecution().analyzed().toString()
+    for ids, r in zip([[1, -100, 22], [7], []], df.select(*digest("ids")).collect()):
+        assert tuple(r) == (len(ids), sum(ids), md5(" ".join(map(str, ids)).encode()).hexdigest())
+    assert df.where("ids is null").select(*digest("ids")).first().ids_md5 is None
