@@ -24,7 +24,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     # Not deterministic, so that no filter is pushed below the exchange, into the few tasks of the scan.
-    return df.repartition(cores, key).where(F.monotonically_increasing_id() >= 0)
+    # The id of a row would do the same, but no plan that a stream meets may hold it.
+    return df.repartition(cores, key).where(F.spark_partition_id() >= 0)
 
 
 def _digit(digest: Column, at: int) -> Column:

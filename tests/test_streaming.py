@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from mcqflow import fixtures as fx
+from mcqflow.catalogue import queries
 from mcqflow.functions.tokens import ByteCodec
 from mcqflow.operators.runs import interval_loss
 from mcqflow.plans.prepare import prepare_sft
@@ -118,3 +120,24 @@ def test_outputs_that_never_come_are_wrong(spark):
     due = [r for r in every if r[2] is not None or r[1].timestamp() + 300 < mark]
     assert sorted(late, key=repr) == sorted(due, key=repr) and len(early) < len(late) < len(every)
     assert not any(r[-1] for r in late if r[2] is None)
+
+
+@pytest.fixture(scope="module")
+def arrivals(spark):
+    """Three parts in one small file, whose rows are spread, and events that answer them: one comes twice,
+    one has no letter, one meets no part and one has no user."""
+    out = shared_folder(spark)
+    parts = [(k, f"part {k}", "Brand#11", kind) for k, kind in ((1, "x"), (2, "y"), (4, "y"))]
+    names = "p_partkey bigint, p_name string, p_brand string, p_type string"
+    spark.createDataFrame(parts, names).coalesce(1).write.parquet(out + "/part.parquet")
+    hours = [(5, 0, 1, 10.0), (4, 1, 1, 10.0), (2, 0, 2, 10.0), (2, 0, 2, 10.0), (0, 2, 4, 90.0), (8, 3, 4, 10.0)]
+    hours += [(1, 9, 3, 10.0), (3, 9, None, 10.0)]
+    events = spark.createDataFrame(hours, "event_id bigint, hour bigint, user_id bigint, value double")
+    ts = F.timestamp_seconds(F.col("hour") * 3600).alias("ts")
+    events.select("event_id", ts, "user_id", "value").coalesce(1).write.parquet(out + "/events.parquet")
+    return out
+
+
+def test_accuracy_of_first_arrivals_with_spread_gold(spark, arrivals):
+    got = queries.t2_deduplicated_accuracy(spark, arrivals)
+    assert rows(got.select("subject", "correct", "total"), "subject") == [("x", 1, 1), ("y", 1, 2)]
