@@ -141,3 +141,12 @@ def arrivals(spark):
 def test_accuracy_of_first_arrivals_with_spread_gold(spark, arrivals):
     got = queries.t2_deduplicated_accuracy(spark, arrivals)
     assert rows(got.select("subject", "correct", "total"), "subject") == [("x", 1, 1), ("y", 1, 2)]
+
+
+def test_first_arrivals_with_spread_gold(spark, arrivals):
+    got = rows(queries.t2_first_arrivals(spark, arrivals).select("item_id", "ts", "pred", "correct"), "item_id")
+    assert got == [
+        (1, "1970-01-01 00:00:00", "B", True),
+        (2, "1970-01-01 00:00:00", "C", True),
+        (4, "1970-01-01 02:00:00", None, False),
+    ]
