@@ -150,3 +150,9 @@ def test_first_arrivals_with_spread_gold(spark, arrivals):
         (2, "1970-01-01 00:00:00", "C", True),
         (4, "1970-01-01 02:00:00", None, False),
     ]
+
+
+def test_interval_accuracy_with_spread_gold(spark, arrivals):
+    """Only the first hour is closed: the latest row that meets a part is two hours past its end."""
+    got = queries.t2_interval_accuracy(spark, arrivals).select("start", "subject", "correct", "total")
+    assert rows(got, "subject") == [("1970-01-01 00:00:00", "x", 1, 1), ("1970-01-01 00:00:00", "y", 2, 2)]
