@@ -156,3 +156,9 @@ def test_interval_accuracy_with_spread_gold(spark, arrivals):
     """Only the first hour is closed: the latest row that meets a part is two hours past its end."""
     got = queries.t2_interval_accuracy(spark, arrivals).select("start", "subject", "correct", "total")
     assert rows(got, "subject") == [("1970-01-01 00:00:00", "x", 1, 1), ("1970-01-01 00:00:00", "y", 2, 2)]
+
+
+def test_running_accuracy_with_spread_gold(spark, arrivals):
+    """A row that comes twice counts twice."""
+    got = queries.t2_running_accuracy(spark, arrivals)
+    assert rows(got.select("subject", "correct", "total"), "subject") == [("x", 1, 2), ("y", 3, 4)]
